@@ -52,6 +52,8 @@ def embed(
     if embedder is not None:
         out = texts.mapInPandas(_run(embedder, chunk), "id bigint, embedding array<float>")
         return out.withColumnRenamed("id", id_col)
+    if texts.isEmpty():
+        return df.sparkSession.createDataFrame([], f"`{id_col}` bigint, embedding array<float>")
     words = texts.select("id", tokens(F.col("text")).alias("words"))
     counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=dim).transform(words)
     weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)

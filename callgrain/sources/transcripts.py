@@ -113,4 +113,11 @@ def drop_error_pages(spark: SparkSession, pages: str, schema: StructType) -> Dat
 
 def write_csv(df: DataFrame, out: str) -> None:
     """CSV with a header line, into a new folder: never over the files being read."""
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(out)
+    (
+        df.write.mode("errorifexists")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(out)
+    )
