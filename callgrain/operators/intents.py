@@ -85,7 +85,8 @@ def cluster_questions(
         vectors, "question_id", "embedding", how.min_cos, how.min_pts, label_col="question_cluster_id"
     )
     out = questions.join(labels, "question_id").join(vectors, "question_id")
-    return out, vectors
+    # the scores read it several times
+    return materialize(out, "clustered"), vectors
 
 
 def with_cluster_size(df: DataFrame, cluster_col: str, spread_by: str, out_col: str = "cluster_size") -> DataFrame:
@@ -156,13 +157,13 @@ def cluster_answers(
 ) -> DataFrame:
     """Distinct answers of every question cluster, grouped within their cluster and scored."""
     answers = distinct_answers(rows, questions, key)
-    vectors = embed(answers, "answer_id", "a_clean", embedder, how.dim)
+    vectors = materialize(embed(answers, "answer_id", "a_clean", embedder, how.dim), "vectors")
     keyed = vectors.join(answers.select("answer_id", "question_cluster_id"), "answer_id")
     labels = density_cluster(
         keyed, "answer_id", "embedding", how.min_cos, how.min_pts,
         partition_col="question_cluster_id", label_col="answer_cluster_id",
     ).select("answer_id", "answer_cluster_id")
-    return score_answers(answers.join(labels, "answer_id"), rows)
+    return score_answers(materialize(answers.join(labels, "answer_id"), "clustered"), rows)
 
 
 def best_answers(answers: DataFrame, groups: list[str]) -> DataFrame:

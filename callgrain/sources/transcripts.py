@@ -94,10 +94,9 @@ def page_manifest(spark: SparkSession, pages: str) -> DataFrame:
     """One row per page file: path, offset and whether its body is an error message, not CSV."""
     # a page is one API response, so its size is bounded by the page limit
     bodies = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .text(pages)
+        .text(pages, wholetext=True)
     )
     path = F.col("_metadata.file_path")
     is_error = F.startswith(F.regexp_replace("value", r"(?U)^\s+", ""), F.lit("{"))

@@ -44,7 +44,7 @@ def ingest(
         .select(
             "*",
             page_offset(F.col("_metadata.file_path")).alias("page_offset"),
-            F.col(BAD_RECORD).isNotNull().alias("malformed"),
+            F.col(BAD_RECORD).isNotNull().cast("string").alias("malformed"),
         )
     )
     compared = dedup_cols or [*schema.fieldNames(), BAD_RECORD]
@@ -69,9 +69,9 @@ def ingest(
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
     """The good rows loaded so far."""
-    return spark.read.parquet(out).where(~F.col("malformed")).drop("malformed", BAD_RECORD)
+    return spark.read.parquet(out).where(F.col("malformed") == "false").drop("malformed", BAD_RECORD)
 
 
 def quarantined(spark: SparkSession, out: str) -> DataFrame:
     """The rejected records loaded so far."""
-    return spark.read.parquet(out).where(F.col("malformed")).select(F.col(BAD_RECORD).alias("record"), "page_offset")
+    return spark.read.parquet(out).where(F.col("malformed") == "true").select(F.col(BAD_RECORD).alias("record"), "page_offset")
