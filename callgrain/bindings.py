@@ -15,7 +15,7 @@ EVENT_TYPES = {
     "value": "double", "props": "string",
 }
 EVENT_SCHEMA = StructType([StructField(c, StringType()) for c in EVENT_TYPES])
-PAGE_ROWS = 500
+PAGE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -233,14 +233,14 @@ def density_cluster(
 
     With ``partition_col`` every partition is clustered by itself and numbered from 0, all of them
     in the same jobs. ``block`` and ``max_pivots`` set task sizes and pruning, not the result.
+    ``df`` is read twice, so it should be a stored table.
     """
     if not 0 < min_cos <= 1:
         raise ValueError("min_cos must be in (0, 1]")
     spark = df.sparkSession
     part = F.col(partition_col) if partition_col else F.lit(0)
-    points = materialize(
-        df.select(part.alias("part"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")),
-        "points",
+    points = df.select(
+        part.alias("part"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")
     )
     has_length = F.exists("vec", lambda x: x != 0)
     reps = materialize(
@@ -249,7 +249,7 @@ def density_cluster(
         .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")),
         "reps",
     )
-    n, total = reps.count(), points.count()
+    n, total = reps.agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
     if n == 0:
         return _named(points.select("id", "part", F.lit(NOISE).alias("label")), id_col, partition_col, label_col)
 
@@ -260,8 +260,11 @@ def density_cluster(
     pivots = np.unique(pivots, axis=0)
 
     # a partition that fits one block needs no cells
-    part_sizes = reps.groupBy("part").agg((F.count(F.lit(1)) > block).alias("split"))
-    split = skew_join(reps, part_sizes, ["part"], ["rep"], "inner", rows=n)
+    if partition_col:
+        part_sizes = reps.groupBy("part").agg((F.count(F.lit(1)) > block).alias("split"))
+        split = skew_join(reps, part_sizes, ["part"], ["rep"], "inner", rows=n)
+    else:
+        split = reps.withColumn("split", F.lit(n > block))
     dim = StructType(
         [
             StructField("part", points.schema["part"].dataType),

@@ -107,7 +107,7 @@ def representative_scores(
 
 def score_questions(questions: DataFrame) -> DataFrame:
     """spec_score, rep_score, desc_score and cluster_size of clustered questions."""
-    stats = token_stats(questions, "q_clean")
+    stats = materialize(token_stats(questions, "q_clean"), "stats")
     n_docs = questions.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     scored = score_specificity(questions, "question_id", "q_clean", stats, n_docs)
     scored = representative_scores(scored, "question_cluster_id", "embedding", "question_id")
@@ -147,7 +147,7 @@ def distinct_answers(rows: DataFrame, questions: DataFrame, key: list[str]) -> D
 def score_answers(answers: DataFrame, rows: DataFrame) -> DataFrame:
     """desc_score of each answer; word counts come from all calls, counted once per distinct answer."""
     corpus = rows.groupBy("a_clean").agg(F.count(F.lit(1)).alias("m"))
-    stats = token_stats(corpus, "a_clean", "m")
+    stats = materialize(token_stats(corpus, "a_clean", "m"), "stats")
     n_docs = rows.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     return score_answer(answers, "answer_id", "a_clean", stats, n_docs)
 

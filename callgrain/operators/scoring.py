@@ -12,16 +12,21 @@ from callgrain.functions.text import tokens
 
 
 @cache
-def digit_class() -> str:
-    """Regular-expression class of the characters that count as digits.
+def digit_ranges() -> str:
+    """The characters that count as digits, as the inside of a regular-expression class.
 
     Besides decimal digits these are the characters with a digit value of their own, such as
     superscripts and circled digits; the list follows from the Unicode tables.
     """
-    extra = [
-        chr(i) for i in range(0x110000) if chr(i).isdigit() and unicodedata.category(chr(i)) != "Nd"
-    ]
-    return r"[\p{Nd}" + "".join(extra) + "]"
+    extra = [i for i in range(0x110000) if chr(i).isdigit() and unicodedata.category(chr(i)) != "Nd"]
+    runs = [i for i in extra if i - 1 not in extra]
+    ends = [i for i in extra if i + 1 not in extra]
+    return r"\p{Nd}" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(runs, ends))
+
+
+def count_digits(c: Column) -> Column:
+    # the letters leave at the first test, without a look at all the ranges
+    return F.regexp_count(c, F.lit(rf"[[^\x00-\x2f\x3a-\xb1]&&[{digit_ranges()}]]"))
 
 
 def token_stats(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
@@ -42,6 +47,7 @@ def count_rare(df: DataFrame, id_col: str, text_col: str, stats: DataFrame, n_do
     Most token occurrences belong to few tokens. Those with more than one in 10,000 occurrences,
     which cannot be more than 10,000 tokens, leave by a broadcast before anything is shuffled.
     What remains has no hot key: a token that passes the join occurs at most ``rare_limit`` times.
+    ``stats`` is read three times, so it should be a stored table.
     """
     limit = rare_limit(n_docs)
     all_n = stats.agg(F.sum("n")).scalar()
@@ -70,7 +76,7 @@ def score_specificity(
     text = F.col(text_col)
     score = (
         F.least(F.length(text), F.lit(400)) / 400.0
-        + F.regexp_count(text, F.lit(digit_class())) / 10.0
+        + count_digits(text) / 10.0
         + rare_share
     )
     score = F.when(n_tok < 4, score * 0.4).otherwise(score)
@@ -91,7 +97,7 @@ def score_answer(
     length = F.least(F.length(text), F.lit(800))
     score = (
         length / 800.0
-        + F.regexp_count(text, F.lit(digit_class())) / 12.0
+        + count_digits(text) / 12.0
         + F.regexp_count(marks, F.lit("[.?!।]")) / 5.0
         + F.regexp_count(marks, F.lit("[/:-]")) / 8.0
         + rare_share

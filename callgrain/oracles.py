@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from callgrain.functions.text import QUERY_REWRITES, SCHEME_VARIANTS, STOP_WORDS
-from callgrain.operators.scoring import digit_class
+from callgrain.operators.scoring import digit_ranges
 
 VIEWS = {
     "calls_dim": """SELECT o_orderkey AS row_id, r_name AS "StateName", n_name AS "DistrictName",
@@ -71,7 +71,7 @@ def _lcs_sql(a: str, b: str) -> str:
 
 
 def _digits(c: str) -> str:
-    return f"length(regexp_replace({c}, '[^{digit_class()[1:]}', '', 'g'))"
+    return f"length(regexp_replace({c}, '[^{digit_ranges()}]', '', 'g'))"
 
 
 def _scores(rows: str, id_col: str, text: str, stats: str, n_docs: str, formula: str, name: str) -> str:
@@ -211,8 +211,8 @@ ORACLES: dict[str, str] = {
     "scan_project_limit": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 500",
     "quarantine_rows": _sql("SELECT record FROM lines WHERE record IS NOT NULL", "calls_dim", lines=LINE),
     "quarantine_good_rows": _sql('SELECT CAST(row_id AS VARCHAR) AS row_id, "Month" FROM lines WHERE record IS NULL', "calls_dim", lines=LINE),
-    "pages_union": "SELECT *, event_id // 500 * 500 AS page_offset FROM events",
-    "valid_pages": "SELECT *, event_id // 500 * 500 AS page_offset FROM events WHERE event_id // 500 % 5 <> 4",
+    "pages_union": "SELECT *, event_id // 1000 * 1000 AS page_offset FROM events",
+    "valid_pages": "SELECT *, event_id // 1000 * 1000 AS page_offset FROM events WHERE event_id // 1000 % 5 <> 4",
     "missing_pages": """SELECT "offset" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events), 100)) AS "offset")
         WHERE "offset" NOT IN (SELECT event_id // 100 * 100 FROM events WHERE event_id // 100 % 7 <> 3)""",
     "page_progress": """SELECT count(m.o) AS done, count(*) AS total, count(*) - count(m.o) AS missing

@@ -475,7 +475,8 @@ def token_stats(spark, sf_dir):
 def specificity(spark, sf_dir):
     docs = _clean_docs(spark, sf_dir)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    scored = scoring.score_specificity(docs, "doc_id", "q_clean", scoring.token_stats(docs, "q_clean"), n_docs)
+    stats = materialize(scoring.token_stats(docs, "q_clean"), "stats")
+    scored = scoring.score_specificity(docs, "doc_id", "q_clean", stats, n_docs)
     return scored.select("doc_id", *rounded("spec_score"))
 
 
@@ -495,7 +496,7 @@ def answer_score_raw(spark, sf_dir):
     )
     rows = materialize(calls.where(F.col("KccAns").isNotNull()), "answers")
     n_docs = rows.agg(F.count(F.lit(1))).scalar()
-    stats = scoring.token_stats(rows, "a_clean")
+    stats = materialize(scoring.token_stats(rows, "a_clean"), "stats")
     scored = scoring.score_answer(rows, "answer_id", "a_clean", stats, n_docs, marks_col="KccAns")
     return scored.select("answer_id", *rounded("desc_score"))
 
@@ -505,8 +506,7 @@ def answer_score_raw(spark, sf_dir):
 
 @query
 def embed_text(spark, sf_dir):
-    docs = B.docs_text(spark, sf_dir).select("doc_id", norm_text(F.col("QueryText")).alias("q_clean"))
-    return embed(docs, "doc_id", "q_clean")
+    return embed(_clean_docs(spark, sf_dir), "doc_id", "q_clean")
 
 
 @query
@@ -576,7 +576,8 @@ def intent_descriptive(spark, sf_dir):
     vectors = B.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     docs = _clean_docs(spark, sf_dir).join(vectors, "doc_id")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    scored = scoring.score_specificity(docs, "doc_id", "q_clean", scoring.token_stats(docs, "q_clean"), n_docs)
+    stats = materialize(scoring.token_stats(docs, "q_clean"), "stats")
+    scored = scoring.score_specificity(docs, "doc_id", "q_clean", stats, n_docs)
     scored = intents.representative_scores(scored, "label", "embedding", "doc_id")
     scored = scored.withColumn("desc_score", F.col("rep_score") + F.col("spec_score")).withColumn("id", F.col("doc_id"))
     return intents.best_by(scored, ["label"], "desc_score", "id", ["doc_id", "desc_score"]).select(
