@@ -48,7 +48,7 @@ def _stack(vectors: pd.Series) -> np.ndarray:
 
 
 def _assign_cells(pivots: np.ndarray, min_cos: float):
-    """Per point: unit vector, nearest pivot, close to it or not, later cells it may have neighbours in."""
+    """Per point: unit vector, nearest pivot, close to it or not, other cells it may have neighbours in."""
     gaps = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
     border = math.sqrt(1 - min_cos * min_cos) + _SLACK
     # half the neighbour angle: any two points inside are at most the whole angle apart
@@ -67,7 +67,7 @@ def _assign_cells(pivots: np.ndarray, min_cos: float):
             # sine of the angle between the point and the border towards each other cell
             with np.errstate(divide="ignore", invalid="ignore"):
                 depth = (near[:, None] - sims) / gaps[home]
-            reach = (depth <= border) & (np.arange(len(pivots))[None, :] > home[:, None]) & split[:, None]
+            reach = (depth <= border) & (np.arange(len(pivots))[None, :] != home[:, None]) & split[:, None]
             yield pd.DataFrame(
                 {
                     "part": pdf["part"],
@@ -119,22 +119,24 @@ def _block_tasks(points: DataFrame, block: int, rows: int) -> DataFrame:
         "rep", "w", "vec",
     ).select("part", "a_cell", "t.a_blk", "b_cell", "t.b_blk", "t.side", "rep", "w", "vec")
 
-    visits = numbered.select(
-        "part", F.col("home").alias("a_cell"), F.col("blk").alias("a_blk"),
-        F.explode("reach").alias("b_cell"), "rep", "w", "vec",
+    # both points of a pair have to be near the border between their cells
+    near_border = numbered.select(
+        "part", "home", "blk", F.explode("reach").alias("other"), "rep", "w", "vec"
     )
-    there = sizes.withColumnRenamed("home", "b_cell")
-    host_blocks = F.concat(upto(F.col("n_loose")), F.transform(upto(F.col("n_tight")), lambda k: -1 - k))
-    guests = visits.join(there, ["part", "b_cell"]).select(
-        "part", "a_cell", "a_blk", "b_cell", F.explode(host_blocks).alias("b_blk"),
-        F.lit(0).alias("side"), "rep", "w", "vec",
+    visits = near_border.where(F.col("other") > F.col("home")).select(
+        "part", F.col("home").alias("a_cell"), F.col("blk").alias("a_blk"), F.col("other").alias("b_cell"),
+        "rep", "w", "vec",
+    )
+    visited = near_border.where(F.col("other") < F.col("home")).select(
+        "part", F.col("other").alias("a_cell"), F.col("home").alias("b_cell"), F.col("blk").alias("b_blk"),
+        "rep", "w", "vec",
     )
-    meetings = visits.select("part", "a_cell", "a_blk", "b_cell").distinct()
-    hosts = numbered.select(
-        "part", F.col("home").alias("b_cell"), F.col("blk").alias("b_blk"), "rep", "w", "vec"
-    ).join(meetings, ["part", "b_cell"])
-    cross = guests.unionByName(hosts.withColumn("side", F.lit(1)))
-    return inside.unionByName(cross)
+    a_blocks = visits.select("part", "a_cell", "a_blk", "b_cell").distinct()
+    b_blocks = visited.select("part", "a_cell", "b_cell", "b_blk").distinct()
+    border = ["part", "a_cell", "b_cell"]
+    guests = visits.join(b_blocks, border).withColumn("side", F.lit(0))
+    hosts = visited.join(a_blocks, border).withColumn("side", F.lit(1))
+    return inside.unionByName(guests).unionByName(hosts)
 
 
 _TASK = ["part", "a_cell", "a_blk", "b_cell", "b_blk"]
@@ -226,7 +228,7 @@ def density_cluster(
     min_pts: int,
     partition_col: str | None = None,
     label_col: str = "cluster_id",
-    block: int = 2048,
+    block: int = 4096,
     max_pivots: int = 256,
 ) -> DataFrame:
     """(id, [partition,] label): clusters numbered from 0 by their smallest id, noise is -1.

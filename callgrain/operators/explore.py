@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrain.functions.text import byte_length, norm_query, preview, trim_ws
+from callgrain.plans.ids import rows_between
 
 # Longer lists of wanted values become a joined table instead of an IN expression.
 LONG_LIST = 1000
@@ -161,7 +162,7 @@ def group_samples(
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``df`` in a total order."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return rows_between(df, order, (number - 1) * size, size)
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:

@@ -44,8 +44,9 @@ def bin_linear(df: DataFrame, col: str, n: int = 9, bin_col: str = "bin") -> Dat
 
     The largest value belongs to the last step, also where all values are equal.
     """
-    ends = value_range(df, col)
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    # the same subquery twice: Spark runs it once
+    ends = value_range(df, col).select(F.struct("low", "high")).scalar()
+    low, high = ends["low"], ends["high"]
     v = F.col(col)
     step = F.floor((v - low) * F.lit(n) / F.nullif(high - low, F.lit(0.0))).cast("int") + 1
     return df.withColumn(

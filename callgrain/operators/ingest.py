@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callgrain.functions.text import trim_ws
+from callgrain.plans.ids import rows_between
 
 
 def slice_rows(df: DataFrame, filters: dict, order: list, offset: int, limit: int) -> DataFrame:
     """Rows that equal every filter value, from ``offset`` on, at most ``limit``, in a total order."""
     out = reduce(lambda acc, kv: acc.where(F.col(kv[0]) == F.lit(kv[1])), filters.items(), df)
-    return out.orderBy(*order).offset(offset).limit(limit)
+    return rows_between(out, order, offset, limit)
 
 
 def missing_offsets(spark: SparkSession, manifest: DataFrame, total: int, limit: int) -> DataFrame:

@@ -133,7 +133,11 @@ def match_names(
         .agg(F.min("choice").alias("choice"))
     )
     a_forms = forms.select("a").where(F.length("a") > 0).distinct()
-    scored = candidate_pairs(a_forms, by_form, threshold).select(
+    # nothing beats the same name, so such targets need no search
+    same = a_forms.join(by_form, F.col("a") == F.col("b"))
+    exact = same.select("a", F.col("choice").alias("fuzzy"), F.lit(100).alias("score"))
+    searched = a_forms.join(by_form.select(F.col("b").alias("a")), "a", "left_anti")
+    scored = candidate_pairs(searched, by_form, threshold).select(
         "a", "b", name_ratio(F.col("a"), F.col("b")).alias("score")
     )
     best = (
@@ -142,6 +146,7 @@ def match_names(
         .groupBy("a")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "choice")).alias("best"))
         .select("a", F.col("best.choice").alias("fuzzy"), (-F.col("best.neg")).alias("score"))
+        .unionByName(exact)
     )
     found = forms.join(best, "a").select("target", "fuzzy", "score")
     return names.join(found, "target", "left").select(

@@ -62,9 +62,14 @@ def count_rare(df: DataFrame, id_col: str, text_col: str, stats: DataFrame, n_do
     )
 
 
-def _with_rare(df, id_col, text_col, stats, n_docs) -> tuple[DataFrame, Column, Column]:
-    out = df.join(count_rare(df, id_col, text_col, stats, n_docs), id_col, "left")
-    n_tok = F.size(tokens(F.col(text_col)))
+def _with_rare(
+    df: DataFrame, id_col: str, text_col: str, stats: DataFrame, n_docs: Column
+) -> tuple[DataFrame, Column, Column]:
+    # the word count is a column of its own, so that the score does not split the text again and again
+    out = df.join(count_rare(df, id_col, text_col, stats, n_docs), id_col, "left").withColumn(
+        "_words", F.size(tokens(F.col(text_col)))
+    )
+    n_tok = F.col("_words")
     return out, F.coalesce("rare", F.lit(0)) / F.greatest(n_tok, F.lit(1)), n_tok
 
 
@@ -80,7 +85,7 @@ def score_specificity(
         + rare_share
     )
     score = F.when(n_tok < 4, score * 0.4).otherwise(score)
-    return out.withColumn(out_col, F.when(n_tok > 0, score).otherwise(F.lit(0.0))).drop("rare")
+    return out.withColumn(out_col, F.when(n_tok > 0, score).otherwise(F.lit(0.0))).drop("rare", "_words")
 
 
 def score_answer(
@@ -103,4 +108,4 @@ def score_answer(
         + rare_share
     )
     score = F.when(length < 80, score * 0.5).otherwise(score)
-    return out.withColumn(out_col, F.when(F.length(text) > 0, score).otherwise(F.lit(0.0))).drop("rare")
+    return out.withColumn(out_col, F.when(F.length(text) > 0, score).otherwise(F.lit(0.0))).drop("rare", "_words")

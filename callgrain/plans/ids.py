@@ -28,3 +28,19 @@ def with_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + row).alias(id_col), *df.columns
     )
+
+
+# A sorted head of this size is merged by one task without trouble.
+SHALLOW = 100_000
+
+
+def rows_between(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` .. ``offset + limit`` of ``df`` in a total order.
+
+    A shallow slice is a top-k. For a deep one a top-k would bring everything above the slice to
+    one task; there the rows are numbered in parallel and filtered by number.
+    """
+    if offset + limit <= SHALLOW:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    numbered = with_ids(df, "_row", order)
+    return numbered.where(F.col("_row").between(offset, offset + limit - 1)).orderBy("_row").drop("_row")

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     lost with the machine, so a missing setting is an error there.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
