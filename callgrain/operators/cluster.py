@@ -139,6 +139,18 @@ def _block_tasks(points: DataFrame, block: int, rows: int) -> DataFrame:
     return inside.unionByName(guests).unionByName(hosts)
 
 
+def _whole_parts(points: DataFrame):
+    """Every partition as one comparison with itself."""
+    zero = F.lit(0)
+    return points.select(
+        "part", *[zero.alias(c) for c in (*_TASK[1:], "side")], "rep", "w", "vec"
+    ).groupBy("part")
+
+
+def _with_degree(cells: DataFrame, degrees: DataFrame, min_pts: int) -> DataFrame:
+    return cells.join(degrees.where(F.col("deg") >= min_pts).select("rep"), "rep", "left_semi")
+
+
 _TASK = ["part", "a_cell", "a_blk", "b_cell", "b_blk"]
 _ROWS = 1024  # rows compared at once inside a task
 
@@ -255,18 +267,21 @@ def density_cluster(
     if n == 0:
         return _named(points.select("id", "part", F.lit(NOISE).alias("label")), id_col, partition_col, label_col)
 
+    largest = reps.groupBy("part").count().agg(F.max("count")).first()[0] if partition_col else n
+    one_block = largest <= block
     # at most max_pivots vectors come to the driver
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(min(max_pivots, max(1, math.ceil(n / block))))
+    n_pivots = 1 if one_block else min(max_pivots, math.ceil(n / block))
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots)
     pivots = _stack(sample.select("vec").toPandas()["vec"])
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     pivots = np.unique(pivots, axis=0)
 
     # a partition that fits one block needs no cells
-    if partition_col:
+    if partition_col and not one_block:
         part_sizes = reps.groupBy("part").agg((F.count(F.lit(1)) > block).alias("split"))
         split = skew_join(reps, part_sizes, ["part"], ["rep"], "inner", rows=n)
     else:
-        split = reps.withColumn("split", F.lit(n > block))
+        split = reps.withColumn("split", F.lit(not one_block))
     dim = StructType(
         [
             StructField("part", points.schema["part"].dataType),
@@ -283,27 +298,34 @@ def density_cluster(
         "cells",
     )
 
-    balls = cells.where("tight").groupBy("part", "home").agg(F.sum("w").alias("ball"))
-    in_balls = skew_join(cells.where("tight").select("part", "home", "rep"), balls, ["part", "home"], ["rep"], "inner", rows=n)
-    degrees = (
-        _block_tasks(cells, block, n)
-        .groupBy(*_TASK)
-        .applyInPandas(_degrees(min_cos), "rep bigint, deg bigint")
-        .unionByName(in_balls.select("rep", F.col("ball").alias("deg")))
-        .groupBy("rep")
-        .agg(F.sum("deg").alias("deg"))
-    )
-    core = materialize(cells.join(degrees.where(F.col("deg") >= min_pts).select("rep"), "rep", "left_semi"), "core")
-
-    hubs = core.where("tight").groupBy("part", "home").agg(F.min("rep").alias("dst"))
-    spokes = skew_join(core.where("tight").select("part", "home", "rep"), hubs, ["part", "home"], ["rep"], "inner", rows=n)
-    links = (
-        _block_tasks(core, block, n)
-        .groupBy(*_TASK)
-        .applyInPandas(_links(min_cos), "src bigint, dst bigint")
-        .unionByName(spokes.select(F.col("rep").alias("src"), "dst"))
-    )
-    comps = connected_components(links).withColumnRenamed("node", "rep")
+    if one_block:
+        # every partition is one comparison, and its links end at the root already
+        degrees = _whole_parts(cells).applyInPandas(_degrees(min_cos), "rep bigint, deg bigint")
+        core = materialize(_with_degree(cells, degrees, min_pts), "core")
+        links = _whole_parts(core).applyInPandas(_links(min_cos), "src bigint, dst bigint")
+        comps = links.select(F.col("src").alias("rep"), F.col("dst").alias("root"))
+    else:
+        cells_of = ["part", "home"]
+        tight = cells.where("tight").select(*cells_of, "rep", "w")
+        balls = tight.groupBy(*cells_of).agg(F.sum("w").alias("deg"))
+        degrees = (
+            _block_tasks(cells, block, n)
+            .groupBy(*_TASK)
+            .applyInPandas(_degrees(min_cos), "rep bigint, deg bigint")
+            .unionByName(skew_join(tight, balls, cells_of, ["rep"], "inner", rows=n).select("rep", "deg"))
+            .groupBy("rep")
+            .agg(F.sum("deg").alias("deg"))
+        )
+        core = materialize(_with_degree(cells, degrees, min_pts), "core")
+        tight = core.where("tight").select(*cells_of, F.col("rep").alias("src"))
+        hubs = tight.groupBy(*cells_of).agg(F.min("src").alias("dst"))
+        links = (
+            _block_tasks(core, block, n)
+            .groupBy(*_TASK)
+            .applyInPandas(_links(min_cos), "src bigint, dst bigint")
+            .unionByName(skew_join(tight, hubs, cells_of, ["src"], "inner", rows=n).select("src", "dst"))
+        )
+        comps = connected_components(links).withColumnRenamed("node", "rep")
     rooted = core.select("part", "rep", "w").join(comps, "rep", "left").select(
         "part", "rep", "w", F.coalesce("root", "rep").alias("root")
     )
