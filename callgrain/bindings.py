@@ -133,3 +133,20 @@ def typed_events(df: DataFrame) -> DataFrame:
 
 def fresh_pages(spark: SparkSession, sf_dir: str) -> str:
     return event_pages(table(spark, sf_dir, "events"), new_dir(spark, "pages"))
+
+
+def letter_model():
+    """An embedder that counts the letters a-z: simple enough to be repeated in SQL.
+
+    Defined inside a function so that it travels to the workers by value.
+    """
+    import numpy as np
+
+    def letters(texts: list[str]) -> np.ndarray:
+        counts = np.zeros((len(texts), 26), dtype=np.float64)
+        for i, text in enumerate(texts):
+            codes = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+            counts[i] = np.bincount(codes, minlength=123)[97:123]
+        return counts
+
+    return letters

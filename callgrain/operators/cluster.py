@@ -41,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOISE = -1
 # Guards the pruning bounds, not the comparison itself, against rounding.
 _SLACK = 1e-9
+# A similarity equal to the limit counts, however the product was rounded.
+_TIE = 1e-12
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -162,6 +164,8 @@ def _sides(pdf: pd.DataFrame):
 
 
 def _degrees(min_cos: float):
+    limit = min_cos - _TIE
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, alone = _sides(pdf)
         if a.empty or b.empty:
@@ -169,7 +173,7 @@ def _degrees(min_cos: float):
         xa, xb, wa, wb = _stack(a["vec"]), _stack(b["vec"]), a["w"].to_numpy(), b["w"].to_numpy()
         deg_a, deg_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         for at in range(0, len(a), _ROWS):
-            near = xa[at : at + _ROWS] @ xb.T >= min_cos
+            near = xa[at : at + _ROWS] @ xb.T >= limit
             if alone:
                 # a point is its own neighbour whatever the rounding of its length
                 rows = np.arange(near.shape[0])
@@ -188,6 +192,7 @@ def _degrees(min_cos: float):
 
 def _links(min_cos: float):
     """One link per point to the smallest id of its component within the two blocks."""
+    limit = min_cos - _TIE
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, alone = _sides(pdf)
@@ -206,7 +211,7 @@ def _links(min_cos: float):
                 # every row is compared once over the whole search
                 hit = np.zeros(len(b), bool)
                 for at in range(0, len(front), _ROWS):
-                    hit |= (xa[front[at : at + _ROWS]] @ xb.T >= min_cos).any(axis=0)
+                    hit |= (xa[front[at : at + _ROWS]] @ xb.T >= limit).any(axis=0)
                 if alone:
                     front = np.flatnonzero(hit & new_a)
                     new_a[front] = False
@@ -216,7 +221,7 @@ def _links(min_cos: float):
                     in_b.append(found)
                     back = np.zeros(len(a), bool)
                     for at in range(0, len(found), _ROWS):
-                        back |= (xb[found[at : at + _ROWS]] @ xa.T >= min_cos).any(axis=0)
+                        back |= (xb[found[at : at + _ROWS]] @ xa.T >= limit).any(axis=0)
                     front = np.flatnonzero(back & new_a)
                     new_a[front] = False
                 in_a.append(front)

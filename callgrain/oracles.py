@@ -120,7 +120,7 @@ def _count(cols: list[str], limit: str = "") -> str:
     return _sql(f'SELECT {names}, count(*) AS "count" FROM calls_dim GROUP BY {names} ORDER BY "count" DESC, {names} {limit}', "calls_dim")
 
 
-TARGETS = """SELECT r_name AS "StateName", n_name AS "DistrictName" FROM places WHERE n_nationkey % 2 = 0
+TARGETS = """SELECT r_name AS "StateName", n_name AS "DistrictName" FROM places
     UNION ALL SELECT 'ASIA', 'NOWHERE'"""
 
 
@@ -142,35 +142,46 @@ DISTRICT_COUNTS = """SELECT p.r_name AS "StateName", ' ' || lower(p.n_name) AS "
     ON c."StateName" = p.r_name AND c."DistrictName" = p.n_name GROUP BY 1, 2, 3"""
 
 
-def _match(targets: str, fixed: bool) -> str:
+def _match(targets: str, choices: str, fixed: bool) -> str:
     """Best choice of every target by brute force over all pairs."""
     fix = "CASE WHEN target LIKE 'hh%' THEN 'old bolt' END" if fixed else "CAST(NULL AS VARCHAR)"
+    # compared without case and signs, as the definition says; the tables have no signs
+    a, b = "lower(target)", "lower(choice)"
     return f"""SELECT t.target, coalesce(t.official, b.choice) AS match, CAST(CASE WHEN t.official IS NULL THEN b.score END AS DOUBLE) AS score,
         CASE WHEN t.official IS NOT NULL THEN 'override' WHEN b.choice IS NOT NULL THEN 'fuzzy' END AS via
         FROM (SELECT DISTINCT target, {fix} AS official FROM {targets}) t LEFT JOIN (
             SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, choice) AS rk FROM (
-                SELECT target, choice, CAST(round(200.0 * {_lcs_sql('target', 'choice')} / (length(target) + length(choice))) AS INTEGER) AS score
-                FROM (SELECT DISTINCT target FROM {targets}), (SELECT DISTINCT p_name AS choice FROM part)))
+                SELECT target, choice, CAST(round(200.0 * {_lcs_sql(a, b)} / (length(target) + length(choice))) AS INTEGER) AS score
+                FROM (SELECT DISTINCT target FROM {targets}), (SELECT DISTINCT choice FROM {choices})))
             WHERE rk = 1 AND score >= 93
         ) b USING (target)"""
 
 
+PART_NAMES = "SELECT DISTINCT p_name AS choice FROM part"
+PART_NAMES_TYPES = PART_NAMES + " UNION SELECT DISTINCT p_type FROM part"
 BALANCE = """SELECT ' Nation-' || s_nationkey AS "District", round(sum(s_acctbal), 2) AS value, s_nationkey FROM supplier GROUP BY s_nationkey"""
 
 
-def _dbscan(where: str, key: str) -> dict[str, str]:
+def _dbscan(vectors: str, min_cos: float, min_pts: int, p: str = "") -> dict[str, str]:
+    """Clusters of the rows (vec_id, part, e): core rows, their components, numbers per part."""
     return {
-        "v": f"SELECT vec_id, {key} AS part, embedding::DOUBLE[] AS e FROM embeddings",
-        "near": f"SELECT a.vec_id AS a, b.vec_id AS b, a.part FROM v a JOIN v b ON a.part = b.part AND list_cosine_similarity(a.e, b.e) >= {where.split(',')[0]}",
-        "core": f"SELECT a FROM near GROUP BY a HAVING count(*) >= {where.split(',')[1]}",
-        "g": "SELECT a, b, part FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)",
-        "l(a, r)": "SELECT a, a FROM core UNION SELECT g.b, l.r FROM l JOIN g ON l.a = g.a WHERE g.b > l.r",
-        "roots": "SELECT a, min(r) AS r FROM l GROUP BY a",
-        "kept": f"SELECT r, count(*) AS n FROM roots GROUP BY r HAVING count(*) >= {where.split(',')[1]}",
-        "ids": "SELECT r, row_number() OVER (PARTITION BY part ORDER BY r) - 1 AS label FROM kept JOIN v ON v.vec_id = r",
+        f"{p}v": vectors,
+        f"{p}near": f"SELECT a.vec_id AS a, b.vec_id AS b FROM {p}v a JOIN {p}v b ON a.part = b.part "
+        f"AND list_cosine_similarity(a.e, b.e) >= {min_cos}",
+        f"{p}core": f"SELECT a FROM {p}near GROUP BY a HAVING count(*) >= {min_pts}",
+        f"{p}g": f"SELECT a, b FROM {p}near WHERE a IN (SELECT a FROM {p}core) AND b IN (SELECT a FROM {p}core)",
+        f"{p}l(a, r)": f"SELECT a, a FROM {p}core UNION SELECT g.b, l.r FROM {p}l l JOIN {p}g g ON l.a = g.a WHERE g.b > l.r",
+        f"{p}roots": f"SELECT a, min(r) AS r FROM {p}l GROUP BY a",
+        f"{p}kept": f"SELECT r, count(*) AS n FROM {p}roots GROUP BY r HAVING count(*) >= {min_pts}",
+        f"{p}ids": f"SELECT r, row_number() OVER (PARTITION BY part ORDER BY r) - 1 AS label FROM {p}kept JOIN {p}v ON vec_id = r",
+        f"{p}labels": f"SELECT a AS vec_id, CAST(label AS INTEGER) AS label FROM {p}roots JOIN {p}ids USING (r)",
     }
 
 
+def _embeddings_by(part: str) -> str:
+    return f"SELECT vec_id, {part} AS part, embedding::DOUBLE[] AS e FROM embeddings"
+
+
 def _recursive(body: str, named: dict[str, str]) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in named.items()) + " " + body
 
@@ -204,6 +215,59 @@ def _best(groups: str, where: str = "") -> str:
         FROM a{where}) WHERE rk = 1"""
 
 
+# --- intents by the letter model --------------------------------------------------------------
+
+
+def _letters(text: str) -> str:
+    return f"list_transform(range(97, 123), lambda k: (length({text}) - length(replace({text}, chr(k::INTEGER), '')))::DOUBLE)"
+
+
+def _unit_vectors(id_col: str, part: str, text: str, rows: str) -> str:
+    return f"""SELECT vec_id, part, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS e FROM (
+        SELECT {id_col} AS vec_id, {part} AS part, {_letters(text)} AS c FROM {rows}) WHERE list_sum(c) > 0"""
+
+
+INTENTS = {
+    "calls_text": VIEWS["calls_text"],
+    "rows_": ANSWERS,
+    "asked": "SELECT * FROM rows_ WHERE q_clean <> ''",
+    "questions": """SELECT row_number() OVER (ORDER BY q_clean) - 1 AS question_id, "QueryText", q_clean, NULL AS raw FROM (
+        SELECT *, row_number() OVER (PARTITION BY q_clean ORDER BY conv_id, turn) AS rk FROM asked) WHERE rk = 1""",
+    **_dbscan(_unit_vectors("question_id", "0", "q_clean", "questions"), 0.97, 4),
+    "clustered": """SELECT q.*, coalesce(label, -1) AS question_cluster_id FROM questions q LEFT JOIN labels ON vec_id = question_id""",
+}
+INTENT_ANSWERS = {
+    **INTENTS,
+    "answers": """SELECT row_number() OVER (ORDER BY question_cluster_id, a_clean) - 1 AS answer_id, * FROM (
+        SELECT question_cluster_id, a_clean, "KccAns", NULL AS raw,
+        row_number() OVER (PARTITION BY question_cluster_id, a_clean ORDER BY conv_id, turn) AS rk
+        FROM asked JOIN (SELECT q_clean, question_cluster_id FROM clustered) USING (q_clean)
+        WHERE a_clean <> '' AND question_cluster_id >= 0) WHERE rk = 1""",
+    **_dbscan(_unit_vectors("answer_id", "question_cluster_id", "a_clean", "answers"), 0.98, 3, "a_"),
+    "a_stats": _token_counts("asked", "a_clean"),
+    "a_scored": _scores("answers", "answer_id", "a_clean", "a_stats", "(SELECT count(*) FROM asked)", _answer_formula("x"), "s")
+    .replace(", 6) AS s", ", 12) AS s"),
+    "a": """SELECT answer_id, question_cluster_id, coalesce(label, -1) AS answer_cluster_id, "KccAns", a_clean, s
+        FROM answers JOIN a_scored USING (answer_id) LEFT JOIN a_labels ON vec_id = answer_id""",
+}
+INTENT_SUMMARIES = {
+    **INTENT_ANSWERS,
+    "q_stats": _token_counts("questions", "q_clean"),
+    "q_scored": _scores("questions", "question_id", "q_clean", "q_stats", "(SELECT count(*) FROM questions)", SPEC, "spec")
+    .replace(", 6) AS spec", ", 12) AS spec"),
+    "centroid": """SELECT question_cluster_id, list(m ORDER BY pos) AS c FROM (
+        SELECT question_cluster_id, pos, avg(x) AS m FROM (
+            SELECT question_cluster_id, unnest(e) AS x, generate_subscripts(e, 1) AS pos
+            FROM clustered JOIN v ON vec_id = question_id WHERE question_cluster_id >= 0) GROUP BY 1, 2) GROUP BY 1""",
+    "ranked": """SELECT question_cluster_id, "QueryText", row_number() OVER (PARTITION BY question_cluster_id ORDER BY rep DESC, question_id) AS by_rep,
+        row_number() OVER (PARTITION BY question_cluster_id ORDER BY rep + spec DESC, question_id) AS by_desc FROM (
+        SELECT question_id, question_cluster_id, "QueryText", list_cosine_similarity(e, c) AS rep, spec
+        FROM clustered JOIN v ON vec_id = question_id JOIN centroid USING (question_cluster_id) JOIN q_scored USING (question_id))""",
+    "modes": f"""SELECT question_cluster_id, '[' || string_agg('{{"answer_cluster_id":' || answer_cluster_id || ',"KccAns":'
+        || CAST(to_json("KccAns") AS VARCHAR) || '}}', ',' ORDER BY answer_cluster_id) || ']' AS j
+        FROM ({_best("question_cluster_id, answer_cluster_id", " WHERE answer_cluster_id >= 0")}) GROUP BY 1""",
+}
+
 ORACLES: dict[str, str] = {
     "scan_parquet": "SELECT * FROM orders",
     "scan_csv": _sql(CALLS_AS_TEXT + " WHERE row_id % 50 <> 0 AND row_id % 70 <> 0", "calls_dim"),
@@ -291,10 +355,10 @@ ORACLES: dict[str, str] = {
         replace(replace(lower(p_name), ' ', ''), '-', '') AS repaired,
         CASE p_partkey % 3 WHEN 0 THEN 'east' || lower(p_type) WHEN 1 THEN 'north' || lower(p_type) ELSE 'city' END AS directed FROM part""",
     "suggest_names": "SELECT DISTINCT p_name FROM part WHERE contains(lower(p_name), 'wid') ORDER BY p_name LIMIT 10",
-    "name_match": _sql(_match("edited", True), "edited"),
-    "name_unmatched": _sql("SELECT target FROM m WHERE match IS NULL", "edited", m=_match("edited", True)),
-    "name_remaining": _sql("SELECT DISTINCT p_name AS choice FROM part WHERE p_name NOT IN (SELECT match FROM m WHERE match IS NOT NULL)",
-        "edited", fewer="SELECT * FROM edited WHERE target NOT LIKE 's%'", m=_match("fewer", False)),
+    "name_match": _sql(_match("edited", "choices", True), "edited", choices=PART_NAMES),
+    "name_unmatched": _sql("SELECT target FROM m WHERE match IS NULL", "edited", choices=PART_NAMES, m=_match("edited", "choices", True)),
+    "name_remaining": _sql("SELECT choice FROM choices WHERE choice NOT IN (SELECT match FROM m WHERE match IS NOT NULL)",
+        "edited", choices=PART_NAMES_TYPES, m=_match("edited", "choices", False)),
     "overrides": _sql("SELECT DISTINCT target AS raw, 'old bolt' AS official FROM edited WHERE target LIKE 'hh%'", "edited"),
     "token_stats": _sql("SELECT * FROM s", docs=CLEAN_DOCS, s=_token_counts("docs", "q_clean")),
     "specificity": _sql(_scores("docs", "doc_id", "q_clean", "s", "(SELECT count(*) FROM docs)", SPEC, "spec_score"),
@@ -305,11 +369,11 @@ ORACLES: dict[str, str] = {
         _scores("given", "answer_id", "a_clean", "s", "(SELECT count(*) FROM given)", _answer_formula("raw"), "desc_score"),
         "calls_text", rows_=ANSWERS, given='SELECT * FROM rows_ WHERE "KccAns" IS NOT NULL', s=_token_counts("given", "a_clean")),
     "density_cluster": _recursive(
-        "SELECT v.vec_id, CAST(coalesce(label, -1) AS INTEGER) AS cluster_id FROM v LEFT JOIN roots ON v.vec_id = a LEFT JOIN ids USING (r)",
-        _dbscan("0.30,8", "0")),
+        "SELECT vec_id, coalesce(label, -1) AS cluster_id FROM v LEFT JOIN labels USING (vec_id)",
+        _dbscan(_embeddings_by("0"), 0.30, 8)),
     "density_cluster_parts": _recursive(
-        "SELECT v.vec_id, CAST(coalesce(label, -1) AS INTEGER) AS cluster_id, v.part AS label FROM v LEFT JOIN roots ON v.vec_id = a LEFT JOIN ids USING (r)",
-        _dbscan("0.25,3", "label")),
+        "SELECT vec_id, coalesce(labels.label, -1) AS cluster_id, part AS label FROM v LEFT JOIN labels USING (vec_id)",
+        _dbscan(_embeddings_by("label"), 0.25, 3)),
     "cluster_centroid": """SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(e::DOUBLE), 6) AS value FROM (
         SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2""",
     "intent_questions": f"""SELECT row_number() OVER (ORDER BY q_clean) - 1 AS question_id, text AS "QueryText", q_clean, lang,
@@ -338,4 +402,15 @@ ORACLES: dict[str, str] = {
             ON d.question_cluster_id = b.question_cluster_id AND d.rk = 1"""),
     "intent_answer_modes": _given(f"""SELECT question_cluster_id, answer_cluster_id, left(trim("KccAns", e' \\n\\t\\r'), 800) AS "KccAns"
         FROM ({_best("question_cluster_id, answer_cluster_id", " WHERE answer_cluster_id >= 0")})"""),
+    "intent_clusters": _recursive("SELECT question_id, q_clean, question_cluster_id FROM clustered", INTENTS),
+    "intent_assign": _recursive("SELECT conv_id, turn, question_cluster_id FROM asked JOIN clustered USING (q_clean)", INTENTS),
+    "intent_answers": _recursive(
+        """SELECT answer_id, question_cluster_id, answer_cluster_id, "KccAns", a_clean, round(s, 6) AS desc_score FROM a""", INTENT_ANSWERS),
+    "intent_summaries": _recursive(
+        f"""SELECT b.question_cluster_id, r."QueryText" AS rep_question, d."QueryText" AS desc_question,
+        b."KccAns" AS best_answer_overall, coalesce(j, '[]') AS best_answer_per_answer_cluster
+        FROM ({_best("question_cluster_id")}) b
+        JOIN ranked r ON r.question_cluster_id = b.question_cluster_id AND r.by_rep = 1
+        JOIN ranked d ON d.question_cluster_id = b.question_cluster_id AND d.by_desc = 1
+        LEFT JOIN modes ON modes.question_cluster_id = b.question_cluster_id""", INTENT_SUMMARIES),
 }

@@ -293,7 +293,7 @@ def page_count(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    listed = B.places(spark, sf_dir).where(F.col("n_nationkey") % 2 == 0)
+    listed = B.places(spark, sf_dir)
     nowhere = spark.createDataFrame([("ASIA", "NOWHERE")], "StateName string, DistrictName string")
     return listed.select(F.lower("r_name").alias("StateName"), F.col("n_name").alias("DistrictName")).union(nowhere)
 
@@ -440,10 +440,11 @@ def name_unmatched(spark, sf_dir):
 
 @query
 def name_remaining(spark, sf_dir):
-    # without the targets of one letter some choices stay unused
-    targets = B.edited_names(spark, sf_dir).where(~F.startswith("target", F.lit("s")))
-    matches = names.match_names(targets, _choices(spark, sf_dir), threshold=93)
-    return names.remaining(_choices(spark, sf_dir), matches)
+    # the part types are choices that no part name resembles
+    types = B.table(spark, sf_dir, "part").select(F.col("p_type").alias("choice"))
+    choices = _choices(spark, sf_dir).union(types)
+    matches = names.match_names(B.edited_names(spark, sf_dir), choices, threshold=93)
+    return names.remaining(choices, matches)
 
 
 @query
@@ -529,6 +530,9 @@ def cluster_centroid(spark, sf_dir):
     )
 
 
+# for the letter model, whose vectors are all rather similar, and for hashed TF-IDF
+LETTER_QUESTIONS = intents.Clustering(min_cos=0.97, min_pts=4)
+LETTER_ANSWERS = intents.Clustering(min_cos=0.98, min_pts=3)
 QUESTIONS = intents.Clustering(min_cos=0.42, min_pts=3)
 ANSWERS = intents.Clustering(min_cos=0.50, min_pts=2)
 CALL_KEY = ["conv_id", "turn"]
@@ -536,7 +540,8 @@ CALL_KEY = ["conv_id", "turn"]
 
 def _calls_and_questions(spark, sf_dir):
     rows = intents.clean_rows(B.calls_text(spark, sf_dir), CALL_KEY)
-    found, _ = intents.cluster_questions(intents.distinct_questions(rows, CALL_KEY), QUESTIONS)
+    distinct = intents.distinct_questions(rows, CALL_KEY)
+    found, _ = intents.cluster_questions(distinct, LETTER_QUESTIONS, B.letter_model())
     return rows, found
 
 
@@ -588,7 +593,10 @@ def intent_descriptive(spark, sf_dir):
 @query
 def intent_answers(spark, sf_dir):
     rows, questions = _calls_and_questions(spark, sf_dir)
-    return intents.cluster_answers(rows, questions, CALL_KEY, ANSWERS)
+    answers = intents.cluster_answers(rows, questions, CALL_KEY, LETTER_ANSWERS, B.letter_model())
+    return answers.select(
+        "answer_id", "question_cluster_id", "answer_cluster_id", "KccAns", "a_clean", *rounded("desc_score")
+    )
 
 
 def _given_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -634,19 +642,19 @@ def intent_answer_modes(spark, sf_dir):
     return intents.answer_modes(_given_summaries(spark, sf_dir))
 
 
-def _intents(spark, sf_dir):
-    return intents.build_intents(B.calls_text(spark, sf_dir), CALL_KEY, QUESTIONS, ANSWERS)
-
-
 @query
 def intent_summaries(spark, sf_dir):
-    return _intents(spark, sf_dir).summaries
+    tables = intents.build_intents(
+        B.calls_text(spark, sf_dir), CALL_KEY, LETTER_QUESTIONS, LETTER_ANSWERS, B.letter_model()
+    )
+    return tables.summaries
 
 
 @query
 def intent_tables(spark, sf_dir):
     out = new_dir(spark, "intents")
-    intents.write_intents(_intents(spark, sf_dir), out)
+    tables = intents.build_intents(B.calls_text(spark, sf_dir), CALL_KEY, QUESTIONS, ANSWERS)
+    intents.write_intents(tables, out)
     stored = intents.read_summaries(spark, f"{out}/summaries").select("question_cluster_id")
     questions = spark.read.parquet(f"{out}/questions")
     return questions.join(stored, "question_cluster_id", "left_semi").select(
