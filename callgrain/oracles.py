@@ -25,7 +25,7 @@ VIEWS = {
 
 def _sql(body: str, *views: str, **named: str) -> str:
     parts = [f"{v} AS ({VIEWS[v]})" for v in views] + [f"{k} AS ({v})" for k, v in named.items()]
-    return ("WITH RECURSIVE " if "recursive" in body.lower() else "WITH ") + ", ".join(parts) + " " + body if parts else body
+    return f"WITH {', '.join(parts)} {body}"
 
 
 def _words_apart(x: str) -> str:
@@ -183,7 +183,8 @@ def _embeddings_by(part: str) -> str:
 
 
 def _recursive(body: str, named: dict[str, str]) -> str:
-    return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in named.items()) + " " + body
+    parts = ", ".join(f"{k} AS ({v})" for k, v in named.items())
+    return f"WITH RECURSIVE {parts} {body}"
 
 
 CENTROIDS = """SELECT label, list(value ORDER BY pos) AS c FROM (

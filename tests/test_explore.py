@@ -62,7 +62,7 @@ def test_question_groups(spark):
     assert got == [("weather agra", 2, 13, 6.5), ("status pmksn", 1, 11, 11.0)]
     assert [r["id"] for r in E.longest_answers(df, ["id"], 2, cols=("id",)).collect()] == [1, 2]
     samples = E.group_samples(df, "weather agra", ["id"], width=4).collect()
-    assert [tuple(r) for r in samples] == [("Weat", "Rain"), ("the", None)] or samples[1][0] == "the "
+    assert [tuple(r) for r in samples] == [("Weat", "Rain"), ("the ", None)]
 
 
 def test_pages(spark, monkeypatch):
