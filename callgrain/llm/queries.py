@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callgrain.llm import token_counts
+from callgrain.llm import exact_dedup, exact_topk, packing, token_counts
 from callgrain.llm.common import keyed_text, read
 
 QUERIES: dict = {}
@@ -27,3 +27,43 @@ def op2_token_counts(spark, sf_dir):
         "n_tokens",
         (F.col("n_tokens") > 512).alias("over_limit"),
     )
+
+
+@query
+def op8_exact_topk(spark, sf_dir):
+    return exact_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op8_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score FROM s
+) WHERE rank <= 20
+"""
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm)
+"""
