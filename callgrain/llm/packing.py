@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW_TOKENS = 1 << 22
 LOOK = 8  # sequences tried, cheapest first, before a piece is cut
-_BATCH_CHARS = 1 << 20
 
 
 def cost(n: int) -> float:
@@ -64,29 +64,77 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
     return pieces
 
 
-_TOKENIZERS: dict = {}
+# Below this code point no character composes with another and lower case needs no context, so
+# texts made of such characters alone are cut into words here; all others go to the library whole.
+PLAIN = 0x300
+MAX_TOKENS = 1 << 22  # token ids remembered per worker before the memory is renewed
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class WordIds:
+    """Token ids of whole texts. Words are tokenised independently of each other, so the library is
+    asked once per distinct word; the classes of the word pattern are asked from it as well."""
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
+        self._special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
+        self._odd = re.compile(f"[{chr(PLAIN)}-\U0010ffff]")
+        self._words = re.compile(self._pattern()).findall
+        self._forget()
+
+    def _pattern(self) -> str:
+        split, classes = self.library.pre_tokenizer.pre_tokenize_str, {"letter": "", "number": "", "other": ""}
+        plain = "".join(map(chr, range(PLAIN)))
+        for ch in sorted({*plain, *plain.lower()}):  # lower case leads out of the range at times
+            parts = {span for _, span in split(f"a{ch}1{ch}!{ch}a")}
+            if (0, 2) in parts:
+                classes["letter"] += re.escape(ch)
+            elif (3, 4) in parts:
+                classes["number"] += re.escape(ch)
+            elif any(b == 6 for _, b in parts):
+                classes["other"] += re.escape(ch)
+        return "'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[{other}]+".format(**classes)
+
+    def _forget(self) -> None:
+        self._index: dict[str, int] = {}
+        self._flat, self._starts, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        self._index |= {w: len(self._index) + i for i, w in enumerate(words)}
+        lengths = np.array([len(f) for f in found], np.int64)
+        self._starts = np.append(self._starts, len(self._flat) + np.cumsum(lengths) - lengths)
+        self._lengths = np.append(self._lengths, lengths)
+        self._flat = np.concatenate([self._flat, *found])
+
+    def ids(self, text: str) -> np.ndarray:
+        if self._odd.search(text) or self._special.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        words = self._words(text.lower())
+        at = [*map(self._index.get, words)]
+        if None in at:
+            if len(self._flat) > MAX_TOKENS:
+                self._forget()
+            self._learn(sorted({w for w in words if w not in self._index}))
+            at = [*map(self._index.get, words)]
+        at = np.array(at, np.int64)
+        lengths = self._lengths[at]
+        ends = np.cumsum(lengths)
+        return self._flat[np.repeat(self._starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per worker process."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
     return _TOKENIZERS[path]
 
 
-def _token_arrays(tokenizer, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        group.append(t)
-        size += len(t)
-        if size >= _BATCH_CHARS or i + 1 == len(texts):
-            for e in tokenizer.encode_batch_fast(group, add_special_tokens=False):
-                yield np.array([*e.ids, end_id], np.uint32)
-            group, size = [], 0
-
-
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -105,7 +153,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _tokenizer(tokenizer)
+        machine = word_ids(tokenizer)
         base = TaskContext.get().partitionId() << 32
         names, arrays, size, done = [], [], 0, 0
 
@@ -124,7 +172,8 @@ def pack(
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for name, tokens in zip(ids, _token_arrays(machine, batch.column(1).to_pylist(), end_id), strict=True):
+            for name, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+                tokens = np.append(machine.ids(text), np.uint32(end_id))
                 names.append(name)
                 arrays.append(tokens)
                 size += len(tokens)

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-from callgrain.llm.packing import assign, pack
+from callgrain.llm.packing import PLAIN, WordIds, assign, pack
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,3 +58,17 @@ def test_pack(spark):
     assert got[1] == [1] and got[2] == [1] and got[None] == enc("x") and got[4] == enc("a b c") * 2
     by_start = sorted((r for r in table if r["doc_id"] == 3), key=lambda r: r["start"])
     assert sum((r["ids"] for r in by_start), []) == enc(long)
+
+
+def test_ids_are_those_of_the_library():
+    import random
+
+    tok, mine, rng = Tokenizer.from_file(PATH), WordIds(PATH), random.Random(2)
+    hard = [
+        "", " ", "Don't WE'LL it's 're", "x<|endoftext|>y <|STARTOFTEXT|>", "\x1c\x1d a\x85b\xa0c", "İstanbul ÀÉ ß", "123 4a5",
+        "e\u0301 \u03a3\u03a3", "''s !'s", "\u4e2d\u6587 \u00b2\u00bd", "".join(map(chr, range(PLAIN))),
+    ]
+    letters = "abcXYZ  '\n.,!09" + "".join(map(chr, range(PLAIN)))
+    hard += ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(300)]
+    for t in hard:
+        assert mine.ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
