@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +38,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def parts_for(rows: int, per_part: int, spark: SparkSession) -> int:
     """Partitions for a shuffle of ``rows``: no part above ``per_part``, none of the cores idle."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // per_part))
+
+
+class Growing:
+    """A numpy array that grows by doubling, so that appending costs in proportion to what is new."""
+
+    def __init__(self, dtype) -> None:
+        self._store, self.size = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, new) -> None:
+        while self.size + len(new) > len(self._store):
+            self._store = np.concatenate([self._store, np.zeros_like(self._store)])
+        self._store[self.size : self.size + len(new)] = new
+        self.size += len(new)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._store[: self.size]

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callgrain.llm.common import Growing
+
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW_TOKENS = 1 << 22
 LOOK = 8  # sequences tried, cheapest first, before a piece is cut
@@ -67,7 +69,8 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
 # Below this code point no character composes with another and lower case needs no context, so
 # texts made of such characters alone are cut into words here; all others go to the library whole.
 PLAIN = 0x300
-MAX_TOKENS = 1 << 22  # token ids remembered per worker before the memory is renewed
+BATCH_CHARS = 1 << 20
+MAX_TOKENS = 1 << 23  # token ids remembered per worker before the memory is renewed
 
 
 class WordIds:
@@ -82,6 +85,9 @@ class WordIds:
         self._special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self._odd = re.compile(f"[{chr(PLAIN)}-\U0010ffff]")
         self._words = re.compile(self._pattern()).findall
+        vocabulary, end = self.library.get_vocab(), self.library.model.end_of_word_suffix
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for t, i in vocabulary.items() if t.endswith(end)]] = True
         self._forget()
 
     def _pattern(self) -> str:
@@ -99,30 +105,48 @@ class WordIds:
 
     def _forget(self) -> None:
         self._index: dict[str, int] = {}
-        self._flat, self._starts, self._lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._flat, self._starts, self._lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        self._index |= {w: len(self._index) + i for i, w in enumerate(words)}
-        lengths = np.array([len(f) for f in found], np.int64)
-        self._starts = np.append(self._starts, len(self._flat) + np.cumsum(lengths) - lengths)
-        self._lengths = np.append(self._lengths, lengths)
-        self._flat = np.concatenate([self._flat, *found])
-
-    def ids(self, text: str) -> np.ndarray:
-        if self._odd.search(text) or self._special.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self._words(text.lower())
-        at = [*map(self._index.get, words)]
-        if None in at:
-            if len(self._flat) > MAX_TOKENS:
-                self._forget()
-            self._learn(sorted({w for w in words if w not in self._index}))
-            at = [*map(self._index.get, words)]
-        at = np.array(at, np.int64)
-        lengths = self._lengths[at]
-        ends = np.cumsum(lengths)
-        return self._flat[np.repeat(self._starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        """The words are tokenised as one text with blanks between them; the last token of each is
+        one of those that end a word."""
+        found = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        lengths = np.diff(np.flatnonzero(self._ends_word[found]), prepend=-1)
+        assert len(lengths) == len(words), "a word was cut in two"
+        known = len(self._index)
+        self._starts.extend(self._flat.size + np.cumsum(lengths) - lengths)
+        self._lengths.extend(lengths)
+        self._flat.extend(found)
+        self._index.update(zip(words, range(known, known + len(words)), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text of a batch."""
+        cut = [None if self._odd.search(t) or self._special.search(t) else self._words(t.lower()) for t in texts]
+        if self._flat.size > MAX_TOKENS:
+            self._forget()
+        missing = {w for words in cut if words for w in words}.difference(self._index)
+        if missing:
+            self._learn(sorted(missing))
+        look, out = self._index.__getitem__, []
+        flat, starts, sizes = self._flat.values, self._starts.values, self._lengths.values
+        for text, words in zip(texts, cut, strict=True):
+            if words is None:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
+                continue
+            at = np.fromiter(map(look, words), np.int64, len(words))
+            lengths = sizes[at]
+            ends = np.cumsum(lengths)
+            out.append(flat[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
+
+    def by_batches(self, texts: list[str]) -> Iterator[np.ndarray]:
+        group, size = [], 0
+        for i, t in enumerate(texts):
+            group.append(t)
+            size += len(t)
+            if size >= BATCH_CHARS or i + 1 == len(texts):
+                yield from self.ids(group)
+                group, size = [], 0
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -172,8 +196,8 @@ def pack(
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for name, text in zip(ids, batch.column(1).to_pylist(), strict=True):
-                tokens = np.append(machine.ids(text), np.uint32(end_id))
+            for name, tokens in zip(ids, machine.by_batches(batch.column(1).to_pylist()), strict=True):
+                tokens = np.append(tokens, np.uint32(end_id))
                 names.append(name)
                 arrays.append(tokens)
                 size += len(tokens)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, exact_topk, line_dedup, packing, sharding, token_counts
+from callgrain.llm import exact_dedup, exact_topk, line_dedup, packing, pieces, pii, sharding, token_counts
 from callgrain.llm.common import keyed_text, read
 
 QUERIES: dict = {}
@@ -95,3 +95,20 @@ FROM f GROUP BY doc_id
 @query
 def op7_kd_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"), 8)
+
+
+@query
+def op3_pii(spark, sf_dir):
+    replaced, spans = pii.pseudonymise(keyed_text(read(spark, sf_dir, "documents")))
+    return replaced.select("doc_id", "text", F.size(spans).cast("bigint").alias("n_pii"), F.col(spans).alias("spans"))
+
+
+@query
+def op5_sampled_pieces(spark, sf_dir):
+    """The sampled ids of every whole text, and whether decoding them gives the text's digest again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = keyed_text(read(spark, sf_dir, "documents"))
+    decoded = pieces.decode(pieces.encode(docs, model, seed=7), model)
+    return decoded.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
+    )
