@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, exact_topk, line_dedup, packing, pieces, pii, sharding, token_counts
+from callgrain.llm import exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, sharding, token_counts
 from callgrain.llm.common import keyed_text, read
 
 QUERIES: dict = {}
@@ -112,3 +112,8 @@ def op5_sampled_pieces(spark, sf_dir):
     return decoded.select(
         "doc_id", "ids", F.size("ids").cast("bigint").alias("n_pieces"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.components(read(spark, sf_dir, "documents"))
