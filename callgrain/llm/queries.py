@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, sharding, token_counts
+from callgrain.llm import exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, sharding, token_counts, toxicity
 from callgrain.llm.common import keyed_text, read
 
 QUERIES: dict = {}
@@ -117,3 +117,13 @@ def op5_sampled_pieces(spark, sf_dir):
 @query
 def op1_ngram_jaccard(spark, sf_dir):
     return jaccard_join.components(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, score = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"),
+        (F.col(score) >= 0.7).cast("int").alias("predicted"),
+    )
