@@ -12,7 +12,8 @@ A document's set holds 64-bit hashes of its distinct 4-word shingles. Two sets l
    the first one of its run, runs cut by a partition border are stitched, lone keys vanish. No key
    gathers in one task.
 3. Pairs survive if the summed coordinate minima of their points, which bound the common members,
-   suffice; survivors are verified on their sets. Links make components.
+   suffice, first of GROUPS coordinates and then of as many as half their members; survivors are
+   verified on their sets. Links make components.
 4. Keys that still hold several components are joined again in R-trees over their points, boxes
    against boxes and then points against points, only across components. A key with more than
    ``TILE_ROWS`` members is dealt out in tiles. Survivors are verified, and all links make the
@@ -104,6 +105,13 @@ def count_vector(members: np.ndarray) -> np.ndarray:
     return np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def fine_vector(members: np.ndarray) -> bytes:
+    """Counts of so many groups that two or fewer members share one; empty where one exceeds a byte."""
+    bits = max(6, (max(1, len(members) // 2) - 1).bit_length())
+    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The members by which a linked partner must be met."""
     n = len(members)
@@ -119,7 +127,7 @@ def keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _profiles(frequent: np.ndarray):
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-         ("point", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))]
+         ("point", pa.list_(pa.int32())), ("fine", pa.binary()), ("keys", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +136,7 @@ def _profiles(frequent: np.ndarray):
             with np.errstate(over="ignore"):
                 for m in _batched(batch.column(1).to_pylist()):
                     digest = (int(m.sum()), int(_mix(m + np.uint64(7)).sum())) if len(m) else (0, 0)
-                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), keys(m, frequent).view(np.int64)))
+                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), fine_vector(m), keys(m, frequent).view(np.int64)))
             cols = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))] if rows else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
@@ -256,24 +264,60 @@ class RTree:
 _PAIRS = "a long, b long"
 
 
-def _tile_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Surviving pairs of one tile across components."""
-    rows = rows.drop_duplicates(["id", "chunk"])
-    _, left_chunk, right_chunk = key
-    left = rows[rows["chunk"] == left_chunk]
-    right = left if left_chunk == right_chunk else rows[rows["chunk"] == right_chunk]
+def _tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, chunks: np.ndarray) -> list[np.ndarray]:
+    """Surviving index pairs of one tile of more than a leaf, across components."""
+    sides = [np.flatnonzero(chunks == c) for c in np.unique(chunks)]
+    trees = [RTree(points[s], sizes[s]) for s in sides]
     found = []
-    if len(left) and len(right):
-        tree = lambda r: RTree(np.stack(r["point"].to_numpy()).astype(np.int64), r["n"].to_numpy())
-        one = tree(left)
-        ids_a, ids_b, root_a, root_b = (r[c].to_numpy() for c in ("id", "root") for r in (left, right))
-        for x, y in one.join(one if right is left else tree(right)):
-            apart = root_a[x] != root_b[y]
-            x, y = x[apart], y[apart]
-            if len(x):
-                found.append(np.stack([np.minimum(ids_a[x], ids_b[y]), np.maximum(ids_a[x], ids_b[y])]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    for x, y in trees[0].join(trees[-1]):
+        x, y = sides[0][x], sides[-1][y]
+        apart = roots[x] != roots[y]
+        if apart.any():
+            found.append(np.stack([x[apart], y[apart]]))
+    return found
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles, sorted by (key, x, y), to pairs (a, b). A tile of one leaf needs no tree: those of a
+    batch are compared together, a pair that meets under several keys once."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        key, x, y, ids, roots, chunks, sizes = (t.column(i).to_numpy() for i in range(7))
+        points = t.column(7).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+        new = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        begin = np.append(np.flatnonzero(new), len(key))
+        tile = np.cumsum(new)
+        small = np.diff(begin)[tile - 1] <= LEAF
+        found = [np.zeros((2, 0), np.int64)]
+        for d in range(1, min(LEAF, len(key))):
+            at = np.flatnonzero((tile[:-d] == tile[d:]) & (roots[:-d] != roots[d:]) & small[:-d])
+            found.append(np.stack([at, at + d]))
+        pairs = np.concatenate(found, axis=1)
+        names = np.sort(ids[pairs], axis=0)
+        pairs = pairs[:, np.unique(names, axis=1, return_index=True)[1]]
+        keep = [
+            _enough(np.minimum(points[u], points[v]).sum(axis=1), sizes[u], sizes[v])
+            for u, v in (pairs[:, s : s + 8192] for s in range(0, pairs.shape[1], 8192))
+        ]
+        found = [pairs[:, np.concatenate(keep)] if keep else pairs]
+        for i in np.flatnonzero(np.diff(begin) > LEAF).tolist():
+            s = slice(begin[i], begin[i + 1])
+            found += [begin[i] + f for f in _tree_pairs(ids[s], sizes[s], points[s], roots[s], chunks[s])]
+        names = np.unique(np.sort(ids[np.concatenate(found, axis=1)], axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []  # the last tile so far may go on in the next batch
+    for batch in batches:
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        last = [t.column(i).to_numpy() for i in range(3)]
+        cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in last]))) if len(t) else 0
+        if cut:
+            yield compare(t.slice(0, cut))
+            held = t.slice(cut).combine_chunks().to_batches()
+    t = pa.Table.from_batches(held) if held else None
+    if t is not None and len(t):
+        yield compare(t)
 
 
 def _bounded(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -284,6 +328,27 @@ def _bounded(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
+@F.pandas_udf(BooleanType())
+def _may_link(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    """The same bound on the fine vectors; groups are leading hash bits, so the longer vector folds."""
+    common = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if not x or not y:
+            common[i] = min(n_a.iat[i], n_b.iat[i])
+            continue
+        p, q = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+        if len(q) > len(p):
+            q = q.reshape(len(p), -1).sum(axis=1)
+        common[i] = np.minimum(p, q).sum(dtype=np.int64)
+    return pd.Series(_enough(common, n_a.to_numpy(), n_b.to_numpy()))
+
+
+def _finer(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs that the fine vectors leave."""
+    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"f_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("f_a", "f_b", "n_a", "n_b")).select("a", "b")
+
+
 @F.pandas_udf(BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
@@ -323,7 +388,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = texts.where("id is not null")
     frequent = _frequent_members(some)
     profiles = stored(
-        texts.mapInArrow(_profiles(frequent), "id long, n long, s1 long, s2 long, point array<int>, keys array<long>"), "profiles"
+        texts.mapInArrow(_profiles(frequent), "id long, n long, s1 long, s2 long, point array<int>, fine binary, keys array<long>"), "profiles"
     )
     used = profiles.where("id is not null and n > 0")
     classes = used.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
@@ -344,9 +409,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     borders = blocks.where("edge").groupBy("key").agg(F.min("head").alias("least"), F.collect_set("head").alias("heads"))
     stitched = borders.select("least", F.explode("heads").alias("head"))
     stars = blocks.select(F.col("head").alias("a"), F.col("id").alias("b")).union(stitched).where("a != b").distinct()
-    points = reps.select("id", "n", "point").dropDuplicates(["id"])
-    first = stored(_verified(stored(_bounded(stars, points), "star-pairs"), some), "links")
-    labelled, _ = _labelled(points, first)
+    points = reps.select("id", "n", "point", "fine").dropDuplicates(["id"])
+    first = stored(_verified(stored(_finer(stored(_bounded(stars, points), "star-bounds"), points), "star-pairs"), some), "links")
+    labelled, _ = _labelled(points.select("id"), first)
 
     labelled = stored(labelled, "labelled")
     members = blocks.select("key", "id").join(labelled.select("id", "root"), "id")
@@ -357,10 +422,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tiles = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "root", "chunk"
     )
-    survivors = tiles.join(points, "id").groupBy("key", "x", "y").applyInPandas(_tile_pairs, _PAIRS).distinct()
-    second = _verified(stored(survivors, "tree-pairs"), some)
+    held = tiles.join(points.drop("fine"), "id").select("key", "x", "y", "id", "root", "chunk", "n", "point")
+    survivors = (
+        held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+        .mapInArrow(_survivors, _PAIRS).where("a != b").distinct()
+    )
+    second = _verified(stored(_finer(stored(survivors, "tree-bounds"), points), "tree-pairs"), some)
     links = first.union(second).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    _, roots = _labelled(points, stored(links, "links"))
+    _, roots = _labelled(points.select("id"), stored(links, "links"))
     return profiles.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left").select(
         F.col("id").alias("doc_id"), "n_shingles", F.coalesce("root", "id").alias("component_id")
     )
