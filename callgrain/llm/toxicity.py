@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from callgrain.llm.common import fresh_name
 
 DECAY, SPAN = 0.5, 7
-LANDMARKS = 384
+LANDMARKS = 256
 ROUNDS = 4
 # The bounded sample the machine is fitted on: documents by label, and words of each, at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1500, 4500, 2000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1000, 3000, 2000
+COMMON = 4000  # random words of clean documents in each fit
+_CHUNK = 10_000
 MAX_TOKENS = 1 << 20  # distinct tokens remembered per worker before the memory is renewed
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?!\S)")
 _STEPS = [(a, b, c, DECAY ** (c - 3)) for a, b, c in combinations(range(1, SPAN), 3)]
@@ -146,75 +148,94 @@ def _sigmoid(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(documents: list[set[str]], toxic: list[bool]) -> Machine:
-    """Fit on the tokens of labelled documents. Without both labels every text scores the base rate."""
-    y = np.where(toxic, 1.0, -1.0)
-    blank = Machine(np.zeros(1 << 20, np.float32), 0.0, 0.0, float(np.log(((y > 0).sum() + 1) / ((y < 0).sum() + 1))))
-    vocabulary = sorted(set().union(*documents)) if documents else []
-    if not vocabulary or (y > 0).sum() == 0 or (y < 0).sum() == 0:
+def _chunks(vocabulary: list[str]) -> Iterator[tuple[int, list[str]]]:
+    for s in range(0, len(vocabulary), _CHUNK):
+        yield s, vocabulary[s : s + _CHUNK]
+
+
+def _first_scores(vocabulary: list[str], seen: np.ndarray, odds: float) -> np.ndarray:
+    """How much more often than in clean documents a word's subsequences occur in toxic ones, in
+    deviations; a word frequent in clean documents is never the guilty one."""
+    counts = np.zeros((2, 1 << 20))
+    for s, words in _chunks(vocabulary):
+        word, subsequence, _ = features(words)
+        for k in (0, 1):
+            counts[k] += np.bincount(subsequence, seen[k][s + word], minlength=1 << 20)
+    expected = (counts[0] + 0.5) * counts[1].sum() / max(1.0, counts[0].sum())
+    excess = (counts[1] - expected) / np.sqrt(expected + 3.0)
+    score = np.zeros(len(vocabulary))
+    for s, words in _chunks(vocabulary):
+        word, subsequence, weight = features(words)
+        score[s : s + len(words)] = np.bincount(word, weight**2 * excess[subsequence], minlength=len(words))
+    return score - 100.0 * (seen[0] > 2 + 3 * seen[1] * odds)
+
+
+def _machine(marks: list[str], words: list[str], target: np.ndarray) -> Machine:
+    """The support vector machine of ``words`` on Nyström features of the landmarks ``marks``."""
+    word, subsequence, weight = features(marks)
+    used, place = np.unique(subsequence, return_inverse=True)
+    land = np.zeros((len(marks), len(used)))
+    np.add.at(land, (word, place), weight)
+    value, vector = np.linalg.eigh(land @ land.T + 1e-6 * np.eye(len(marks)))
+    root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
+    word, subsequence, weight = features(words)
+    place = np.minimum(np.searchsorted(used, subsequence), len(used) - 1)
+    hit = used[place] == subsequence
+    kernel = np.zeros((len(words), len(marks)))
+    ends = np.cumsum(np.bincount(word[hit], minlength=len(words)))
+    order = np.argsort(word[hit], kind="stable")
+    place, weight = place[hit][order], weight[hit][order]
+    for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        kernel[i] = land[:, place[a:b]] @ weight[a:b]
+    w, b = _hinge(kernel @ root, target)
+    weights = np.zeros(1 << 20, np.float32)
+    weights[used] = land.T @ (root @ w)
+    return Machine(weights, b, 1.0, 0.0)
+
+
+def fit(vocabulary: list[str], owned: list[np.ndarray], toxic: list[bool]) -> Machine:
+    """Fit on labelled documents, each given by the places of its words in the sorted ``vocabulary``.
+    Without both labels every text scores the base rate."""
+    y = np.where(np.array(toxic, bool), 1.0, -1.0)
+    n_bad, n_good = int((y > 0).sum()), int((y < 0).sum())
+    blank = Machine(np.zeros(1 << 20, np.float32), 0.0, 0.0, float(np.log((n_bad + 1) / (n_good + 1))))
+    if not vocabulary or not n_bad or not n_good:
         return blank
-    index = {w: i for i, w in enumerate(vocabulary)}
-    owned = [np.fromiter((index[w] for w in sorted(d)), np.int64, len(d)) for d in documents]
     seen = np.zeros((2, len(vocabulary)))
     for words, t in zip(owned, y > 0, strict=True):
         seen[int(t), words] += 1
-    word, subsequence, weight = features(vocabulary)
-    # how much more often than in clean documents a subsequence occurs in toxic ones, in deviations
-    clean, bad = (np.bincount(subsequence, seen[k][word], minlength=1 << 20) for k in (0, 1))
-    expected = (clean + 0.5) * bad.sum() / clean.sum()
-    excess = (bad - expected) / np.sqrt(expected + 3.0)
-    score = np.bincount(word, weight**2 * excess[subsequence], minlength=len(vocabulary))
-    # a word frequent in clean documents is never the guilty one
-    score -= 100.0 * (seen[0] > 2 + 3 * seen[1] * (y < 0).sum() / (y > 0).sum())
-    rng = np.random.default_rng(0)
-    order = np.argsort(word, kind="stable")
-    word, subsequence, weight = word[order], subsequence[order], weight[order]
-    starts = np.searchsorted(word, np.arange(len(vocabulary) + 1))
-    machine = blank
+    score = _first_scores(vocabulary, seen, n_good / n_bad)
+    rng, machine = np.random.default_rng(0), blank
     for _ in range(ROUNDS):
         worst = np.array([w[np.argmax(score[w])] if len(w) else -1 for w in owned])
         guilty, hard = worst[(y > 0) & (worst >= 0)], worst[(y < 0) & (worst >= 0)]
-        common = rng.choice(len(vocabulary), min(len(vocabulary), 6000), replace=False)
+        common = rng.choice(len(vocabulary), min(len(vocabulary), COMMON), replace=False)
         common = common[seen[0][common] > 0]
-        positive = np.unique(guilty)
         # a toxic document of which every word also looks clean teaches nothing
-        line = np.quantile(score[hard], 0.9) if len(hard) else 0.0
-        positive = positive[score[positive] > line]
+        positive = np.unique(guilty)
+        positive = positive[score[positive] > (np.quantile(score[hard], 0.9) if len(hard) else 0.0)]
         negative = np.setdiff1d(np.unique(np.concatenate([hard, common])), positive)
         if not len(positive) or not len(negative):
             return blank
-        best = positive[np.argsort(-score[positive])]
-        marks = np.concatenate([
-            rng.choice(best, min(len(best), LANDMARKS // 2), replace=False), rng.choice(negative, min(len(negative), LANDMARKS // 2), replace=False)
-        ])
-        rows = np.concatenate([positive, negative])
-        used, place = np.unique(np.concatenate([subsequence[starts[m] : starts[m + 1]] for m in marks]), return_inverse=True)
-        land = np.zeros((len(marks), len(used)))
-        at = 0
-        for i, m in enumerate(marks):
-            n = starts[m + 1] - starts[m]
-            np.add.at(land[i], place[at : at + n], weight[starts[m] : starts[m + 1]])
-            at += n
-        own = land @ land.T
-        value, vector = np.linalg.eigh(own + 1e-6 * np.eye(len(marks)))
-        root = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-        kernel = np.zeros((len(rows), len(marks)))
-        for i, r in enumerate(rows):
-            s = subsequence[starts[r] : starts[r + 1]]
-            p = np.minimum(np.searchsorted(used, s), len(used) - 1)
-            hit = used[p] == s
-            kernel[i] = land[:, p[hit]] @ weight[starts[r] : starts[r + 1]][hit]
+        some = lambda x: rng.choice(x, min(len(x), LANDMARKS // 2), replace=False)
+        named = lambda x: [vocabulary[i] for i in x.tolist()]
+        marks = np.concatenate([some(positive), some(negative)])
         target = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        w, b = _hinge(kernel @ root, target)
-        weights = np.zeros(1 << 20)
-        weights[used] = land.T @ (root @ w)
-        machine = Machine(weights.astype(np.float32), b, 1.0, 0.0)
-        score = np.bincount(word, weight * weights[subsequence], minlength=len(vocabulary)) + b
+        machine = _machine(named(marks), named(positive) + named(negative), target)
+        for s, words in _chunks(vocabulary):
+            score[s : s + len(words)] = machine.words(words)
     top = np.array([score[w].max() if len(w) else machine.intercept for w in owned])
     slope, shift = _sigmoid(top, y)
     return Machine(machine.weights, machine.intercept, slope, shift)
 
 
+def fit_texts(texts: list[str], toxic: list[bool]) -> Machine:
+    found = [tokens(t) for t in texts]
+    vocabulary = sorted(set().union(*found)) if found else []
+    index = {w: i for i, w in enumerate(vocabulary)}
+    return fit(vocabulary, [np.array(sorted(index[w] for w in f), np.int64) for f in found], toxic)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether the row is kept for evaluation: crc32 of the id's text leaves 1 when divided by 3."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
@@ -238,9 +259,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": rows["id"], "toxic": rows["toxic"], "words": words})
 
     sample = texts.join(F.broadcast(chosen), "id").mapInPandas(cut, "id long, toxic int, words array<string>")
-    found = {r["id"]: r for r in sample.toLocalIterator()}
+    # words become numbers as they arrive, so the driver holds each distinct word once
+    index: dict[str, int] = {}
+    found = {}
+    for r in sample.toLocalIterator():
+        found[r["id"]] = r["toxic"], np.array([index.setdefault(w, len(index)) for w in r["words"]], np.int64)
+    vocabulary = sorted(index)
+    place = np.zeros(len(index), np.int64)
+    place[[index[w] for w in vocabulary]] = np.arange(len(vocabulary))
     rows = [found[i] for i in sorted(found)]
-    return fit([set(r["words"]) for r in rows], [bool(r["toxic"]) for r in rows])
+    return fit(vocabulary, [np.sort(place[words]) for _, words in rows], [bool(t) for t, _ in rows])
 
 
 def hash_of(word: str) -> int:

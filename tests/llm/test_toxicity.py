@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from callgrain.llm.toxicity import DECAY, Machine, features, fit, held_out, score, tokens, train
+from callgrain.llm.toxicity import DECAY, Machine, features, fit_texts, held_out, score, train
 from pyspark.sql import functions as F
 
 BAD = ["grobnix", "trakul"]
@@ -44,7 +44,7 @@ def test_word_values_are_kernel_sums():
 
 def test_held_out_accuracy(spark):
     rows = corpus(1)
-    m = fit([tokens(t) for _, t, _ in rows], [bool(y) for *_, y in rows])
+    m = fit_texts([t for _, t, _ in rows], [bool(y) for *_, y in rows])
     fresh = corpus(2)
     df = spark.createDataFrame([(i, t, "x") for i, t, _ in fresh] + [(1000, None, "x"), (1001, "", "x"), (1002, "g r o b n i x", "x"), (1003, "g.r.o.b.n.i.x you", "x")],
                                "doc_id long, text string, toxicity string")
