@@ -9,8 +9,8 @@ key, the unit's place in the text and the position alone, so a repeated task rep
 
 The model file holds merge ranks, not probabilities: rank r is given the Zipf weight
 ``(r + ZIPF) ** -sharpness``. Pieces are matched with blanks in place of the model's blank mark and
-the text has one blank put before it. Characters without a piece, among them the mark itself, are
-written as their UTF-8 bytes; decoding is exact.
+the text has one blank put before it. A character without a piece of its own, such as the mark itself, may be
+written as its UTF-8 bytes, at the weight of the last rank. Decoding is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from callgrain.llm.common import Growing
 
 ZIPF = 2.7
 BATCH_CHARS = 1 << 20
-MAX_EDGES = 1 << 22  # lattice edges remembered per worker before the memory is renewed
+LATTICE = 1 << 16  # positions of the lattices filtered at once
+MAX_EDGES = 1 << 23  # lattice edges remembered per worker before the memory is renewed
 _RAW = 1 << 24  # symbols above are code points to be written as bytes
 
 
@@ -50,6 +51,8 @@ class PieceSampler:
         # weights follow the order of the scores; user-defined pieces share the lowest ranks
         order = sorted(normal, key=lambda i: (-sp.get_score(i), i))
         self.weight = {self.names[i]: (i, -sharpness * math.log(r + ZIPF)) for r, i in enumerate(order)}
+        self._byte_weight = -sharpness * math.log(len(order) + ZIPF)
+        self._trie()
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self._byte_of = {int(i): bytes([b]) for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.weight))
@@ -58,44 +61,81 @@ class PieceSampler:
         self._units = re.compile(f" +[{inner}]*|[{inner}]+|[^ {inner}]").findall
         self._forget()
 
+    def _trie(self) -> None:
+        """The pieces as a trie in sorted arrays: (node, character) to child, and the piece that ends there."""
+        nodes, edges = {"": 0}, {}
+        for piece in sorted(self.weight):
+            for i in range(len(piece)):
+                child = nodes.setdefault(piece[: i + 1], len(nodes))
+                edges[nodes[piece[:i]] * 0x110000 + ord(piece[i])] = child
+        self._edges = np.array(sorted(edges), np.int64)
+        self._child = np.array([edges[e] for e in self._edges.tolist()], np.int64)
+        ends = [self.weight.get(prefix, (-1, 0.0)) for prefix in nodes]
+        self._piece, self._log = np.array([i for i, _ in ends]), np.array([w for _, w in ends])
+
     def _forget(self) -> None:
         self._index: dict[str, int] = {}
         # per unit: its last position in the common numbering; per edge: upper end of its share, length, symbol
-        self._last, self._cuts, self._step, self._symbol = Growing(np.int64), Growing(float), Growing(np.int64), Growing(np.int64)
+        self._last, self._cuts, self._step, self._symbol = Growing(np.int64), Growing(float), Growing(np.int8), Growing(np.int32)
         self._positions = 0
 
     def _learn(self, units: list[str]) -> None:
-        last, cuts, step, symbols = [], [], [], []
-        for unit in units:
-            self._filter(unit, cuts, step, symbols)
-            last.append(self._positions - 1)
+        """Forward filtering of new units, those of similar length together."""
+        units = sorted(units, key=len)
+        start = 0
+        while start < len(units):
+            stop = start + 1
+            while stop < len(units) and (stop - start + 1) * len(units[stop]) <= LATTICE:
+                stop += 1
+            self._filter(units[start:stop])
+            start = stop
+
+    def _filter(self, units: list[str]) -> None:
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        width = int(sizes[-1])
+        chars = np.zeros((len(units), width), np.int64)
+        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        real = np.arange(width) < sizes[:, None]
+        chars[real] = flat
+        # log weight and symbol of the piece of each length that ends at each position
+        weight = np.full((len(units), width + 1, self.longest), -np.inf)
+        symbol = np.zeros((len(units), width + 1, self.longest), np.int64)
+        row, at = np.nonzero(real)
+        # a character's bytes, unless its own piece takes the place below
+        weight[row, at + 1, 0], symbol[row, at + 1, 0] = self._byte_weight, _RAW + chars[row, at]
+        node = np.zeros(len(row), np.int64)
+        for length in range(1, self.longest + 1):
+            inside = at + length <= sizes[row]
+            row, at, node = row[inside], at[inside], node[inside]
+            edge = node * 0x110000 + chars[row, at + length - 1]
+            place = np.minimum(np.searchsorted(self._edges, edge), len(self._edges) - 1)
+            hit = self._edges[place] == edge
+            row, at, node = row[hit], at[hit], self._child[place[hit]]
+            piece = self._piece[node]
+            ends = piece >= 0
+            r, e = row[ends], at[ends] + length
+            weight[r, e, length - 1], symbol[r, e, length - 1] = self._log[node[ends]], piece[ends]
+        total = np.full((len(units), width + 1), -np.inf)  # log of the summed weights of all ways
+        total[:, 0] = 0.0
+        for end in range(1, width + 1):
+            reach = min(end, self.longest)
+            ways = weight[:, end, :reach]
+            ways += total[:, end - reach : end][:, ::-1]
+            top = ways.max(axis=1)
+            top[np.isinf(top)] = 0.0  # behind the end of a shorter unit
+            shares = np.cumsum(np.exp(ways - top[:, None]), axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total[:, end] = np.log(shares[:, -1]) + top
+                shares /= shares[:, -1:]
+            weight[:, end, :reach] = np.where(np.isinf(ways) | np.isnan(shares), -np.inf, shares)
+        row, end, length = np.nonzero(weight > -np.inf)
+        base = self._positions + np.cumsum(sizes + 1) - (sizes + 1)
+        self._cuts.extend(base[row] + end + weight[row, end, length])
+        self._step.extend(length + 1)
+        self._symbol.extend(symbol[row, end, length])
         self._index.update(zip(units, range(self._last.size, self._last.size + len(units)), strict=True))
-        for store, new in ((self._last, last), (self._cuts, cuts), (self._step, step), (self._symbol, symbols)):
-            store.extend(new)
-
-    def _filter(self, unit: str, cuts: list, step: list, symbols: list) -> None:
-        """Forward filtering of one unit: appends its edges, position by position."""
-        n, base = len(unit), self._positions
-        total = [0.0] + [-math.inf] * n  # log of the summed weights of all ways
-        for end in range(1, n + 1):
-            ways = []
-            for start in range(max(0, end - self.longest), end):
-                known = self.weight.get(unit[start:end])
-                if known and total[start] > -math.inf:
-                    ways.append((total[start] + known[1], end - start, known[0]))
-            if not ways:  # no piece ends here: the character's bytes do
-                ways.append((total[end - 1] if total[end - 1] > -math.inf else 0.0, 1, _RAW + ord(unit[end - 1])))
-            top = max(w for w, _, _ in ways)
-            shares = [math.exp(w - top) for w, _, _ in ways]
-            whole, at = sum(shares), 0.0
-            total[end] = top + math.log(whole)
-            for share, (_, length, symbol) in zip(shares, ways, strict=True):
-                at += share
-                cuts.append(base + end + at / whole)
-                step.append(length)
-                symbols.append(symbol)
-            cuts[-1] = base + end + 1.0
-        self._positions += n + 1
+        self._last.extend(base + sizes)
+        self._positions += int((sizes + 1).sum())
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         """A sampled segmentation of each text as piece ids."""
@@ -135,12 +175,14 @@ class PieceSampler:
         raw = symbols >= _RAW
         if not raw.any():
             return symbols.astype(np.int32)
+        symbols = symbols.copy()
+        plain = raw & (symbols < _RAW + 128)
+        symbols[plain] = self.bytes[symbols[plain] - _RAW]
+        if not (raw & ~plain).any():
+            return symbols.astype(np.int32)
         out = []
         for s in symbols.tolist():
-            if s < _RAW:
-                out.append(s)
-            else:
-                out += self.bytes[list(chr(s - _RAW).encode("utf-8"))].tolist()
+            out += [s] if s < _RAW else self.bytes[list(chr(s - _RAW).encode("utf-8"))].tolist()
         return np.array(out, np.int32)
 
     def decode(self, ids: list[int]) -> str:
