@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,22 @@ class Growing:
     @property
     def values(self) -> np.ndarray:
         return self._store[: self.size]
+
+
+def grouped(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Consecutive groups of about ``most`` characters; a longer text is a group of its own."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def text_slices(column, rows: int = 256) -> Iterator[list[str]]:
+    """An Arrow column as Python lists of a few rows each, so that a batch is never held twice."""
+    for start in range(0, len(column), rows):
+        yield column.slice(start, rows).to_pylist()

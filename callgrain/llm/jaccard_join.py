@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from callgrain.llm.common import SPACE_CHARS, keyed_text, parts_for, stored
+from callgrain.llm.common import SPACE_CHARS, grouped, keyed_text, parts_for, stored, text_slices
 from callgrain.plans.components import connected_components
 
 WORDS = 4
@@ -91,14 +91,10 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         return out
 
 
-def _batched(texts: list[str]) -> Iterator[np.ndarray]:
-    group, size = [], 0
-    for i, t in enumerate(texts):
-        group.append(t)
-        size += len(t)
-        if size >= BATCH_BYTES or i + 1 == len(texts):
+def _batched(column: pa.Array) -> Iterator[np.ndarray]:
+    for texts in text_slices(column):
+        for group in grouped(texts, BATCH_BYTES):
             yield from shingle_sets(group)
-            group, size = [], 0
 
 
 def count_vector(members: np.ndarray) -> np.ndarray:
@@ -134,7 +130,7 @@ def _profiles(frequent: np.ndarray):
         for batch in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for m in _batched(batch.column(1).to_pylist()):
+                for m in _batched(batch.column(1)):
                     digest = (int(m.sum()), int(_mix(m + np.uint64(7)).sum())) if len(m) else (0, 0)
                     rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), fine_vector(m), keys(m, frequent).view(np.int64)))
             cols = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))] if rows else None
@@ -146,7 +142,7 @@ def _profiles(frequent: np.ndarray):
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([m.tobytes() for m in _batched(batch.column(1).to_pylist())], pa.binary())
+        sets = pa.array([m.tobytes() for m in _batched(batch.column(1))], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "members"])
 
 
@@ -155,7 +151,7 @@ def _frequent_members(rows: DataFrame) -> np.ndarray:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m in _batched(batch.column(1).to_pylist()):
+            for m in _batched(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64))], names=["member"])
 
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)

@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import Growing
+from callgrain.llm.common import Growing, grouped, text_slices
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-WINDOW_TOKENS = 1 << 22
+WINDOW_TOKENS = 1 << 20
 LOOK = 8  # sequences tried, cheapest first, before a piece is cut
 
 
@@ -70,7 +70,7 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
 # texts made of such characters alone are cut into words here; all others go to the library whole.
 PLAIN = 0x300
 BATCH_CHARS = 1 << 20
-MAX_TOKENS = 1 << 23  # token ids remembered per worker before the memory is renewed
+MAX_TOKENS = 3 << 20  # token ids remembered per worker before the memory is renewed
 
 
 class WordIds:
@@ -139,14 +139,10 @@ class WordIds:
             out.append(flat[np.repeat(starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
-    def by_batches(self, texts: list[str]) -> Iterator[np.ndarray]:
-        group, size = [], 0
-        for i, t in enumerate(texts):
-            group.append(t)
-            size += len(t)
-            if size >= BATCH_CHARS or i + 1 == len(texts):
+    def by_batches(self, column: pa.Array) -> Iterator[np.ndarray]:
+        for texts in text_slices(column):
+            for group in grouped(texts, BATCH_CHARS):
                 yield from self.ids(group)
-                group, size = [], 0
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -196,7 +192,7 @@ def pack(
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for name, tokens in zip(ids, machine.by_batches(batch.column(1).to_pylist()), strict=True):
+            for name, tokens in zip(ids, machine.by_batches(batch.column(1)), strict=True):
                 tokens = np.append(tokens, np.uint32(end_id))
                 names.append(name)
                 arrays.append(tokens)

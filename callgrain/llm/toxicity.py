@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import fresh_name
+from callgrain.llm.common import fresh_name, grouped, text_slices
 
 DECAY, SPAN = 0.5, 7
 LANDMARKS = 256
@@ -35,7 +35,8 @@ ROUNDS = 4
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1000, 3000, 2000
 COMMON = 4000  # random words of clean documents in each fit
 _CHUNK = 10_000
-MAX_TOKENS = 1 << 20  # distinct tokens remembered per worker before the memory is renewed
+BATCH_CHARS = 1 << 20
+MAX_TOKENS = 1 << 18  # distinct tokens remembered per worker before the memory is renewed
 _SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?!\S)")
 _STEPS = [(a, b, c, DECAY ** (c - 3)) for a, b, c in combinations(range(1, SPAN), 3)]
 
@@ -289,14 +290,16 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[Da
     def worst(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         for texts in batches:
-            found = [tokens(t) for t in texts.to_pylist()]
-            if len(known) > MAX_TOKENS:
-                known.clear()
-            new = sorted(set().union(*found).difference(known)) if found else []
-            for s in range(0, len(new), 20_000):
-                part = new[s : s + 20_000]
-                known.update(zip(part, m.words(part).tolist(), strict=True))
-            tops = np.array([max(map(known.__getitem__, f), default=m.intercept) for f in found])
-            yield pa.array(m.probability(tops) if len(tops) else tops, pa.float64())
+            tops = [np.zeros(0)]
+            for part in (g for some in text_slices(texts) for g in grouped(some, BATCH_CHARS)):
+                found = [tokens(t) for t in part]
+                if len(known) > MAX_TOKENS:
+                    known.clear()
+                new = sorted(set().union(*found).difference(known))
+                for s in range(0, len(new), _CHUNK):
+                    some = new[s : s + _CHUNK]
+                    known.update(zip(some, m.words(some).tolist(), strict=True))
+                tops.append(np.array([max(map(known.__getitem__, f), default=m.intercept) for f in found]))
+            yield pa.array(m.probability(np.concatenate(tops)), pa.float64())
 
     return docs.withColumn(out, worst(F.coalesce(F.col(text_col), F.lit("")))), out
