@@ -46,9 +46,9 @@ def embed(
 
     ``embedder`` maps a list of at most ``chunk`` one-line texts to a matrix and runs in the tasks.
     Without one, words are hashed to ``dim`` places, weighted by rarity and scaled to unit length,
-    all inside the JVM.
+    all inside the JVM. A null text counts as empty.
     """
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), one_line(F.col(text_col)).alias("text"))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), one_line(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     if embedder is not None:
         out = texts.mapInPandas(_run(embedder, chunk), "id bigint, embedding array<float>")
         return out.withColumnRenamed("id", id_col)

@@ -86,9 +86,13 @@ def place_top(
     df: DataFrame, targets: DataFrame, keys: list[str], col: str,
     others: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Top value of one column per target place; with ``others`` the fallback applies."""
+    """Top value of one column per target place, N/A for a place without values; with ``others`` the
+    fallback applies."""
     leaders = leading_values(value_counts(df, targets, keys, [col]), keys, 2 if others else 1)
-    return top_with_fallback(leaders, keys, others).select(*keys, F.col("top").alias(col))
+    places = targets.select(*[_place(k) for k in keys]).distinct()
+    return places.join(top_with_fallback(leaders, keys, others), keys, "left").select(
+        *keys, F.coalesce("top", F.lit("N/A")).alias(col)
+    )
 
 
 def top_value_is(

@@ -332,10 +332,13 @@ ORACLES: dict[str, str] = {
         LEFT JOIN (SELECT {PAIR}, max(v) AS top FROM ({_leaders(PAIR, 'QueryType')}) WHERE rk = 1 GROUP BY {PAIR}) k USING ({PAIR})""",
         "calls_dim", "places", targets=TARGETS),
     "place_top_crop": _sql(
-        f"""SELECT "StateName", {FALLBACK} AS "Crop" FROM ({_leaders('"StateName"', 'Crop')}) GROUP BY "StateName" """,
+        f"""SELECT t."StateName", coalesce(c.top, 'N/A') AS "Crop" FROM (SELECT DISTINCT "StateName" FROM targets) t LEFT JOIN (
+        SELECT "StateName", {FALLBACK} AS top FROM ({_leaders('"StateName"', 'Crop')}) GROUP BY "StateName") c USING ("StateName")""",
         "calls_dim", "places", targets=TARGETS),
     "place_top_qtype": _sql(
-        f'SELECT {PAIR}, v AS "QueryType" FROM ({_leaders(PAIR, "QueryType")}) WHERE rk = 1', "calls_dim", "places", targets=TARGETS),
+        f"""SELECT t."StateName", t."DistrictName", coalesce(k.v, 'N/A') AS "QueryType" FROM targets t
+        LEFT JOIN (SELECT {PAIR}, v FROM ({_leaders(PAIR, 'QueryType')}) WHERE rk = 1) k USING ({PAIR})""",
+        "calls_dim", "places", targets=TARGETS),
     "top_crop_is": _sql("""SELECT "DistrictName", calls, value_calls FROM (
         SELECT "DistrictName", (SELECT count(*) FROM calls_dim d WHERE d."DistrictName" = c."DistrictName") AS calls, n AS value_calls, "Crop",
         row_number() OVER (PARTITION BY "DistrictName" ORDER BY n DESC, "Crop") AS rk
