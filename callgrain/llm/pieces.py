@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.llm.common import Growing
+from callgrain.llm.common import Growing, grouped, text_slices
 
 ZIPF = 2.7
 BATCH_CHARS = 1 << 20
 LATTICE = 1 << 16  # positions of the lattices filtered at once
-MAX_EDGES = 1 << 23  # lattice edges remembered per worker before the memory is renewed
+MAX_EDGES = 1 << 21  # lattice edges remembered per worker before the memory is renewed
 _RAW = 1 << 24  # symbols above are code points to be written as bytes
 
 
@@ -211,15 +211,6 @@ def sampler(path: str, sharpness: float) -> PieceSampler:
     return _SAMPLERS[path, sharpness]
 
 
-def _groups(texts: list[str]) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BATCH_CHARS or i + 1 == len(texts):
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-
-
 def encode(docs: DataFrame, model: str, seed: int = 0, sharpness: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, ids_crc32) per row: a sampled segmentation of the whole text.
 
@@ -231,15 +222,17 @@ def encode(docs: DataFrame, model: str, seed: int = 0, sharpness: float = 1.0, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sampler(model, sharpness)
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
+            names, done = batch.column(0), 0
             keys = names.fill_null(0).to_numpy(zero_copy_only=False)
-            for part in _groups(texts):
-                ids = machine.encode(texts[part], keys[part], seed)
+            for texts in (g for some in text_slices(batch.column(1)) for g in grouped(some, BATCH_CHARS)):
+                part = slice(done, done + len(texts))
+                ids = machine.encode(texts, keys[part], seed)
                 flat = np.concatenate([np.zeros(0, np.int32), *ids])
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 crcs = pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([names[part.start : part.stop], lists, crcs], schema=schema)
+                yield pa.RecordBatch.from_arrays([names[part], lists, crcs], schema=schema)
+                done += len(texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long")
@@ -251,6 +244,6 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         machine = sampler(model, 1.0)
-        return pa.array([None if i is None else machine.decode(i) for i in ids.to_pylist()], pa.string())
+        return pa.array([None if i is None else machine.decode(i) for some in text_slices(ids) for i in some], pa.string())
 
     return encoded.withColumn(out_col, run(F.col(ids_col)))
