@@ -287,7 +287,7 @@ ORACLES: dict[str, str] = {
     "stream_counts": 'SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type',
     "api_slice": _sql("""SELECT * FROM calls_dim WHERE "Year" = 1997 AND "StateName" = 'ASIA' ORDER BY row_id LIMIT 500 OFFSET 100""", "calls_dim"),
     "dedup_rows": "SELECT DISTINCT text, lang, source, n_chars FROM documents",
-    "merge_years": _sql("""SELECT * FROM calls_dim WHERE "Year" IN (1996, 1997) AND "StateName" = 'ASIA'""", "calls_dim"),
+    "merge_years": _sql("""SELECT * FROM calls_dim WHERE "StateName" = 'ASIA'""", "calls_dim"),
     "sample_n": "SELECT doc_id, lang FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 300",
     "keyword_catalog": """SELECT count(*) AS with_keyword, count(*) FILTER (contains(lower(p_name), 'red') OR contains(lower(p_name), 'blue'))
         AS with_keyword_and_other FROM part WHERE contains(lower(p_name), 'widget')""",

@@ -160,7 +160,8 @@ def dedup_rows(spark, sf_dir):
 @query
 def merge_years(spark, sf_dir):
     calls = B.calls_dim(spark, sf_dir)
-    return ingest.merge_years([calls.where("Year = 1996"), calls.where("Year = 1997")], " asia ")
+    years = [r["Year"] for r in calls.select("Year").distinct().orderBy("Year").collect()]  # one row per year
+    return ingest.merge_years([calls.where(F.col("Year") == y) for y in years], " asia ")
 
 
 @query
