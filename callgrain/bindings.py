@@ -127,6 +127,22 @@ def event_pages(events: DataFrame, out: str) -> str:
     return out
 
 
+def error_pages(offsets: DataFrame, out: str, lines: list[str]) -> str:
+    """The same error message, not CSV, as the body of the page at each ``offset``."""
+    (
+        offsets.select("offset", F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("i", "body"))
+        .repartition("offset")
+        .sortWithinPartitions("offset", "i")
+        .select("body", "offset")
+        .write.mode("append")
+        .option("quote", "")
+        .option("sep", "\x01")
+        .partitionBy("offset")
+        .csv(out)
+    )
+    return out
+
+
 def typed_events(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast(t) for c, t in EVENT_TYPES.items()})
 

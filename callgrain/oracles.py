@@ -280,10 +280,14 @@ ORACLES: dict[str, str] = {
     "valid_pages": "SELECT *, event_id // 1000 * 1000 AS page_offset FROM events WHERE event_id // 1000 % 5 <> 4",
     "missing_pages": """SELECT "offset" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events), 100)) AS "offset")
         WHERE "offset" NOT IN (SELECT event_id // 100 * 100 FROM events WHERE event_id // 100 % 7 <> 3)""",
+    "missing_after_errors": """SELECT "offset" FROM (SELECT unnest(range(0, (SELECT count(*) FROM events), 1000)) AS "offset")
+        WHERE "offset" // 1000 % 5 = 4""",
     "page_progress": """SELECT count(m.o) AS done, count(*) AS total, count(*) - count(m.o) AS missing
         FROM (SELECT unnest(range(0, (SELECT count(*) FROM events), 100)) AS o) e
         LEFT JOIN (SELECT DISTINCT event_id // 100 * 100 AS o FROM events WHERE event_id // 100 % 7 <> 3) m ON e.o = m.o""",
     "ingest_stream": "SELECT * FROM events",
+    "quarantined_pages": """SELECT DISTINCT '{"error":"limit, reached"}' AS record, event_id // 1000 * 1000 AS page_offset, true AS bad_page
+        FROM events WHERE event_id // 1000 % 5 = 4""",
     "stream_counts": 'SELECT event_type, count(*) AS "count" FROM events GROUP BY event_type',
     "api_slice": _sql("""SELECT * FROM calls_dim WHERE "Year" = 1997 AND "StateName" = 'ASIA' ORDER BY row_id LIMIT 500 OFFSET 100""", "calls_dim"),
     "dedup_rows": "SELECT DISTINCT text, lang, source, n_chars FROM documents",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -92,18 +92,36 @@ def pages_union(spark, sf_dir):
     return B.typed_events(src.read_pages(spark, B.fresh_pages(spark, sf_dir), B.EVENT_SCHEMA))
 
 
+def _page_offset() -> Column:
+    return (F.floor(F.col("event_id") / B.PAGE_ROWS) * B.PAGE_ROWS).alias("offset")
+
+
+def _failed() -> Column:
+    """Events of every fifth page, which the server answers with an error message."""
+    return F.floor(F.col("event_id") / B.PAGE_ROWS) % 5 == 4
+
+
+def _pages_with_errors(spark, sf_dir, lines: list[str]) -> str:
+    events = B.table(spark, sf_dir, "events")
+    path = B.event_pages(events.where(~_failed()), new_dir(spark, "pages"))
+    return B.error_pages(events.where(_failed()).select(_page_offset()).distinct(), path, lines)
+
+
 @query
 def valid_pages(spark, sf_dir):
-    events = B.table(spark, sf_dir, "events")
-    number = F.floor(F.col("event_id") / B.PAGE_ROWS)
-    path = B.event_pages(events.where(number % 5 != 4), new_dir(spark, "pages"))
-    failed = events.where(number % 5 == 4).select((number * B.PAGE_ROWS).alias("offset")).distinct()
-    failed.select(F.concat(F.lit("  {error: no page at "), "offset", F.lit("}")).alias("body"), "offset").write.option(
-        "ignoreLeadingWhiteSpace", False
-    ).mode("append").partitionBy("offset").csv(path)
+    # the second line of the message has as many fields as an event
+    path = _pages_with_errors(spark, sf_dir, ['{"error": "no page",', " try again, later, or, ask, the, desk}"])
     return B.typed_events(src.drop_error_pages(spark, path, B.EVENT_SCHEMA))
 
 
+@query
+def missing_after_errors(spark, sf_dir):
+    path = _pages_with_errors(spark, sf_dir, ['{"error":"limit, reached"}'])
+    total = B.table(spark, sf_dir, "events").count()
+    loaded = src.page_manifest(spark, path).where(~F.col("is_error"))
+    return ingest.missing_offsets(spark, loaded, total, B.PAGE_ROWS)
+
+
 def _page_manifest(spark, sf_dir) -> tuple[DataFrame, int]:
     events = B.table(spark, sf_dir, "events")
     page = F.floor(F.col("event_id") / 100)
@@ -123,26 +141,41 @@ def page_progress(spark, sf_dir):
     return ingest.page_progress(spark, manifest, total, 100)
 
 
-def _ingested_events(spark, sf_dir) -> DataFrame:
+def _deliveries(spark, sf_dir):
+    """Loads the events in two deliveries of pages and yields the stored folder after each.
+
+    The pages that fail in the first delivery arrive with the second, which also repeats every
+    fourth row of the first.
+    """
     events = B.table(spark, sf_dir, "events")
     base = new_dir(spark, "stream")
-    pages, out, ckpt = f"{base}/pages", f"{base}/out", f"{base}/checkpoint"
-    half = F.floor(F.col("event_id") / B.PAGE_ROWS) % 2
-    # the second delivery repeats every fourth row of the first
-    for delivery in (half == 0, (half == 1) | (F.col("event_id") % 4 == 0)):
-        B.event_pages(events.where(delivery), pages)
-        stream.ingest(spark, pages, out, ckpt, B.EVENT_SCHEMA)
-    return B.typed_events(stream.ingested(spark, out))
+    half = F.floor(F.col("event_id") / B.PAGE_ROWS) % 2 == 0
+    B.event_pages(events.where(half & ~_failed()), f"{base}/pages")
+    B.error_pages(events.where(_failed()).select(_page_offset()).distinct(), f"{base}/pages", ['{"error":"limit, reached"}'])
+    stream.ingest(spark, f"{base}/pages", base, f"{base}/checkpoint", B.EVENT_SCHEMA, event_time="ts")
+    yield base
+    B.event_pages(events.where(~half | _failed() | (F.col("event_id") % 4 == 0)), f"{base}/pages")
+    stream.ingest(spark, f"{base}/pages", base, f"{base}/checkpoint", B.EVENT_SCHEMA, event_time="ts")
+    yield base
 
 
 @query
 def ingest_stream(spark, sf_dir):
-    return _ingested_events(spark, sf_dir).select(*B.EVENT_SCHEMA.fieldNames())
+    *_, base = _deliveries(spark, sf_dir)
+    return B.typed_events(stream.ingested(spark, base)).select(*B.EVENT_SCHEMA.fieldNames())
+
+
+@query
+def quarantined_pages(spark, sf_dir):
+    *_, base = _deliveries(spark, sf_dir)
+    return stream.quarantined(spark, base).where("bad_page")
 
 
 @query
 def stream_counts(spark, sf_dir):
-    return explore.count_by(_ingested_events(spark, sf_dir), ["event_type"])
+    for base in _deliveries(spark, sf_dir):
+        counts = stream.running_counts(spark, base, ["event_type"], f"{base}/counts", f"{base}/counts-checkpoint")
+    return counts
 
 
 @query

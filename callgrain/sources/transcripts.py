@@ -75,6 +75,12 @@ def page_offset(file_path: Column) -> Column:
     return F.regexp_extract(file_path, r"offset[_=](\d+)", 1).try_cast("bigint")
 
 
+def is_header(names: list[str]) -> Column:
+    """Whether a row read without a header is the line of column names, blanks in them as underscores."""
+    given = F.concat_ws("\x01", *[F.lower(F.replace(F.trim(F.replace(n, F.lit("\ufeff"), F.lit(""))), F.lit(" "), F.lit("_"))) for n in names])
+    return given == F.lit("\x01".join(n.lower() for n in names))
+
+
 def read_pages(
     spark: SparkSession, pages: str, schema: StructType, with_path: bool = False, multi_line: bool = True
 ) -> DataFrame:

@@ -55,17 +55,61 @@ def test_pages(spark, tmp_path):
     assert sorted((r["offset"], r["is_error"]) for r in manifest) == [(0, False), (2, False), (4, True)]
 
 
+def rows_of(spark, out):
+    return sorted(r["a"] for r in stream.ingested(spark, out).collect())
+
+
 def test_ingest_resumes(spark, tmp_path):
     d = pages(tmp_path)
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     stream.ingest(spark, str(d), out, ckpt, SCHEMA)
-    assert sorted(r["a"] for r in stream.ingested(spark, out).collect()) == ["1", "2", "3", "4"]
+    assert rows_of(spark, out) == ["1", "2", "3", "4"]
     (d / "offset_0000006.csv").write_text("a,b,c\n4,x,y\n5,x,y\n6,x\n")
     stream.ingest(spark, str(d), out, ckpt, SCHEMA)
     stream.ingest(spark, str(d), out, ckpt, SCHEMA)
-    assert sorted(r["a"] for r in stream.ingested(spark, out).collect()) == ["1", "2", "3", "4", "5"]
-    bad = {r["record"] for r in stream.quarantined(spark, out).collect()}
-    assert "6,x" in bad and any("error" in b for b in bad)
+    assert rows_of(spark, out) == ["1", "2", "3", "4", "5"]
+    bad = {r["record"]: (r["page_offset"], r["bad_page"]) for r in stream.quarantined(spark, out).collect()}
+    assert bad["6,x"] == (6, False) and any("error" in b for b in bad)
+
+
+def test_ingest_keeps_error_pages_and_takes_their_repair(spark, tmp_path):
+    d = tmp_path / "pages"
+    d.mkdir()
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    (d / "offset_0000000.csv").write_text("a,b,c\n1,x,y\n")
+    (d / "offset_0000002.csv").write_text('{"error":"no"}')
+    (d / "offset_0000004.csv").write_text("{\n wait, a, while\n}")
+    (d / "offset_0000006.csv").write_text("a, B ,c\n")
+    stream.ingest(spark, str(d), out, ckpt, SCHEMA)
+    assert rows_of(spark, out) == ["1"]
+    bad = [r for r in stream.quarantined(spark, out).collect() if r["bad_page"]]
+    assert {r["page_offset"] for r in bad} == {2, 4} and len(bad) == 4
+    (d / "offset_0000002_again.csv").write_text("a,b,c\n2,x,y\n1,x,y\n")
+    stream.ingest(spark, str(d), out, ckpt, SCHEMA)
+    assert rows_of(spark, out) == ["1", "2"]
+
+
+def test_ingest_by_day(spark, tmp_path):
+    d = tmp_path / "pages"
+    d.mkdir()
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    (d / "offset_0.csv").write_text("a,b,c\n1,2020-01-01 10:00:00,y\n2,,y\n3,soon,y\n")
+    stream.ingest(spark, str(d), out, ckpt, SCHEMA, event_time="b")
+    (d / "offset_3.csv").write_text("a,b,c\n1,2020-01-01 10:00:00,y\n2,,y\n4,2020-01-02 10:00:00,y\n")
+    stream.ingest(spark, str(d), out, ckpt, SCHEMA, event_time="b")
+    assert rows_of(spark, out) == ["1", "2", "4"]
+    assert [r["record"] for r in stream.quarantined(spark, out).collect()] == ["3,soon,y"]
+
+
+def test_running_counts(spark, tmp_path):
+    d = tmp_path / "pages"
+    d.mkdir()
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for i in range(3):
+        (d / f"offset_{i}.csv").write_text(f"a,b,c\n{i},x,y\n{i},z,y\n")
+        stream.ingest(spark, str(d), out, ckpt, SCHEMA)
+        counts = stream.running_counts(spark, out, ["b"], str(tmp_path / "n"), str(tmp_path / "n-ckpt"))
+        assert {r["b"]: r["count"] for r in counts.collect()} == {"x": i + 1, "z": i + 1}
 
 
 def test_sink_keeps_blanks_and_quotes(spark, tmp_path):
