@@ -26,9 +26,9 @@ def _run(embedder: Embedder, chunk: int):
         for pdf in batches:
             for at in range(0, len(pdf), chunk):
                 part = pdf.iloc[at : at + chunk]
-                vectors = np.asarray(embedder(part["text"].tolist()), dtype=np.float32)
+                vectors = np.asarray(embedder(part["text"].tolist()), dtype=np.float64)
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = vectors / np.where(norms > 0, norms, 1)
+                vectors = (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
                 yield pd.DataFrame({"id": part["id"], "embedding": list(vectors)})
 
     return run

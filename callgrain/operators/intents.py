@@ -101,18 +101,32 @@ def representative_scores(
     """Cosine of every row to the centroid of its cluster; 0 for noise."""
     mean = centroids(df.where(F.col(cluster_col) != NOISE), cluster_col, vec_col, "_centroid")
     joined = skew_join(df, mean, [cluster_col], [spread_by], "left")
-    score = F.when(F.col("_centroid").isNotNull(), cosine(F.col(vec_col), F.col("_centroid")))
-    return joined.withColumn(out_col, F.coalesce(score, F.lit(0.0))).drop("_centroid")
+    return joined.withColumn(out_col, _closeness(vec_col, "_centroid")).drop("_centroid")
+
+
+def _closeness(vec_col: str, mean_col: str) -> Column:
+    score = F.when(F.col(mean_col).isNotNull(), cosine(F.col(vec_col), F.col(mean_col)))
+    return F.coalesce(score, F.lit(0.0))
 
 
 def score_questions(questions: DataFrame) -> DataFrame:
     """spec_score, rep_score, desc_score and cluster_size of clustered questions."""
     stats = materialize(token_stats(questions, "q_clean"), "stats")
     n_docs = questions.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    scored = score_specificity(questions, "question_id", "q_clean", stats, n_docs)
-    scored = representative_scores(scored, "question_cluster_id", "embedding", "question_id")
-    scored = scored.withColumn("desc_score", F.col("rep_score") + F.col("spec_score"))
-    return with_cluster_size(scored, "question_cluster_id", "question_id")
+    specific = score_specificity(questions, "question_id", "q_clean", stats, n_docs)
+    # size and centroid hang on the cluster alone: one join brings both, to the stored questions
+    mean = centroids(questions.where(F.col("question_cluster_id") != NOISE), "question_cluster_id", "embedding", "_centroid")
+    sizes = questions.groupBy("question_cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    joined = skew_join(
+        questions, sizes.join(mean, "question_cluster_id", "left"), ["question_cluster_id"], ["question_id"], "inner"
+    )
+    rep = _closeness("embedding", "_centroid")
+    return (
+        joined.withColumn("rep_score", rep)
+        .drop("_centroid")
+        .join(specific.select("question_id", "spec_score"), "question_id")
+        .withColumn("desc_score", F.col("rep_score") + F.col("spec_score"))
+    )
 
 
 def assign(rows: DataFrame, questions: DataFrame, key: list[str]) -> DataFrame:
@@ -134,6 +148,7 @@ def distinct_answers(rows: DataFrame, questions: DataFrame, key: list[str]) -> D
     the join.
     """
     pairs = rows.where(F.col("a_clean") != "").groupBy("q_clean", "a_clean").agg(_first(["KccAns"], key).alias("f"))
+    pairs = materialize(pairs, "pairs")
     labels = questions.where(F.col("question_cluster_id") != NOISE).select("q_clean", "question_cluster_id")
     joined = skew_join(pairs, labels, ["q_clean"], ["a_clean"], "inner")
     first = joined.groupBy("question_cluster_id", "a_clean").agg(F.min("f").alias("f"))

@@ -138,8 +138,9 @@ FALLBACK = """CASE WHEN max(CASE WHEN rk = 1 THEN v END) IN ('BUILDING', 'FURNIT
     THEN max(CASE WHEN rk = 2 THEN v END) ELSE max(CASE WHEN rk = 1 THEN v END) END"""
 
 DISTRICT_COUNTS = """SELECT p.r_name AS "StateName", ' ' || lower(p.n_name) AS "DistrictName", p.n_nationkey,
-    count(c.row_id) AS "count" FROM places p LEFT JOIN (SELECT * FROM calls_dim WHERE "StateName" <> 'AFRICA') c
-    ON c."StateName" = p.r_name AND c."DistrictName" = p.n_name GROUP BY 1, 2, 3"""
+    count(c.row_id) AS "count" FROM places p LEFT JOIN calls_dim c
+    ON c."StateName" = p.r_name AND c."DistrictName" = p.n_name GROUP BY 1, 2, 3
+    UNION ALL SELECT 'ASIA', ' nowhere', -1, 0"""
 
 
 def _match(targets: str, choices: str, fixed: bool) -> str:
@@ -228,6 +229,18 @@ def _unit_vectors(id_col: str, part: str, text: str, rows: str) -> str:
         SELECT {id_col} AS vec_id, {part} AS part, {_letters(text)} AS c FROM {rows}) WHERE list_sum(c) > 0"""
 
 
+def _unit_or_zero(id_col: str, part: str, text: str, rows: str) -> str:
+    return f"""SELECT vec_id, part, list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1)) AS e FROM (
+        SELECT {id_col} AS vec_id, {part} AS part, {_letters(text)} AS c FROM {rows})"""
+
+
+def _values(id_col: str, rows: str) -> str:
+    """One row per place of the letter vectors of normalised questions."""
+    return f"""SELECT {id_col}, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 5) AS value FROM (
+        SELECT vec_id AS {id_col}, unnest(e) AS x, generate_subscripts(e, 1) AS pos
+        FROM ({_unit_or_zero(id_col, "0", "q_clean", rows)}))"""
+
+
 INTENTS = {
     "calls_text": VIEWS["calls_text"],
     "rows_": ANSWERS,
@@ -353,7 +366,7 @@ ORACLES: dict[str, str] = {
         FROM supplier JOIN places ON s_nationkey = n_nationkey""", "places"),
     "geo_district_counts": _sql(DISTRICT_COUNTS, "calls_dim", "places"),
     "geo_state_counts": _sql("""SELECT lower(r_name) AS "StateName", count(c.row_id) AS "count" FROM region
-        LEFT JOIN (SELECT * FROM calls_dim WHERE "StateName" <> 'AFRICA') c ON c."StateName" = r_name GROUP BY 1""", "calls_dim"),
+        LEFT JOIN calls_dim c ON c."StateName" = r_name GROUP BY 1 UNION ALL SELECT 'nowhere', 0""", "calls_dim"),
     "measure_table": _sql('SELECT "District", value FROM m', m=BALANCE),
     "geo_measure": _sql("""SELECT r_name AS "StateName", lower(n_name) AS "DistrictName", n_nationkey, value
         FROM places LEFT JOIN m ON s_nationkey = n_nationkey""", "places", m=BALANCE),
@@ -374,8 +387,8 @@ ORACLES: dict[str, str] = {
     "answer_score": _sql(_scores("rows_", "answer_id", "a_clean", "s", "(SELECT count(*) FROM rows_)", _answer_formula("x"), "desc_score"),
         "calls_text", rows_=ANSWERS, s=_token_counts("rows_", "a_clean")),
     "answer_score_raw": _sql(
-        _scores("given", "answer_id", "a_clean", "s", "(SELECT count(*) FROM given)", _answer_formula("raw"), "desc_score"),
-        "calls_text", rows_=ANSWERS, given='SELECT * FROM rows_ WHERE "KccAns" IS NOT NULL', s=_token_counts("given", "a_clean")),
+        _scores("rows_", "answer_id", "a_clean", "s", "(SELECT count(*) FROM rows_)", _answer_formula("coalesce(raw, '')"), "desc_score"),
+        "calls_text", rows_=ANSWERS, s=_token_counts("rows_", "a_clean")),
     "density_cluster": _recursive(
         "SELECT vec_id, coalesce(label, -1) AS cluster_id FROM v LEFT JOIN labels USING (vec_id)",
         _dbscan(_embeddings_by("0"), 0.30, 8)),
@@ -394,12 +407,21 @@ ORACLES: dict[str, str] = {
         m=CENTROIDS.format(where="")),
     "intent_descriptive": _sql("""SELECT label, doc_id, round(d, 6) AS desc_score FROM (
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, doc_id) AS rk FROM (
-            SELECT label, doc_id, list_cosine_similarity(embedding::DOUBLE[], c) + spec AS d
-            FROM embeddings JOIN m USING (label) JOIN scored ON doc_id = vec_id)) WHERE rk = 1""",
-        alldocs=CLEAN_DOCS, docs="SELECT * FROM alldocs WHERE doc_id IN (SELECT vec_id FROM embeddings)",
-        m=CENTROIDS.format(where=" WHERE vec_id IN (SELECT doc_id FROM documents)"),
+            SELECT label, doc_id, CASE WHEN label >= 0 AND list_sum(e) > 0 THEN list_cosine_similarity(e, c) ELSE 0 END + spec AS d
+            FROM vectors LEFT JOIN m USING (label) JOIN scored USING (doc_id))) WHERE rk = 1""",
+        docs=CLEAN_DOCS, vectors=f"""SELECT vec_id AS doc_id, part AS label, e FROM ({_unit_or_zero("doc_id", "CAST(doc_id % 9 - 1 AS INTEGER)", "q_clean", "docs")})""",
+        m="""SELECT label, list(value ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS value FROM (
+            SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM vectors WHERE label >= 0) GROUP BY 1, 2) GROUP BY 1""",
         s=_token_counts("docs", "q_clean"),
         scored=_scores("docs", "doc_id", "q_clean", "s", "(SELECT count(*) FROM docs)", SPEC, "spec").replace(", 6) AS spec", ", 12) AS spec")),
+    "embed_letters": _sql(_values("doc_id", "docs"), docs=CLEAN_DOCS),
+    "intent_embeddings": _recursive(_values("question_id", "questions"), INTENTS),
+    "intent_tables": _recursive(
+        """SELECT question_id, q_clean, question_cluster_id, count(*) OVER (PARTITION BY question_cluster_id) AS cluster_size,
+        round(spec, 6) AS spec_score, round(rep, 6) AS rep_score, round(rep + spec, 6) AS desc_score FROM (
+            SELECT q.question_id, q.q_clean, q.question_cluster_id, spec, coalesce(list_cosine_similarity(v.e, centroid.c), 0) AS rep
+            FROM clustered q JOIN q_scored USING (question_id) LEFT JOIN v ON v.vec_id = q.question_id
+            LEFT JOIN centroid ON centroid.question_cluster_id = q.question_cluster_id)""", INTENT_SUMMARIES),
     "best_answer_overall": _given(_best("question_cluster_id")),
     "best_answer_per_cluster": _given(_best("question_cluster_id, answer_cluster_id", " WHERE answer_cluster_id >= 0")),
     "intent_summary_texts": _given(f"""SELECT b.question_cluster_id, r."QueryText" AS rep_question, d."QueryText" AS desc_question,

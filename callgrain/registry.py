@@ -389,15 +389,17 @@ def boundary_features(spark, sf_dir):
 
 @query
 def geo_district_counts(spark, sf_dir):
-    calls = B.calls_dim(spark, sf_dir).where(F.col("StateName") != "AFRICA")
-    return geo.geo_counts(B.boundary(spark, sf_dir), calls, PLACE)
+    # with a district without calls, which counts 0
+    boundary = B.boundary(spark, sf_dir)
+    nowhere = spark.createDataFrame([("ASIA", " nowhere", -1)], boundary.schema)
+    return geo.geo_counts(boundary.union(nowhere), B.calls_dim(spark, sf_dir), PLACE)
 
 
 @query
 def geo_state_counts(spark, sf_dir):
-    calls = B.calls_dim(spark, sf_dir).where(F.col("StateName") != "AFRICA")
     states = B.table(spark, sf_dir, "region").select(F.lower("r_name").alias("StateName"))
-    return geo.geo_counts(states, calls, ["StateName"])
+    nowhere = spark.createDataFrame([("nowhere",)], states.schema)
+    return geo.geo_counts(states.union(nowhere), B.calls_dim(spark, sf_dir), ["StateName"])
 
 
 def _measure(spark, sf_dir) -> DataFrame:
@@ -529,7 +531,7 @@ def answer_score_raw(spark, sf_dir):
     calls = B.calls_text(spark, sf_dir).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "KccAns", norm_text(F.col("KccAns")).alias("a_clean")
     )
-    rows = materialize(calls.where(F.col("KccAns").isNotNull()), "answers")
+    rows = materialize(calls, "answers")
     n_docs = rows.agg(F.count(F.lit(1))).scalar()
     stats = materialize(scoring.token_stats(rows, "a_clean"), "stats")
     scored = scoring.score_answer(rows, "answer_id", "a_clean", stats, n_docs, marks_col="KccAns")
@@ -564,11 +566,9 @@ def cluster_centroid(spark, sf_dir):
     )
 
 
-# for the letter model, whose vectors are all rather similar, and for hashed TF-IDF
+# for the letter model, whose vectors are all rather similar
 LETTER_QUESTIONS = intents.Clustering(min_cos=0.97, min_pts=4)
 LETTER_ANSWERS = intents.Clustering(min_cos=0.98, min_pts=3)
-QUESTIONS = intents.Clustering(min_cos=0.42, min_pts=3)
-ANSWERS = intents.Clustering(min_cos=0.50, min_pts=2)
 CALL_KEY = ["conv_id", "turn"]
 
 
@@ -612,8 +612,12 @@ def intent_representative(spark, sf_dir):
 
 @query
 def intent_descriptive(spark, sf_dir):
-    vectors = B.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    docs = _clean_docs(spark, sf_dir).join(vectors, "doc_id")
+    # given clusters with noise; the letter model for the vectors of all texts
+    docs = _clean_docs(spark, sf_dir)
+    docs = docs.join(embed(docs, "doc_id", "q_clean", B.letter_model()), "doc_id").withColumn(
+        "label", (F.col("doc_id") % 9 - 1).cast("int")
+    )
+    docs = materialize(docs, "docs")
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     stats = materialize(scoring.token_stats(docs, "q_clean"), "stats")
     scored = scoring.score_specificity(docs, "doc_id", "q_clean", stats, n_docs)
@@ -684,15 +688,36 @@ def intent_summaries(spark, sf_dir):
     return tables.summaries
 
 
-@query
-def intent_tables(spark, sf_dir):
+def _written_intents(spark, sf_dir) -> str:
     out = new_dir(spark, "intents")
-    tables = intents.build_intents(B.calls_text(spark, sf_dir), CALL_KEY, QUESTIONS, ANSWERS)
+    tables = intents.build_intents(
+        B.calls_text(spark, sf_dir), CALL_KEY, LETTER_QUESTIONS, LETTER_ANSWERS, B.letter_model()
+    )
     intents.write_intents(tables, out)
-    stored = intents.read_summaries(spark, f"{out}/summaries").select("question_cluster_id")
-    questions = spark.read.parquet(f"{out}/questions")
-    return questions.join(stored, "question_cluster_id", "left_semi").select(
-        "question_id", "question_cluster_id", "cluster_size", *rounded("spec_score", "rep_score", "desc_score")
+    return out
+
+
+@query
+def intent_tables(spark, sf_dir):
+    # read back with the noise
+    return spark.read.parquet(f"{_written_intents(spark, sf_dir)}/questions").select(
+        "question_id", "q_clean", "question_cluster_id", "cluster_size", *rounded("spec_score", "rep_score", "desc_score")
+    )
+
+
+@query
+def intent_embeddings(spark, sf_dir):
+    stored = spark.read.parquet(f"{_written_intents(spark, sf_dir)}/embeddings")
+    return stored.select("question_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "question_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
+    )
+
+
+@query
+def embed_letters(spark, sf_dir):
+    vectors = embed(_clean_docs(spark, sf_dir), "doc_id", "q_clean", B.letter_model())
+    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "doc_id", "pos", F.round(F.col("value").cast("double"), 5).alias("value")
     )
 
 

@@ -8,21 +8,37 @@ from callgrain.plans.ids import with_ids
 from callgrain.plans.skew import skew_join
 
 
-def test_skew_join_equals_join(spark):
+def test_skew_join_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ONE_TASK_ROWS", 1000)
     left = spark.range(12000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"))
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("left", "inner"):
+    for how, rows in (("left", None), ("inner", None), ("left", 12000)):
         plain = left.join(right, "k", how).select("id", "k", "v")
-        got = skew_join(left, right, ["k"], ["id"], how).select("id", "k", "v")
+        got = skew_join(left, right, ["k"], ["id"], how, rows=rows, part_rows=500).select("id", "k", "v")
         assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
 
 
 def test_skew_join_deals_out_hot_key(spark):
-    left = spark.range(12000).select("id", F.lit(7).alias("k"))
+    left = spark.range(300000).select("id", F.lit(7).alias("k"))
     right = spark.createDataFrame([(7, 1)], "k int, v int")
     small = skew_join(left, right, ["k"], ["id"], rows=skew.ONE_TASK_ROWS)
     assert "_salt" not in small._jdf.queryExecution().analyzed().toString()
     assert "_salt" in skew_join(left, right, ["k"], ["id"])._jdf.queryExecution().analyzed().toString()
+    assert skew_join(left.limit(5), right, ["k"], ["id"]).count() == 5
+
+
+def test_skew_join_balances_a_third_of_all_rows(spark):
+    left = spark.range(3_000_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    right = left.select("k").distinct().withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = skew_join(left, right, ["k"], ["id"], part_rows=20_000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 3_000_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 def test_ids(spark):
