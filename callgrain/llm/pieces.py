@@ -19,6 +19,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,9 @@ class PieceSampler:
         self._byte_weight = -sharpness * math.log(len(order) + ZIPF)
         self._trie()
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        self._byte_of = {int(i): bytes([b]) for b, i in enumerate(self.bytes)}
+        self._byte_of = np.full(len(self.names), -1)
+        self._byte_of[self.bytes] = np.arange(256)
+        self._names = np.array(self.names, object)
         self.longest = max(map(len, self.weight))
         joined = {c for p in self.weight if len(p) > 1 for c in p} - {" "}
         inner = "".join(re.escape(c) for c in sorted(joined))
@@ -68,16 +71,44 @@ class PieceSampler:
             for i in range(len(piece)):
                 child = nodes.setdefault(piece[: i + 1], len(nodes))
                 edges[nodes[piece[:i]] * 0x110000 + ord(piece[i])] = child
-        self._edges = np.array(sorted(edges), np.int64)
-        self._child = np.array([edges[e] for e in self._edges.tolist()], np.int64)
+        # open addressing, at most an eighth full: nearly every look-up ends at its first slot
+        self._slots = 1 << (8 * len(edges)).bit_length()
+        self._edges, self._child = np.full(self._slots, -1, np.int64), np.zeros(self._slots, np.int64)
+        left, children = np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64)
+        slot = self._slot(left)
+        while len(left):
+            free = self._edges[slot] < 0
+            self._edges[slot[free]] = left[free]
+            placed = self._edges[slot] == left
+            self._child[slot[placed]] = children[placed]
+            left, children, slot = left[~placed], children[~placed], (slot[~placed] + 1) % self._slots
         ends = [self.weight.get(prefix, (-1, 0.0)) for prefix in nodes]
         self._piece, self._log = np.array([i for i, _ in ends]), np.array([w for _, w in ends])
 
+    def _slot(self, edge: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((edge.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self._slots
+
+    def _children(self, edge: np.ndarray) -> np.ndarray:
+        """The child of every edge, -1 where the trie has none."""
+        slot = self._slot(edge)
+        found = self._edges[slot]
+        child = np.where(found == edge, self._child[slot], -1)
+        open_ = np.nonzero((found != edge) & (found >= 0))[0]
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self._slots
+            found = self._edges[slot[open_]]
+            hit = found == edge[open_]
+            child[open_[hit]] = self._child[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return child
+
     def _forget(self) -> None:
         self._index: dict[str, int] = {}
-        # per unit: its last position in the common numbering; per edge: upper end of its share, length, symbol
-        self._last, self._cuts, self._step, self._symbol = Growing(np.int64), Growing(float), Growing(np.int8), Growing(np.int32)
-        self._positions = 0
+        # per unit: its last position in the common numbering and its length; per position: its first edge;
+        # per edge: upper end of its share, length, symbol
+        self._last, self._sizes, self._first = Growing(np.int64), Growing(np.int64), Growing(np.int64)
+        self._cuts, self._step, self._symbol = Growing(float), Growing(np.int8), Growing(np.int32)
 
     def _learn(self, units: list[str]) -> None:
         """Forward filtering of new units, those of similar length together."""
@@ -97,28 +128,32 @@ class PieceSampler:
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         real = np.arange(width) < sizes[:, None]
         chars[real] = flat
-        # log weight and symbol of the piece of each length that ends at each position
-        weight = np.full((len(units), width + 1, self.longest), -np.inf)
-        symbol = np.zeros((len(units), width + 1, self.longest), np.int64)
         row, at = np.nonzero(real)
-        # a character's bytes, unless its own piece takes the place below
-        weight[row, at + 1, 0], symbol[row, at + 1, 0] = self._byte_weight, _RAW + chars[row, at]
+        # (unit, end, length, log weight, symbol) of every edge; first a character's bytes, whose place
+        # its own piece takes below
+        found = [(row, at + 1, 0, self._byte_weight, _RAW + flat.astype(np.int64))]
         node = np.zeros(len(row), np.int64)
         for length in range(1, self.longest + 1):
             inside = at + length <= sizes[row]
             row, at, node = row[inside], at[inside], node[inside]
-            edge = node * 0x110000 + chars[row, at + length - 1]
-            place = np.minimum(np.searchsorted(self._edges, edge), len(self._edges) - 1)
-            hit = self._edges[place] == edge
-            row, at, node = row[hit], at[hit], self._child[place[hit]]
+            node = self._children(node * 0x110000 + chars[row, at + length - 1])
+            hit = node >= 0
+            row, at, node = row[hit], at[hit], node[hit]
+            if not len(row):
+                break
             piece = self._piece[node]
             ends = piece >= 0
-            r, e = row[ends], at[ends] + length
-            weight[r, e, length - 1], symbol[r, e, length - 1] = self._log[node[ends]], piece[ends]
+            if ends.any():
+                found.append((row[ends], at[ends] + length, length - 1, self._log[node[ends]], piece[ends]))
+        longest = found[-1][2] + 1
+        weight = np.full((len(units), width + 1, longest), -np.inf)
+        symbol = np.zeros((len(units), width + 1, longest), np.int32)
+        for r, e, n, log, names in found:
+            weight[r, e, n], symbol[r, e, n] = log, names
         total = np.full((len(units), width + 1), -np.inf)  # log of the summed weights of all ways
         total[:, 0] = 0.0
         for end in range(1, width + 1):
-            reach = min(end, self.longest)
+            reach = min(end, longest)
             ways = weight[:, end, :reach]
             ways += total[:, end - reach : end][:, ::-1]
             top = ways.max(axis=1)
@@ -129,38 +164,49 @@ class PieceSampler:
                 shares /= shares[:, -1:]
             weight[:, end, :reach] = np.where(np.isinf(ways) | np.isnan(shares), -np.inf, shares)
         row, end, length = np.nonzero(weight > -np.inf)
-        base = self._positions + np.cumsum(sizes + 1) - (sizes + 1)
-        self._cuts.extend(base[row] + end + weight[row, end, length])
+        base = self._first.size + np.cumsum(sizes + 1) - (sizes + 1)
+        per_place = np.bincount(base[row] + end - self._first.size, minlength=int((sizes + 1).sum()))
+        self._first.extend(self._cuts.size + np.cumsum(per_place) - per_place)
+        self._cuts.extend(weight[row, end, length])
         self._step.extend(length + 1)
         self._symbol.extend(symbol[row, end, length])
         self._index.update(zip(units, range(self._last.size, self._last.size + len(units)), strict=True))
         self._last.extend(base + sizes)
-        self._positions += int((sizes + 1).sum())
+        self._sizes.extend(sizes)
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         """A sampled segmentation of each text as piece ids."""
         cut = [self._units(" " + t) if t else [] for t in texts]
         if self._cuts.size > MAX_EDGES:
             self._forget()
-        self._learn(sorted({u for units in cut for u in units}.difference(self._index)))
-        last, cuts, step, symbol = self._last.values, self._cuts.values, self._step.values, self._symbol.values
+        self._learn(sorted(set().union(*cut).difference(self._index)))
+        first, cuts, step, symbol = self._first.values, self._cuts.values, self._step.values, self._symbol.values
         sizes = np.array([len(u) for u in cut], np.int64)
-        n, look = int(sizes.sum()), self._index.__getitem__
-        at = last[np.fromiter((look(u) for units in cut for u in units), np.int64, n)]
+        n = int(sizes.sum())
+        unit = np.fromiter(map(self._index.__getitem__, chain.from_iterable(cut)), np.int64, n)
+        at, left = self._last.values[unit], self._sizes.values[unit]
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         with np.errstate(over="ignore"):
             row = _mix(keys.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
             state = _mix(np.repeat(row, sizes) + place.astype(np.uint64))
-        live, left = np.arange(n), np.fromiter((len(u) for units in cut for u in units), np.int64, n)
+        live = np.arange(n)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             with np.errstate(over="ignore"):
                 bits = _mix(state[live] + left[live].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            edge = np.searchsorted(cuts, at[live] + (bits >> np.uint64(40)).astype(float) / (1 << 24), side="right")
+            share = (bits >> np.uint64(40)).astype(float) / (1 << 24)
+            edge = first[at[live]]
+            # the last share of a position ends at 1, so the walk stays within it
+            above = np.nonzero(cuts[edge] <= share)[0]
+            while len(above):
+                edge[above] += 1
+                above = above[cuts[edge[above]] <= share[above]]
             drawn.append((live, symbol[edge]))
-            at[live] -= step[edge]
-            left[live] -= step[edge]
-            live = live[left[live] > 0]
+            gone = step[edge]
+            at[live] -= gone
+            rest = left[live] - gone
+            left[live] = rest
+            live = live[rest > 0]
         counts = np.zeros(n, np.int64)
         for units, _ in drawn:
             counts[units] += 1
@@ -185,20 +231,18 @@ class PieceSampler:
             out += [s] if s < _RAW else self.bytes[list(chr(s - _RAW).encode("utf-8"))].tolist()
         return np.array(out, np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text that ``encode`` was given."""
-        out, raw = [], b""
-        names, byte_of = self.names, self._byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw += b
-                continue
-            if raw:
-                out.append(raw.decode("utf-8"))
-                raw = b""
-            out.append(names[i])
-        return "".join([*out, raw.decode("utf-8")])[1:]
+        ids = np.asarray(ids, np.int64)
+        raw = self._byte_of[ids] >= 0
+        if not raw.any():
+            return "".join(self._names[ids])[1:]
+        # runs of bytes and runs of pieces
+        cuts = np.flatnonzero(np.diff(raw)) + 1
+        out = []
+        for run, is_raw in zip(np.split(ids, cuts), raw[np.append(0, cuts)], strict=True):
+            out.append(self._byte_of[run].astype(np.uint8).tobytes().decode("utf-8") if is_raw else "".join(self._names[run]))
+        return "".join(out)[1:]
 
 
 _SAMPLERS: dict[tuple, PieceSampler] = {}
@@ -244,6 +288,6 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
     @F.arrow_udf("string")
     def run(ids: pa.Array) -> pa.Array:
         machine = sampler(model, 1.0)
-        return pa.array([None if i is None else machine.decode(i) for some in text_slices(ids) for i in some], pa.string())
+        return pa.array([machine.decode(i.values.to_numpy()) if i.is_valid else None for i in ids], pa.string())
 
     return encoded.withColumn(out_col, run(F.col(ids_col)))
