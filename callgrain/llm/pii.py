@@ -184,41 +184,67 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return rules[kind](value, key)
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    at = text.find("@")
+Spans = Iterator[tuple[int, int]]
+
+
+def _emails(text: str) -> Spans:
+    at, last = text.find("@"), 0
     while at >= 0:  # around each @, as far as addresses reach
         start = at
-        while start and at - start < 64 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
+        while start > last and at - start < 64 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
             start -= 1
         m = _EMAIL.match(text, start)
         if m:
-            yield m.start(), m.end(), "email"
-        at = text.find("@", at + 1)
-    for marks, pattern, group in _SECRETS:
-        if any(m in text for m in marks):
-            for m in pattern.finditer(text):
-                yield m.start(group), m.end(group), "secret"
+            last = m.end()
+            yield m.start(), last
+        at = text.find("@", max(at + 1, last))
+
+
+def _accounts(text: str) -> Spans:
     for m in _ACCOUNT.finditer(text):
         if m.start() == 0 or not text[m.start() - 1].isalnum():
-            yield m.start(), m.end(), "account"
-    for cluster in _CLUSTER.finditer(text):
-        a, b = max(0, cluster.start() - 2), min(len(text), cluster.end() + 2)
-        part = text[a:b]
-        for kind, pattern, _ in _NUMBERS:
-            value = "v" if "v" in pattern.groupindex else 0
-            for m in pattern.finditer(part):
-                yield a + m.start(value), a + m.end(value), kind
+            yield m.span()
+
+
+def _blanked(text: str, spans: list[Found], base: int = 0) -> str:
+    """``text``, which begins at ``base``, with a character in place of each of the spans' that no pattern takes."""
+    out, at = [], 0
+    for start, end, _, _ in spans:
+        out += [text[at : start - base], "\0" * (end - start)]
+        at = end - base
+    return "".join([*out, text[at:]]) if spans else text
 
 
 def find(text: str, key: bytes) -> list[Found]:
-    """(start, end, kind, pseudonym) of every checked value, in order; the first kind found wins overlaps."""
+    """(start, end, kind, pseudonym) of every checked value, in order; the first kind found wins overlaps.
+
+    Each pattern searches what the ones before it left: values taken are blanked, so spans never overlap
+    and a value next to a taken one is still found.
+    """
     taken: list[Found] = []
-    for start, end, kind in _candidates(text):
-        if any(start < e and s < end for s, e, _, _ in taken[-64:]):
-            continue
-        new = _pseudonym(kind, text[start:end], key)
-        if new is not None:
-            taken.append((start, end, kind, new))
+
+    def checked(kind: str, spans: Spans, base: int = 0) -> list[Found]:
+        new, last = [], 0
+        for start, end in spans:
+            pseudonym = _pseudonym(kind, left[start - base : end - base], key) if start >= last else None
+            if pseudonym is not None:
+                new.append((start, end, kind, pseudonym))
+                last = end
+        taken.extend(new)
+        return new
+
+    left = text
+    left = _blanked(left, checked("email", _emails(left)))
+    for marks, pattern, group in _SECRETS:
+        if any(m in left for m in marks):
+            left = _blanked(left, checked("secret", (m.span(group) for m in pattern.finditer(left))))
+    whole = _blanked(left, checked("account", _accounts(left)))
+    for cluster in _CLUSTER.finditer(whole):
+        a, b = max(0, cluster.start() - 2), min(len(whole), cluster.end() + 2)
+        left = whole[a:b]
+        for kind, pattern, _ in _NUMBERS:
+            value = "v" if "v" in pattern.groupindex else 0
+            left = _blanked(left, checked(kind, ((a + m.start(value), a + m.end(value)) for m in pattern.finditer(left)), a), a)
     return sorted(taken)
 
 

@@ -66,3 +66,34 @@ def test_table(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["text"] is None and by[2]["text"] == "" and by[3]["text"] != "me@x.org" and len(by[4][spans]) == 1
     assert pseudonymise(df.limit(0))[0].count() == 0
+
+
+def test_hundreds_of_values_in_one_text():
+    accounts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    rng, values = random.Random(3), []
+    for i in range(120):
+        values += [
+            f"19{i % 90 + 10}-0{i % 9 + 1}-1{i % 10}", f"555-{i + 100}-{i + 4000}", f"10.{i}.3.{i + 7}", "4111 1111 1111 1111",
+            f"555-{i + 100}-4567@x{i}.org", f"user.{i}@mail.example.com", accounts[i % 3], f"AKIA{i + 1000}ZWJNP6ZRYW{i % 90 + 10}",
+        ]
+    for sep in (" and ", ", "):
+        rng.shuffle(values)
+        text = "Values: " + sep.join(values) + sep + "end."
+        out, found = replace(text, KEY)
+        assert len(found) == len(values) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        assert [text[s:e] for s, e, _, _ in found] == values
+        at, rest = 0, []
+        for s, e, _, new in found:
+            rest += [text[at:s], new]
+            at = e
+        assert out == "".join([*rest, text[at:]]) and not any(v in out for v in set(values))
+
+
+def test_values_next_to_taken_ones():
+    dates = " ".join(f"19{i}-05-06" for i in range(10, 90))
+    for text, left in (
+        (dates + " GB82 WEST 1234 5698 7654 32", " 32"), (dates + " 555-123-4567@x.org", "@x.org"),
+        ("4111 1111 1111 1111 555-123-4567", "4567"), ("1990-05-06 555-123-4567", "4567"),
+    ):
+        out, found = replace(text, KEY)
+        assert not out.endswith(left) and found[-1][1] == len(text)
