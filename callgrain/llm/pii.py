@@ -85,13 +85,20 @@ def _card(value: str, key: bytes) -> str | None:
     return _with_digits(value, body + str(_luhn(body)))
 
 
+def _account_number(plain: str) -> int:
+    return int("".join(str(int(c, 36)) for c in plain)) if plain.isalnum() else 0
+
+
+def _is_account(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and _account_number(plain[4:] + plain[:4]) % 97 == 1
+
+
 def _account(value: str, key: bytes) -> str | None:
     plain = value.replace(" ", "")
-    number = lambda s: int("".join(str(int(c, 36)) for c in s)) if s.isalnum() else 0
-    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+    if not _is_account(plain):
         return None
     body = permute_chars(plain[4:], key, "account")
-    left = iter(plain[:2] + f"{98 - number(body + plain[:2] + '00') % 97:02d}" + body)
+    left = iter(plain[:2] + f"{98 - _account_number(body + plain[:2] + '00') % 97:02d}" + body)
     return "".join(c if c == " " else next(left) for c in value)
 
 
@@ -163,7 +170,15 @@ _NUMBERS: list[Rule] = [
 ]
 _CLUSTER = re.compile(r"[+(0-9][0-9 ().+/-]{5,}[0-9]")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_ACCOUNT_START = re.compile(r"(?s)[A-Z]{2}[0-9]{2}(?<![^\W_].{4})")
 _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)")
+# characters of an account by its country
+_ACCOUNT_SIZE = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 _SECRETS = [
     (("AKIA", "ASIA"), re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), 0),
     (("ghp_", "gho_", "ghs_", "ghu_", "ghr_"), re.compile(r"(?<!\w)gh[opsur]_[A-Za-z0-9]{20,}"), 0),
@@ -200,10 +215,18 @@ def _emails(text: str) -> Spans:
         at = text.find("@", max(at + 1, last))
 
 
-def _accounts(text: str) -> Spans:
-    for m in _ACCOUNT.finditer(text):
-        if m.start() == 0 or not text[m.start() - 1].isalnum():
-            yield m.span()
+def _accounts(text: str, starts: list[int], known: bool) -> Spans:
+    """From each start to the longest end at a word border whose check digits hold; with ``known``,
+    only ends that give the size of the start's country. Without an end the next start is tried."""
+    last = 0
+    for start in starts:
+        longest = _ACCOUNT.match(text, start) if start >= last else None
+        if longest:
+            ends = [longest.end(), *(i for i in range(longest.end() - 1, start, -1) if text[i] == " ")]
+            plain = ((e, text[start:e].replace(" ", "")) for e in ends)
+            last = next((e for e, p in plain if _is_account(p) and (not known or len(p) == _ACCOUNT_SIZE.get(p[:2]))), last)
+            if last > start:
+                yield start, last
 
 
 def _blanked(text: str, spans: list[Found], base: int = 0) -> str:
@@ -238,7 +261,10 @@ def find(text: str, key: bytes) -> list[Found]:
     for marks, pattern, group in _SECRETS:
         if any(m in left for m in marks):
             left = _blanked(left, checked("secret", (m.span(group) for m in pattern.finditer(left))))
-    whole = _blanked(left, checked("account", _accounts(left)))
+    starts = [m.start() for m in _ACCOUNT_START.finditer(left)]
+    for known in (True, False) if starts else ():  # a shorter or longer text in front holds by chance at times
+        left = _blanked(left, checked("account", _accounts(left, starts, known)))
+    whole = left
     for cluster in _CLUSTER.finditer(whole):
         a, b = max(0, cluster.start() - 2), min(len(whole), cluster.end() + 2)
         left = whole[a:b]

@@ -97,3 +97,21 @@ def test_values_next_to_taken_ones():
     ):
         out, found = replace(text, KEY)
         assert not out.endswith(left) and found[-1][1] == len(text)
+
+
+def test_accounts_before_numbers_and_upper_case_words():
+    accounts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"]
+    after = [" EUR", " USD 500", " 500", " 12 ABC 7 DE", " EUROPEAN UNION", " BIC COBADEFF", " A B C D E F G H", ".", " Euro", "\n77", " _x", ""]
+    for account in accounts:
+        for tail in after:
+            for before in ("", "IBAN ", "NR12 ", "AB12 CDEF ", "(", "x_"):
+                assert [v for k, v in kinds(before + account + tail) if k == "account"] == [account]
+    assert [v for _, v in kinds(" ".join([*accounts, "555-123-4567", accounts[0]]))] == [*accounts, "555-123-4567", accounts[0]]
+    assert kinds("XDE89370400440532013000 DE89370400440532013001 EUR") == []
+
+
+def test_mixed_values_in_a_row():
+    values = [v for i in range(50) for v in (f"DE89 3704 0044 0532 0130 00 EUR {i + 10}", f"a{i}@mail.org", "4111 1111 1111 1111", "10.1.2.3", "GB82 WEST 1234 5698 7654 32")]
+    out, found = replace(" ".join(values), KEY)
+    assert len(found) == len(values) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+    assert not any(v in out for v in ("3704 0044", "0130 00 EUR", "a7@mail", "5698 7654", "4111 1111 1111 1111"))
