@@ -1,11 +1,12 @@
 """N-gram Jaccard self-join: count vectors in R-trees, exact, as components of linked documents.
 
-A document's set holds 64-bit hashes of its distinct 4-word shingles. Two sets link when
-``100 * common >= 85 * united``, which for sizes a and b is ``185 * common >= 85 * (a + b)``.
+A document's set holds 64-bit hashes of its distinct shingles of ``words`` words. Two sets link when
+``100 * common >= percent * united``, which for sizes a and b is
+``(100 + percent) * common >= percent * (a + b)``. op1 has 4 words and 85 percent, the pipeline 5 and 80.
 
 1. One pass over the texts gives per document the set's size and digest, its count vector (members
    per hash group: a point), and the keys by which it can meet a partner: linked sets share one of
-   the first ``n - ceil(0.85 n) + 1`` members in any order common to all. The order here is by hash,
+   the first ``n - ceil(percent / 100 * n) + 1`` members in any order common to all. The order here is by hash,
    with members that a sample shows to be frequent put last; the sample can only cost time. Equal
    sets collapse to the one with the smallest id.
 2. Keys are range-partitioned with the ids behind them and streamed: every document is paired with
@@ -34,8 +35,8 @@ from pyspark.sql.types import BooleanType
 from callgrain.llm.common import SPACE_CHARS, grouped, keyed_text, parts_for, stored, text_slices
 from callgrain.plans.components import connected_components
 
-WORDS = 4
-PERCENT = 85
+WORDS = 4  # of a shingle, unless the caller says otherwise
+PERCENT = 85  # similarity from which sets link, likewise
 GROUPS = 64
 LEAF, FAN = 16, 16
 TILE_ROWS = 4096
@@ -58,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     with np.errstate(over="ignore"):
         raw = [t.encode("utf-8", "surrogatepass") + b" " for t in texts]
@@ -83,7 +84,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         for n in counts.tolist():
             w = word[at : at + n]
             at += n
-            take = min(n, WORDS)
+            take = min(n, words)
             h = np.zeros(max(0, n - take + 1) if n else 0, np.uint64)
             for i in range(take):
                 h = _mix(h * _PRIME + w[i : i + len(h)] + np.uint64(i))
@@ -91,10 +92,10 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         return out
 
 
-def _batched(column: pa.Array) -> Iterator[np.ndarray]:
+def _batched(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     for texts in text_slices(column):
         for group in grouped(texts, BATCH_BYTES):
-            yield from shingle_sets(group)
+            yield from shingle_sets(group, words)
 
 
 def count_vector(members: np.ndarray) -> np.ndarray:
@@ -108,10 +109,10 @@ def fine_vector(members: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
 
 
-def keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def keys(members: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The members by which a linked partner must be met."""
     n = len(members)
-    need = n - -(-PERCENT * n // 100) + 1
+    need = n - -(-percent * n // 100) + 1
     if len(frequent) and n:
         at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
         often = frequent[at] == members
@@ -120,7 +121,7 @@ def keys(members: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return members[:need]
 
 
-def _profiles(frequent: np.ndarray):
+def _profiles(frequent: np.ndarray, words: int, percent: int):
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
          ("point", pa.list_(pa.int32())), ("fine", pa.binary()), ("keys", pa.list_(pa.int64()))]
@@ -130,9 +131,9 @@ def _profiles(frequent: np.ndarray):
         for batch in batches:
             rows = []
             with np.errstate(over="ignore"):
-                for m in _batched(batch.column(1)):
+                for m in _batched(batch.column(1), words):
                     digest = (int(m.sum()), int(_mix(m + np.uint64(7)).sum())) if len(m) else (0, 0)
-                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), fine_vector(m), keys(m, frequent).view(np.int64)))
+                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), fine_vector(m), keys(m, frequent, percent).view(np.int64)))
             cols = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))] if rows else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
@@ -140,18 +141,21 @@ def _profiles(frequent: np.ndarray):
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = pa.array([m.tobytes() for m in _batched(batch.column(1))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "members"])
+def _members(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([m.tobytes() for m in _batched(batch.column(1), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "members"])
+
+    return run
 
 
-def _frequent_members(rows: DataFrame) -> np.ndarray:
+def _frequent_members(rows: DataFrame, words: int) -> np.ndarray:
     """The most frequent members of a sample of the documents, at most FREQUENT of them."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for m in _batched(batch.column(1)):
+            for m in _batched(batch.column(1), words):
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64))], names=["member"])
 
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_SHARE)) == 0)
@@ -201,15 +205,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _enough(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (100 + PERCENT) * common >= PERCENT * (a + b)
+def _enough(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return (100 + percent) * common >= percent * (a + b)
 
 
 class RTree:
     """Points packed bottom-up in the order of size and first coordinates; boxes keep their upper
     corner, which bounds summed minima, and their least size."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> None:
+        self.percent = percent
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = []  # from the leaves up: upper corners, least sizes
@@ -230,7 +235,7 @@ class RTree:
         for i in range(top - 1, -1, -1):
             (hu, nu), (hv, nv) = level(self, i), level(other, i)
             keep = [
-                _enough(np.minimum(hu[u[s : s + 4096]], hv[v[s : s + 4096]]).sum(axis=1), nu[u[s : s + 4096]], nv[v[s : s + 4096]])
+                _enough(np.minimum(hu[u[s : s + 4096]], hv[v[s : s + 4096]]).sum(axis=1), nu[u[s : s + 4096]], nv[v[s : s + 4096]], self.percent)
                 for s in range(0, len(u), 4096)
             ]
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
@@ -240,7 +245,7 @@ class RTree:
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
             p, q = self.points[a * LEAF : (a + 1) * LEAF], other.points[b * LEAF : (b + 1) * LEAF]
             common = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2)
-            x, y = np.nonzero(_enough(common, self.sizes[a * LEAF : (a + 1) * LEAF][:, None], other.sizes[b * LEAF : (b + 1) * LEAF][None, :]))
+            x, y = np.nonzero(_enough(common, self.sizes[a * LEAF : (a + 1) * LEAF][:, None], other.sizes[b * LEAF : (b + 1) * LEAF][None, :], self.percent))
             if len(x):
                 yield self.order[a * LEAF + x], other.order[b * LEAF + y]
 
@@ -260,10 +265,10 @@ class RTree:
 _PAIRS = "a long, b long"
 
 
-def _tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, chunks: np.ndarray) -> list[np.ndarray]:
+def _tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, chunks: np.ndarray, percent: int) -> list[np.ndarray]:
     """Surviving index pairs of one tile of more than a leaf, across components."""
     sides = [np.flatnonzero(chunks == c) for c in np.unique(chunks)]
-    trees = [RTree(points[s], sizes[s]) for s in sides]
+    trees = [RTree(points[s], sizes[s], percent) for s in sides]
     found = []
     for x, y in trees[0].join(trees[-1]):
         x, y = sides[0][x], sides[-1][y]
@@ -273,97 +278,106 @@ def _tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, roots: n
     return found
 
 
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _survivors(percent: int):
     """Tiles, sorted by (key, x, y), to pairs (a, b). A tile of one leaf needs no tree: those of a
     batch are compared together, a pair that meets under several keys once."""
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        key, x, y, ids, roots, chunks, sizes = (t.column(i).to_numpy() for i in range(7))
-        points = t.column(7).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-        new = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-        begin = np.append(np.flatnonzero(new), len(key))
-        tile = np.cumsum(new)
-        small = np.diff(begin)[tile - 1] <= LEAF
-        found = [np.zeros((2, 0), np.int64)]
-        for d in range(1, min(LEAF, len(key))):
-            at = np.flatnonzero((tile[:-d] == tile[d:]) & (roots[:-d] != roots[d:]) & small[:-d])
-            found.append(np.stack([at, at + d]))
-        pairs = np.concatenate(found, axis=1)
-        names = np.sort(ids[pairs], axis=0)
-        pairs = pairs[:, np.unique(names, axis=1, return_index=True)[1]]
-        keep = [
-            _enough(np.minimum(points[u], points[v]).sum(axis=1), sizes[u], sizes[v])
-            for u, v in (pairs[:, s : s + 8192] for s in range(0, pairs.shape[1], 8192))
-        ]
-        found = [pairs[:, np.concatenate(keep)] if keep else pairs]
-        for i in np.flatnonzero(np.diff(begin) > LEAF).tolist():
-            s = slice(begin[i], begin[i + 1])
-            found += [begin[i] + f for f in _tree_pairs(ids[s], sizes[s], points[s], roots[s], chunks[s])]
-        names = np.unique(np.sort(ids[np.concatenate(found, axis=1)], axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1])], names=["a", "b"])
-
-    held: list[pa.RecordBatch] = []  # the last tile so far may go on in the next batch
-    for batch in batches:
-        held.append(batch)
-        t = pa.Table.from_batches(held)
-        last = [t.column(i).to_numpy() for i in range(3)]
-        cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in last]))) if len(t) else 0
-        if cut:
-            yield compare(t.slice(0, cut))
-            held = t.slice(cut).combine_chunks().to_batches()
-    t = pa.Table.from_batches(held) if held else None
-    if t is not None and len(t):
-        yield compare(t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(t: pa.Table) -> pa.RecordBatch:
+            key, x, y, ids, roots, chunks, sizes = (t.column(i).to_numpy() for i in range(7))
+            points = t.column(7).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+            new = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            begin = np.append(np.flatnonzero(new), len(key))
+            tile = np.cumsum(new)
+            small = np.diff(begin)[tile - 1] <= LEAF
+            found = [np.zeros((2, 0), np.int64)]
+            for d in range(1, min(LEAF, len(key))):
+                at = np.flatnonzero((tile[:-d] == tile[d:]) & (roots[:-d] != roots[d:]) & small[:-d])
+                found.append(np.stack([at, at + d]))
+            pairs = np.concatenate(found, axis=1)
+            names = np.sort(ids[pairs], axis=0)
+            pairs = pairs[:, np.unique(names, axis=1, return_index=True)[1]]
+            keep = [
+                _enough(np.minimum(points[u], points[v]).sum(axis=1), sizes[u], sizes[v], percent)
+                for u, v in (pairs[:, s : s + 8192] for s in range(0, pairs.shape[1], 8192))
+            ]
+            found = [pairs[:, np.concatenate(keep)] if keep else pairs]
+            for i in np.flatnonzero(np.diff(begin) > LEAF).tolist():
+                s = slice(begin[i], begin[i + 1])
+                found += [begin[i] + f for f in _tree_pairs(ids[s], sizes[s], points[s], roots[s], chunks[s], percent)]
+            names = np.unique(np.sort(ids[np.concatenate(found, axis=1)], axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1])], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the last tile so far may go on in the next batch
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            last = [t.column(i).to_numpy() for i in range(3)]
+            cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in last]))) if len(t) else 0
+            if cut:
+                yield compare(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+        t = pa.Table.from_batches(held) if held else None
+        if t is not None and len(t):
+            yield compare(t)
+
+    return run
 
 
-def _bounded(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """Pairs whose summed coordinate minima suffice."""
     side = lambda c: profiles.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
     common = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    enough = (100 + PERCENT) * common.cast("long") >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    enough = (100 + percent) * common.cast("long") >= percent * (F.col("n_a") + F.col("n_b"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
-@F.pandas_udf(BooleanType())
-def _may_link(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-    """The same bound on the fine vectors; groups are leading hash bits, so the longer vector folds."""
-    common = np.zeros(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if not x or not y:
-            common[i] = min(n_a.iat[i], n_b.iat[i])
-            continue
-        p, q = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
-        if len(q) > len(p):
-            q = q.reshape(len(p), -1).sum(axis=1)
-        common[i] = np.minimum(p, q).sum(dtype=np.int64)
-    return pd.Series(_enough(common, n_a.to_numpy(), n_b.to_numpy()))
+def _may_link(percent: int):
+    @F.pandas_udf(BooleanType())
+    def may(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+        """The same bound on the fine vectors; groups are leading hash bits, so the longer vector folds."""
+        common = np.zeros(len(a), np.int64)
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            if not x or not y:
+                common[i] = min(n_a.iat[i], n_b.iat[i])
+                continue
+            p, q = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+            if len(q) > len(p):
+                q = q.reshape(len(p), -1).sum(axis=1)
+            common[i] = np.minimum(p, q).sum(dtype=np.int64)
+        return pd.Series(_enough(common, n_a.to_numpy(), n_b.to_numpy(), percent))
 
+    return may
 
-def _finer(pairs: DataFrame, points: DataFrame) -> DataFrame:
+
+def _finer(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs that the fine vectors leave."""
     side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"f_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("f_a", "f_b", "n_a", "n_b")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)("f_a", "f_b", "n_a", "n_b")).select("a", "b")
+
 
+def _linked(percent: int):
+    @F.pandas_udf(BooleanType())
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.sort(np.concatenate([p, q]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(bool(_enough(common, len(p), len(q), percent)))
+        return pd.Series(out, dtype=bool)
 
-@F.pandas_udf(BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.sort(np.concatenate([p, q]), kind="stable")
-        common = int((both[1:] == both[:-1]).sum())
-        out.append(bool(_enough(common, len(p), len(q))))
-    return pd.Series(out, dtype=bool)
+    return linked
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link, by the intersection of their sets."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stored(
-        texts.join(named, "id", "left_semi").mapInArrow(_members, "id long, members binary").dropDuplicates(["id"]), "sets"
+        texts.join(named, "id", "left_semi").mapInArrow(_members(words), "id long, members binary").dropDuplicates(["id"]), "sets"
     )
     side = lambda c: sets.select(F.col("id").alias(c), F.col("members").alias(f"m_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_linked("m_a", "m_b")).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_linked(percent)("m_a", "m_b")).select("a", "b")
 
 
 def _labelled(profiles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -371,10 +385,12 @@ def _labelled(profiles: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     return profiles.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), roots
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``.
 
-    Words are runs of other than the six white-space bytes, A-Z in lower case; with fewer than four
+    Words are runs of other than the six white-space bytes, A-Z in lower case; with fewer than ``words``
     words the whole sequence is the one shingle. A text without words (or null) has an empty set,
     links with nothing and is its own component. Rows that repeat an id are one document; rows
     without an id link with nothing and have a null component.
@@ -382,9 +398,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     texts = keyed_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("id"), "text")
     some = texts.where("id is not null")
-    frequent = _frequent_members(some)
+    frequent = _frequent_members(some, words)
     profiles = stored(
-        texts.mapInArrow(_profiles(frequent), "id long, n long, s1 long, s2 long, point array<int>, fine binary, keys array<long>"), "profiles"
+        texts.mapInArrow(_profiles(frequent, words, percent), "id long, n long, s1 long, s2 long, point array<int>, fine binary, keys array<long>"), "profiles"
     )
     used = profiles.where("id is not null and n > 0")
     classes = used.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
@@ -406,7 +422,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stitched = borders.select("least", F.explode("heads").alias("head"))
     stars = blocks.select(F.col("head").alias("a"), F.col("id").alias("b")).union(stitched).where("a != b").distinct()
     points = reps.select("id", "n", "point", "fine").dropDuplicates(["id"])
-    first = stored(_verified(stored(_finer(stored(_bounded(stars, points), "star-bounds"), points), "star-pairs"), some), "links")
+    first = stored(_verified(stored(_finer(stored(_bounded(stars, points, percent), "star-bounds"), points, percent), "star-pairs"), some, words, percent), "links")
     labelled, _ = _labelled(points.select("id"), first)
 
     labelled = stored(labelled, "labelled")
@@ -421,9 +437,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = tiles.join(points.drop("fine"), "id").select("key", "x", "y", "id", "root", "chunk", "n", "point")
     survivors = (
         held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
-        .mapInArrow(_survivors, _PAIRS).where("a != b").distinct()
+        .mapInArrow(_survivors(percent), _PAIRS).where("a != b").distinct()
     )
-    second = _verified(stored(_finer(stored(survivors, "tree-bounds"), points), "tree-pairs"), some)
+    second = _verified(stored(_finer(stored(survivors, "tree-bounds"), points, percent), "tree-pairs"), some, words, percent)
     links = first.union(second).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     _, roots = _labelled(points.select("id"), stored(links, "links"))
     return profiles.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left").select(

@@ -15,6 +15,7 @@ from callgrain.llm import jaccard_join, line_dedup, packing, pii, toxicity
 from callgrain.llm.common import fresh_name, read, stored
 
 THRESHOLD = 0.7
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +32,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; documents without words, and rows
+    """The document with the smallest id of each component stays, linked by sets of shingles of
+    NEAR_WORDS words whose similarity is NEAR_PERCENT or more; documents without words, and rows
     without an id, stay all."""
-    found = jaccard_join.components(docs)
+    found = jaccard_join.components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     key = fresh_name(docs, "near_id")
     others = found.where("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(others, docs["doc_id"] == others[key], "left_anti")

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 from callgrain.llm import line_dedup, pii
@@ -46,3 +48,32 @@ def test_empty(spark, made, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{made}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_five_words_and_eighty_percent(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    texts = []
+    for n in (60, 104, 150, 204):
+        for extra in range(n // 8, n // 3, 2):  # a passage at the end: similarity (n - 4) / (n - 4 + extra)
+            base = [word() for _ in range(n)]
+            texts += [base, base + [word() for _ in range(extra)]]
+        for edits in range(1, 8):  # scattered ones
+            base = [word() for _ in range(n)]
+            copy = list(base)
+            for e in range(edits):
+                copy[5 + e * (n - 10) // edits] = word()
+            texts += [base, copy]
+    texts = [" ".join(t) for t in texts] + ["one two three four", "one two three four", "one two three five"]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    sets = [shingles(t) for t in texts]
+    planted = [likeness(a, b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in planted) >= 8 and 0.8 in planted and sum(x < 0.8 for x in planted) >= 8
+    kept = []
+    for i, s in enumerate(sets):  # no two groups share a shingle, so a group is a pair
+        if not any(5 * len(s & t) >= 4 * len(s | t) for t in sets[:i]):
+            kept.append(i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == kept
