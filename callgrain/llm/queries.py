@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from callgrain.llm import exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, sharding, token_counts, toxicity
+from callgrain.llm import (
+    exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, secret_scan, sharding, token_counts, toxicity,
+)
 from callgrain.llm.common import keyed_text, read
 
 QUERIES: dict = {}
@@ -127,3 +129,17 @@ def op4_toxicity(spark, sf_dir):
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col(score).alias("score"),
         (F.col(score) >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op13_secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, name = secret_scan.find_secrets(docs)
+    spans = F.coalesce(F.col(name), F.array().cast(secret_scan.SPANS))
+    base = secret_scan.of_kinds(spans, tuple(k.name for k in secret_scan.BASE))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_kind(spans, k.name).alias(f"n_{k.name}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+    )
