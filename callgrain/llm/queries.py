@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from callgrain.llm import (
-    exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, secret_scan, sharding, token_counts, toxicity,
+    conversations, exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, secret_scan, sharding, token_counts, toxicity,
 )
 from callgrain.llm.common import keyed_text, read
 
@@ -143,3 +143,8 @@ def op13_secret_scan(spark, sf_dir):
         F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
         secret_scan.listed(spans).alias("spans"),
     )
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
