@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from callgrain.llm import (
-    conversations, exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, secret_scan, sharding, token_counts, toxicity,
+    alignment, conversations, exact_dedup, exact_topk, jaccard_join, line_dedup, packing, pieces, pii, secret_scan, sharding, token_counts, toxicity,
 )
 from callgrain.llm.common import keyed_text, read
 
@@ -148,3 +148,11 @@ def op13_secret_scan(spark, sf_dir):
 @query
 def op11_conversation_repair(spark, sf_dir):
     return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    docs, _ = alignment.align(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return docs
