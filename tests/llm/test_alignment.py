@@ -19,15 +19,17 @@ def libraries():
     return a, sentencepiece.SentencePieceProcessor(model_file=B)
 
 
-def letter_bytes(token):
+def letters():
     known = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in known}
-    n = 0
-    for b in range(256):
-        if b not in known:
-            table[chr(256 + n)] = b
-            n += 1
-    return bytes(table[c] for c in token)
+    others = [b for b in range(256) if b not in known]
+    return {chr(b): b for b in known} | {chr(256 + n): b for n, b in enumerate(others)}
+
+
+LETTERS = letters()
+
+
+def letter_bytes(token):
+    return bytes(LETTERS[c] for c in token)
 
 
 def whole(libraries, text):
