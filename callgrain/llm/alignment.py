@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,10 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callgrain.llm.common import keyed_text, stored, text_slices
+from callgrain.llm.common import Growing, keyed_text, stored, text_slices
 
-# Text of one block, text tokenized at once, and links a worker remembers before it starts anew.
-BLOCK_CHARS, LEARN_CHARS, MAX_LINKS = 4_000_000, 200_000, 4_000_000
+# Text of one block, text tokenized at once, and text of the units a worker remembers before it starts
+# anew (64 counted for each).
+BLOCK_CHARS, LEARN_CHARS, MEMORY_CHARS = 3_000_000, 200_000, 24_000_000
 # A pair of ids as one number: A's id above, B's id below.
 ID_BITS = 24
 SPACE_PIECE = "▁"
@@ -62,11 +64,16 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Side(NamedTuple):
-    """One tokenizer's cut of a text: ids and, per token, the byte where it ends."""
+    """One tokenizer's cut of a text: ids and, per token, the byte where it ends; do the tokens join
+    to the text."""
 
     ids: np.ndarray
     ends: np.ndarray
-    bytes: list[bytes]
+    right: bool
+
+
+def _flat(pairs: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(pairs), np.int64, 2 * len(pairs)).reshape(-1, 2)
 
 
 def _ends(starts: np.ndarray, stops: np.ndarray, width: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -108,79 +115,95 @@ class Pair:
             raise ValueError("vocabulary too large")
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
-        self.a_names = [str(i) for i in range(size)]
-        self.b_names = [str(i) for i in range(len(self.b_bytes))]
+        # ids as text, after the sign that may come before them
+        count = max(size, len(self.b_bytes))
+        self.names = {sign: np.array([sign + str(i) for i in range(count)], object) for sign in ";,|"}
+        self.name_sizes = np.array([1 + len(str(i)) for i in range(count)])
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.good: list[bool] = []
         self.groups: list[str] = []
-        self.facts: list[tuple[int, int, int]] = []  # tokens of A, of B, groups
-        self.links: list[np.ndarray] = []
+        self.good = Growing(bool)
+        self.facts = [Growing(np.int32) for _ in range(3)]  # tokens of A, of B, groups
+        self.links, self.starts, self.sizes = Growing(np.int64), Growing(np.int64), Growing(np.int32)
         self.held = 0
 
     def cut(self, text: str) -> tuple[Side, Side, int]:
         """Both sides of `` text`` and its length in bytes."""
         whole = " " + text
+        raw = whole.encode()
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         widths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
         width = np.concatenate([[0], np.cumsum(widths)])
         found = self.a.encode(whole, add_special_tokens=False)
-        ids = np.array(found.ids, np.int64)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-        a = Side(ids, _ends(spans[:, 0], spans[:, 1], width, self.a_sizes[ids]), [self.a_bytes[i] for i in ids.tolist()])
+        ids, spans = np.array(found.ids, np.int64), _flat(found.offsets)
+        a = Side(
+            ids, _ends(spans[:, 0], spans[:, 1], width, self.a_sizes[ids]), b"".join(map(self.a_bytes.__getitem__, found.ids)) == raw
+        )
         found = self.b.encode(text, return_type="offset_mapping")
-        ids = np.array(found["ids"], np.int64)
-        spans = np.array(found["offsets"], np.int64).reshape(-1, 2) + 1  # the space before the text
+        ids, spans = np.array(found["ids"], np.int64), _flat(found["offsets"]) + 1  # the space before the text
         spans[:1, 0] = 0
-        b = Side(ids, _ends(spans[:, 0], spans[:, 1], width, self.b_sizes[ids]), [self.b_bytes[i] for i in ids.tolist()])
-        return a, b, int(width[-1])
+        b = Side(
+            ids, _ends(spans[:, 0], spans[:, 1], width, self.b_sizes[ids]), b"".join(map(self.b_bytes.__getitem__, found["ids"])) == raw
+        )
+        return a, b, len(raw)
 
     def learn(self, units: list[str]) -> None:
         """Aligns units as one text, in which a space comes before each."""
-        text = " ".join(units)
-        a, b, size = self.cut(text)
-        raw = (" " + text).encode()
-        right = b"".join(a.bytes) == raw and b"".join(b.bytes) == raw
-        if not right and len(units) > 1:
-            half = len(units) // 2
-            self.learn(units[:half])
-            self.learn(units[half:])
-            return
-        if not right:
-            self._add(units[0], False, "", (0, 0, 0), np.zeros(0, np.int64))
+        a, b, size = self.cut(" ".join(units))
+        if not (a.right and b.right):
+            if len(units) > 1:
+                half = len(units) // 2
+                self.learn(units[:half])
+                self.learn(units[half:])
+            else:
+                self._remember(units, [""], False, [[0]] * 3, np.zeros(0, np.int64), np.zeros(1, np.int64))
             return
         shared = np.intersect1d(a.ends, b.ends, assume_unique=True)
         every = np.union1d(a.ends, b.ends)
         pairs = (a.ids[np.searchsorted(a.ends, every)] << ID_BITS) | b.ids[np.searchsorted(b.ends, every)]
-        unit_ends = np.cumsum([len(u.encode()) + 1 for u in units])
-        names = self._named(a, b, shared)
+        ends = np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)).cumsum()
         # tokens, groups and links up to the end of each unit
-        upto = [np.searchsorted(x, unit_ends, "right") for x in (a.ends, b.ends, shared, every)]
-        if not np.array_equal(shared[upto[2] - 1], unit_ends):
+        upto = [np.searchsorted(x, ends, "right") for x in (a.ends, b.ends, shared, every)]
+        if ends[-1] != size or not np.array_equal(shared[upto[2] - 1], ends):
             raise ValueError("a token spans two units")
-        froms = [np.concatenate([[0], u[:-1]]) for u in upto]
-        counts = np.stack([u - f for u, f in zip(upto[:3], froms[:3], strict=True)], axis=1).tolist()
-        for i, unit in enumerate(units):
-            groups = ";".join(names[froms[2][i] : upto[2][i]])
-            self._add(unit, True, groups, tuple(counts[i]), pairs[froms[3][i] : upto[3][i]])
-
-    def _named(self, a: Side, b: Side, shared: np.ndarray) -> list[str]:
-        """``a1,a2|b1`` of each group."""
-        a_at = np.concatenate([[0], np.searchsorted(a.ends, shared, "right")]).tolist()
-        b_at = np.concatenate([[0], np.searchsorted(b.ends, shared, "right")]).tolist()
-        an = [self.a_names[i] for i in a.ids.tolist()]
-        bn = [self.b_names[i] for i in b.ids.tolist()]
-        return [",".join(an[s:t]) + "|" + ",".join(bn[u:v]) for s, t, u, v in zip(a_at, a_at[1:], b_at, b_at[1:])]
-
-    def _add(self, unit: str, good: bool, groups: str, facts: tuple[int, int, int], links: np.ndarray) -> None:
-        self.index[unit] = len(self.good)
-        self.good.append(good)
-        self.groups.append(groups)
-        self.facts.append(facts)
-        self.links.append(np.array(links))
-        self.held += len(links) + 16
+        counts = [np.diff(u, prepend=0) for u in upto]
+        self._remember(units, self._named(a, b, shared, ends), True, counts[:3], pairs, counts[3])
+
+    def _named(self, a: Side, b: Side, shared: np.ndarray, ends: np.ndarray) -> list[str]:
+        """``a1,a2|b1;a3|b2`` of each unit."""
+        groups = [np.searchsorted(shared, side.ends, "left") for side in (a, b)]
+        order = np.argsort(np.concatenate([2 * groups[0], 2 * groups[1] + 1]), kind="stable")
+        words, new = [], []
+        for side, group, sign in ((a, groups[0], ";"), (b, groups[1], "|")):
+            first = np.diff(group, prepend=-1) > 0
+            words.append(np.where(first, self.names[sign][side.ids], self.names[","][side.ids]))
+            new.append(self.name_sizes[side.ids])
+        text = "".join(np.concatenate(words)[order].tolist())
+        # where the last group of each unit ends
+        length = np.concatenate(new)[order].cumsum()
+        last = np.searchsorted(np.concatenate(groups)[order], np.searchsorted(shared, ends, "left"), "right") - 1
+        stops = length[last].tolist()
+        return [text[s + 1 : t] for s, t in zip([0, *stops], stops)]
+
+    def _remember(self, units: list[str], groups: list[str], good: bool, facts: list, links: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.groups)
+        self.index.update(zip(units, range(known, known + len(units)), strict=True))
+        self.groups += groups
+        self.good.extend(np.full(len(units), good))
+        for store, new in zip(self.facts, facts, strict=True):
+            store.extend(new)
+        self.starts.extend(self.links.size + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.links.extend(links)
+        self.held += sum(map(len, units)) + 64 * len(units)
+
+    def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of some units one after the other, and how many each one has."""
+        sizes, starts = self.sizes.values[units].astype(np.int64), self.starts.values[units]
+        ends = np.cumsum(sizes)
+        return self.links.values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
     def units(self, text: str) -> list[str]:
         return _CUT.split(text)
@@ -229,7 +252,7 @@ class Block:
     def add(self, name, text: str, units: list[str], with_groups: bool) -> None:
         m = self.machine
         numbers = np.fromiter(map(m.index.__getitem__, units), np.int64, len(units)) if text else np.zeros(0, np.int64)
-        if len(numbers) and not all(map(m.good.__getitem__, numbers.tolist())):
+        if not m.good.values[numbers].all():
             numbers = numbers[:0]
         self.ids.append(name)
         self.chars += len(text) + 64
@@ -241,8 +264,7 @@ class Block:
             self.doc_counts.append(numbers)
             return
         held, times = np.unique(numbers, return_counts=True)
-        tokens = np.array([m.facts[u] for u in held.tolist()], np.int64)
-        self.facts.append(tuple((times @ tokens).tolist()))
+        self.facts.append(tuple(int(times @ f.values[held]) for f in m.facts))
         groups = ";".join(map(m.groups.__getitem__, numbers.tolist()))
         self.digests.append(hashlib.sha256(groups.encode()).hexdigest())
         self.shown.append(groups if with_groups else "")
@@ -254,9 +276,7 @@ class Block:
         units, local = np.unique(np.concatenate(self.doc_units), return_inverse=True)
         counts = np.concatenate(self.doc_counts)
         total = np.bincount(local, counts, len(units)).astype(np.int64)
-        links = [m.links[u] for u in units.tolist()]
-        sizes = np.array([len(x) for x in links], np.int64)
-        flat = np.concatenate([*links, np.zeros(0, np.int64)])
+        flat, sizes = m.links_of(units)
         codes, at = np.unique(flat, return_inverse=True)
         n = np.bincount(at, np.repeat(total, sizes), len(codes)).astype(np.int64)
         doc_sizes = np.array([len(x) for x in self.doc_units], np.int64)
@@ -288,7 +308,7 @@ def _blocks(a_path: str, b_path: str, with_groups: bool, id_type: pa.DataType):
             names, at = batch.column(0).to_pylist(), 0
             for texts in text_slices(batch.column(1), 64):
                 cut = [machine.units(t) if t else [] for t in texts]
-                if machine.held > MAX_LINKS:  # blocks name units by number
+                if machine.held > MEMORY_CHARS:  # blocks name units by number
                     if block.ids:
                         yield row(block)
                     machine.forget()

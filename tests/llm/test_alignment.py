@@ -114,7 +114,7 @@ def test_against_brute_force(spark, libraries):
 
 def test_small_blocks_and_memories(spark, libraries, monkeypatch):
     monkeypatch.setattr(op, "BLOCK_CHARS", 300)
-    monkeypatch.setattr(op, "MAX_LINKS", 400)
+    monkeypatch.setattr(op, "MEMORY_CHARS", 2_000)
     monkeypatch.setattr(op, "LEARN_CHARS", 50)
     rows = corpus(2, 150) + ODD
     assert got(op.align(spark.createDataFrame(rows, "doc_id long, text string"), A, B)[0]) == brute(libraries, rows)
