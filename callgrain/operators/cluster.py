@@ -7,29 +7,30 @@ connected components of core vectors; everything else is noise.
 It is exact and never writes out all pairs:
 
 * equal vectors become one weighted point;
-* points are put into cells around sampled pivots, and two cells meet only where the angle between
-  a point and the border of the other cell allows a neighbour there;
-* a cell is cut into blocks of bounded size, so a cell with a third of the data is many tasks;
-* the points close around a pivot are all neighbours of each other: their mutual degrees are the
-  weight of that ball, and they are linked through one of them, without comparing them;
-* a task compares two blocks and returns neighbour weights per point, later one link per point.
+* points are the leaves of a metric tree, blocks of bounded size; two blocks meet only if their
+  centres and radii allow a neighbour, and pairs of nodes are followed down the tree, so that the
+  pairs that are looked at grow with the points, not with their square;
+* blocks so near that all their points are neighbours are not compared: their mutual degrees are
+  their weights, and they are linked through one point each;
+* a task compares a block with a few others and returns neighbour weights per point, later one link
+  per point and block.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from callgrain.operators.metric_tree import Tree, against_blocks, build, near_leaves, unpack, unpacked_ids
 from callgrain.plans.components import connected_components
 from callgrain.plans.ids import with_ids
 from callgrain.plans.skew import skew_join
@@ -49,98 +50,6 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.vstack(vectors.to_numpy()).astype(np.float64)
 
 
-def _assign_cells(pivots: np.ndarray, min_cos: float):
-    """Per point: unit vector, nearest pivot, close to it or not, other cells it may have neighbours in."""
-    gaps = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
-    border = math.sqrt(1 - min_cos * min_cos) + _SLACK
-    # half the neighbour angle: any two points inside are at most the whole angle apart
-    close = math.cos(math.acos(min_cos) / 2) + _SLACK
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = _stack(pdf["vec"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            split = pdf["split"].to_numpy()
-            sims = x @ pivots.T
-            home = np.where(split, sims.argmax(axis=1), 0)
-            near = sims[np.arange(len(x)), home]
-            # sine of the angle between the point and the border towards each other cell
-            with np.errstate(divide="ignore", invalid="ignore"):
-                depth = (near[:, None] - sims) / gaps[home]
-            reach = (depth <= border) & (np.arange(len(pivots))[None, :] != home[:, None]) & split[:, None]
-            yield pd.DataFrame(
-                {
-                    "part": pdf["part"],
-                    "rep": pdf["rep"],
-                    "w": pdf["w"],
-                    "vec": list(x),
-                    "home": home.astype(np.int32),
-                    "tight": split & (near >= close),
-                    "reach": [np.flatnonzero(r).astype(np.int32) for r in reach],
-                }
-            )
-
-    return run
-
-
-def _block_tasks(points: DataFrame, block: int, rows: int) -> DataFrame:
-    """One row per point and block comparison it takes part in.
-
-    A comparison is named (part, cell of A, block of A, cell of B, block of B); ``side`` is 0 for A
-    and 1 for B, and a block met with itself has side 0 only. Blocks of close points have negative
-    numbers and are not compared within their own cell.
-    """
-    sizes = points.groupBy("part", "home").agg(
-        F.ceil(F.count_if(~F.col("tight")) / block).cast("int").alias("n_loose"),
-        F.ceil(F.count_if("tight") / block).cast("int").alias("n_tight"),
-    )
-    numbered = skew_join(points, sizes, ["part", "home"], ["rep"], "inner", rows=rows).withColumn(
-        "blk",
-        F.when(
-            F.col("tight"), -1 - F.pmod(F.xxhash64("rep"), F.col("n_tight")).cast("int")
-        ).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("n_loose", F.lit(1))).cast("int")),
-    )
-
-    def upto(n: Column) -> Column:
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def task(a: Column, b: Column, side: Column) -> Column:
-        return F.struct(a.cast("int").alias("a_blk"), b.cast("int").alias("b_blk"), side.cast("int").alias("side"))
-
-    own = F.col("blk")
-    with_loose = F.transform(
-        upto(F.col("n_loose")),
-        lambda j: task(F.least(own, j), F.greatest(own, j), F.when(own <= j, 0).otherwise(1)),
-    )
-    with_tight = F.transform(upto(F.col("n_tight")), lambda k: task(-1 - k, own, F.lit(1)))
-    inside = numbered.select(
-        "part", F.col("home").alias("a_cell"), F.col("home").alias("b_cell"),
-        F.explode(F.when(F.col("tight"), with_loose).otherwise(F.concat(with_loose, with_tight))).alias("t"),
-        "rep", "w", "vec",
-    ).select("part", "a_cell", "t.a_blk", "b_cell", "t.b_blk", "t.side", "rep", "w", "vec")
-
-    # both points of a pair have to be near the border between their cells
-    near_border = numbered.select(
-        "part", "home", "blk", F.explode("reach").alias("other"), "rep", "w", "vec"
-    )
-    visits = near_border.where(F.col("other") > F.col("home")).select(
-        "part", F.col("home").alias("a_cell"), F.col("blk").alias("a_blk"), F.col("other").alias("b_cell"),
-        "rep", "w", "vec",
-    )
-    visited = near_border.where(F.col("other") < F.col("home")).select(
-        "part", F.col("other").alias("a_cell"), F.col("home").alias("b_cell"), F.col("blk").alias("b_blk"),
-        "rep", "w", "vec",
-    )
-    a_blocks = visits.select("part", "a_cell", "a_blk", "b_cell").distinct()
-    b_blocks = visited.select("part", "a_cell", "b_cell", "b_blk").distinct()
-    border = ["part", "a_cell", "b_cell"]
-    guests = visits.join(b_blocks, border).withColumn("side", F.lit(0))
-    hosts = visited.join(a_blocks, border).withColumn("side", F.lit(1))
-    return inside.unionByName(guests).unionByName(hosts)
-
-
 def _whole_parts(points: DataFrame):
     """Every partition as one comparison with itself."""
     zero = F.lit(0)
@@ -157,86 +66,144 @@ _TASK = ["part", "a_cell", "a_blk", "b_cell", "b_blk"]
 _ROWS = 1024  # rows compared at once inside a task
 
 
-def _sides(pdf: pd.DataFrame):
-    a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    alone = pdf["a_cell"].iloc[0] == pdf["b_cell"].iloc[0] and pdf["a_blk"].iloc[0] == pdf["b_blk"].iloc[0]
-    return a, (a if alone else b), alone
+def _degrees_of(xa, wa, xb, wb, alone: bool, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour weights of the points of two blocks, or of one block with itself."""
+    deg_a, deg_b = np.zeros(len(xa), np.int64), np.zeros(len(xb), np.int64)
+    for at in range(0, len(xa), _ROWS):
+        near = xa[at : at + _ROWS] @ xb.T >= limit
+        if alone:
+            # a point is its own neighbour whatever the rounding of its length
+            rows = np.arange(near.shape[0])
+            near[rows, at + rows] = True
+        deg_a[at : at + _ROWS] = near @ wb
+        if not alone:
+            deg_b += wa[at : at + _ROWS] @ near
+    return deg_a, deg_b
 
 
-def _degrees(min_cos: float):
-    limit = min_cos - _TIE
+def _links_of(xa, ids_a, xb, ids_b, alone: bool, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """One link per point to the smallest id of its component within the two blocks."""
+    new_a, new_b = np.ones(len(xa), bool), np.ones(len(xb), bool)
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for seed in range(len(xa)):
+        if not new_a[seed]:
+            continue
+        new_a[seed] = False
+        front, in_a, in_b = np.array([seed]), [np.array([seed])], []
+        while len(front):
+            # every row is compared once over the whole search
+            hit = np.zeros(len(xb), bool)
+            for at in range(0, len(front), _ROWS):
+                hit |= (xa[front[at : at + _ROWS]] @ xb.T >= limit).any(axis=0)
+            if alone:
+                front = np.flatnonzero(hit & new_a)
+                new_a[front] = False
+            else:
+                found = np.flatnonzero(hit & new_b)
+                new_b[found] = False
+                in_b.append(found)
+                back = np.zeros(len(xa), bool)
+                for at in range(0, len(found), _ROWS):
+                    back |= (xb[found[at : at + _ROWS]] @ xa.T >= limit).any(axis=0)
+                front = np.flatnonzero(back & new_a)
+                new_a[front] = False
+            in_a.append(front)
+        members = np.concatenate([ids_a[np.concatenate(in_a)], *(ids_b[f] for f in in_b)])
+        root = members.min()
+        others = members[members != root]
+        src.append(others)
+        dst.append(np.full(len(others), root))
+    return np.concatenate(src).astype("int64"), np.concatenate(dst).astype("int64")
+
 
+def _degrees(min_cos: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone = _sides(pdf)
-        if a.empty or b.empty:
-            return pd.DataFrame({"rep": [], "deg": []}).astype("int64")
-        xa, xb, wa, wb = _stack(a["vec"]), _stack(b["vec"]), a["w"].to_numpy(), b["w"].to_numpy()
-        deg_a, deg_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        for at in range(0, len(a), _ROWS):
-            near = xa[at : at + _ROWS] @ xb.T >= limit
-            if alone:
-                # a point is its own neighbour whatever the rounding of its length
-                rows = np.arange(near.shape[0])
-                near[rows, at + rows] = True
-            deg_a[at : at + _ROWS] = near @ wb
-            if not alone:
-                deg_b += wa[at : at + _ROWS] @ near
-        reps, degs = [a["rep"].to_numpy()], [deg_a]
-        if not alone:
-            reps.append(b["rep"].to_numpy())
-            degs.append(deg_b)
-        return pd.DataFrame({"rep": np.concatenate(reps), "deg": np.concatenate(degs)})
+        x, w = _stack(pdf["vec"]), pdf["w"].to_numpy()
+        return pd.DataFrame({"rep": pdf["rep"], "deg": _degrees_of(x, w, x, w, True, min_cos - _TIE)[0]})
 
     return run
 
 
 def _links(min_cos: float):
-    """One link per point to the smallest id of its component within the two blocks."""
-    limit = min_cos - _TIE
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, alone = _sides(pdf)
-        if a.empty or b.empty:
-            return pd.DataFrame({"src": [], "dst": []}).astype("int64")
-        xa, xb = _stack(a["vec"]), _stack(b["vec"])
-        ids_a, ids_b = a["rep"].to_numpy(), b["rep"].to_numpy()
-        new_a, new_b = np.ones(len(a), bool), np.ones(len(b), bool)
-        src, dst = [], []
-        for seed in range(len(a)):
-            if not new_a[seed]:
-                continue
-            new_a[seed] = False
-            front, in_a, in_b = np.array([seed]), [np.array([seed])], []
-            while len(front):
-                # every row is compared once over the whole search
-                hit = np.zeros(len(b), bool)
-                for at in range(0, len(front), _ROWS):
-                    hit |= (xa[front[at : at + _ROWS]] @ xb.T >= limit).any(axis=0)
-                if alone:
-                    front = np.flatnonzero(hit & new_a)
-                    new_a[front] = False
-                else:
-                    found = np.flatnonzero(hit & new_b)
-                    new_b[found] = False
-                    in_b.append(found)
-                    back = np.zeros(len(a), bool)
-                    for at in range(0, len(found), _ROWS):
-                        back |= (xb[found[at : at + _ROWS]] @ xa.T >= limit).any(axis=0)
-                    front = np.flatnonzero(back & new_a)
-                    new_a[front] = False
-                in_a.append(front)
-            members = np.concatenate([ids_a[np.concatenate(in_a)], *(ids_b[f] for f in in_b)])
-            root = members.min()
-            others = members[members != root]
-            src.append(others)
-            dst.append(np.full(len(others), root))
-        return pd.DataFrame(
-            {"src": np.concatenate(src).astype("int64"), "dst": np.concatenate(dst).astype("int64")}
-        )
+        x, ids = _stack(pdf["vec"]), pdf["rep"].to_numpy()
+        src, dst = _links_of(x, ids, x, ids, True, min_cos - _TIE)
+        return pd.DataFrame({"src": src, "dst": dst})
 
     return run
 
 
+def _block_degrees(min_cos: float, dim: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, reps, degs = left.to_pylist()[0], [], []
+        ids, w, x = unpack(a["ids"], a["weights"], a["vecs"], dim)
+        for b in right.to_pylist():
+            alone = b["b_node"] == a["node"]
+            b_ids, b_w, b_x = unpack(b["b_ids"], b["b_weights"], b["b_vecs"], dim)
+            deg_a, deg_b = _degrees_of(x, w, b_x, b_w, alone, min_cos - _TIE)
+            reps += [ids] if alone else [ids, b_ids]
+            degs += [deg_a] if alone else [deg_a, deg_b]
+        return pa.table({"rep": np.concatenate(reps), "deg": np.concatenate(degs)})
+
+    return run
+
+
+def _block_links(min_cos: float, dim: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        def block(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+            ids, _, x = unpack(row[f"{prefix}ids"], row[f"{prefix}weights"], row[f"{prefix}vecs"], dim)
+            core = np.isin(ids, np.array(row[f"{prefix}core"], np.int64))
+            return ids[core], x[core]
+
+        a, out = left.to_pylist()[0], []
+        ids, x = block(a)
+        for b in right.to_pylist():
+            alone = b["b_node"] == a["node"]
+            b_ids, b_x = block(b, "b_")
+            out.append(_links_of(x, ids, b_x, b_ids, alone, min_cos - _TIE))
+        return pa.table({"src": np.concatenate([s for s, _ in out]), "dst": np.concatenate([d for _, d in out])})
+
+    return run
+
+
+def _tree_neighbours(tree: Tree, min_cos: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (part, a, b) of leaves, a <= b, whose points are all neighbours, and those to compare."""
+    radius = math.sqrt(2 - 2 * min_cos)
+    # the comparison allows for rounding of the cosine, so the bound allows for more
+    reach = tree.leaves.select("part", "node", F.lit(math.sqrt(2 - 2 * min_cos + 4 * _TIE) + _SLACK).alias("reach"))
+    pairs = materialize(near_leaves(tree, reach).where("a <= b"), "near-leaves")
+    sure = F.col("high") < radius
+    return pairs.where(sure), pairs.where(~sure)
+
+
+def _tree_degrees(tree: Tree, sure: DataFrame, close: DataFrame, min_cos: float) -> DataFrame:
+    weights = tree.leaves.select("part", "node", "weight")
+    given = sure.join(weights.withColumnsRenamed({"node": "b", "weight": "w_b"}), ["part", "b"]).select("part", F.col("a").alias("node"), F.col("w_b").alias("deg"))
+    back = sure.where("a < b").join(weights.withColumnsRenamed({"node": "a", "weight": "w_a"}), ["part", "a"])
+    given = given.union(back.select("part", F.col("b").alias("node"), F.col("w_a").alias("deg"))).groupBy("part", "node").agg(F.sum("deg").alias("deg"))
+    blocks = tree.leaves.select("part", "node", "ids", "weights", "vecs")
+    compared = against_blocks(close, blocks, blocks, _block_degrees(min_cos, tree.dim), "rep long, deg long")
+    members = tree.leaves.select("part", "node", F.explode(unpacked_ids("ids")).alias("rep"))
+    return compared.unionByName(members.join(given, ["part", "node"]).select("rep", "deg")).groupBy("rep").agg(F.sum("deg").alias("deg"))
+
+
+def _tree_links(tree: Tree, core: DataFrame, sure: DataFrame, close: DataFrame, min_cos: float) -> DataFrame:
+    """Links between core points; a block's core points are named by its smallest one."""
+    members = tree.leaves.select("part", "node", F.explode(unpacked_ids("ids")).alias("rep")).join(core.select("rep"), "rep")
+    members = materialize(members, "core-members")
+    kept = members.groupBy("part", "node").agg(F.collect_list("rep").alias("core"))
+    blocks = materialize(tree.leaves.select("part", "node", "ids", "weights", "vecs").join(kept, ["part", "node"]), "core-blocks")
+    have = blocks.select("part", "node")
+    both = close.join(have.withColumnRenamed("node", "a"), ["part", "a"], "left_semi").join(have.withColumnRenamed("node", "b"), ["part", "b"], "left_semi")
+    compared = against_blocks(both, blocks, blocks, _block_links(min_cos, tree.dim), "src long, dst long")
+    firsts = members.groupBy("part", "node").agg(F.min("rep").alias("dst"))
+    sides = sure.select("part", F.col("a").alias("node"), F.col("b").alias("other")).union(
+        sure.where("a < b").select("part", F.col("b").alias("node"), F.col("a").alias("other"))
+    )
+    given = members.join(sides, ["part", "node"]).join(firsts.withColumnRenamed("node", "other"), ["part", "other"])
+    return compared.unionByName(given.where("rep != dst").select(F.col("rep").alias("src"), "dst"))
+
+
 def density_cluster(
     df: DataFrame,
     id_col: str,
@@ -246,12 +213,11 @@ def density_cluster(
     partition_col: str | None = None,
     label_col: str = "cluster_id",
     block: int = 4096,
-    max_pivots: int = 256,
 ) -> DataFrame:
     """(id, [partition,] label): clusters numbered from 0 by their smallest id, noise is -1.
 
     With ``partition_col`` every partition is clustered by itself and numbered from 0, all of them
-    in the same jobs. ``block`` and ``max_pivots`` set task sizes and pruning, not the result.
+    in the same jobs. ``block`` sets task sizes and pruning, not the result.
     ``df`` is read twice, so it should be a stored table.
     """
     if not 0 < min_cos <= 1:
@@ -274,34 +240,9 @@ def density_cluster(
 
     largest = reps.groupBy("part").count().agg(F.max("count")).first()[0] if partition_col else n
     one_block = largest <= block
-    # at most max_pivots vectors come to the driver
-    n_pivots = 1 if one_block else min(max_pivots, math.ceil(n / block))
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots)
-    pivots = _stack(sample.select("vec").toPandas()["vec"])
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    pivots = np.unique(pivots, axis=0)
-
-    # a partition that fits one block needs no cells
-    if partition_col and not one_block:
-        part_sizes = reps.groupBy("part").agg((F.count(F.lit(1)) > block).alias("split"))
-        split = skew_join(reps, part_sizes, ["part"], ["rep"], "inner", rows=n)
-    else:
-        split = reps.withColumn("split", F.lit(not one_block))
-    dim = StructType(
-        [
-            StructField("part", points.schema["part"].dataType),
-            StructField("rep", LongType()),
-            StructField("w", LongType()),
-        ]
-    )
-    cell_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dim)
-    cells = materialize(
-        split.select("part", "rep", "w", "vec", "split").mapInPandas(
-            _assign_cells(pivots, min_cos),
-            f"{cell_schema}, vec array<double>, home int, tight boolean, reach array<int>",
-        ),
-        "cells",
-    )
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("vec", lambda x: x.cast("double") / length)
+    cells = materialize(reps.select("part", "rep", "w", unit.alias("vec")), "points")
 
     if one_block:
         # every partition is one comparison, and its links end at the root already
@@ -310,26 +251,10 @@ def density_cluster(
         links = _whole_parts(core).applyInPandas(_links(min_cos), "src bigint, dst bigint")
         comps = links.select(F.col("src").alias("rep"), F.col("dst").alias("root"))
     else:
-        cells_of = ["part", "home"]
-        tight = cells.where("tight").select(*cells_of, "rep", "w")
-        balls = tight.groupBy(*cells_of).agg(F.sum("w").alias("deg"))
-        degrees = (
-            _block_tasks(cells, block, n)
-            .groupBy(*_TASK)
-            .applyInPandas(_degrees(min_cos), "rep bigint, deg bigint")
-            .unionByName(skew_join(tight, balls, cells_of, ["rep"], "inner", rows=n).select("rep", "deg"))
-            .groupBy("rep")
-            .agg(F.sum("deg").alias("deg"))
-        )
-        core = materialize(_with_degree(cells, degrees, min_pts), "core")
-        tight = core.where("tight").select(*cells_of, F.col("rep").alias("src"))
-        hubs = tight.groupBy(*cells_of).agg(F.min("src").alias("dst"))
-        links = (
-            _block_tasks(core, block, n)
-            .groupBy(*_TASK)
-            .applyInPandas(_links(min_cos), "src bigint, dst bigint")
-            .unionByName(skew_join(tight, hubs, cells_of, ["src"], "inner", rows=n).select("src", "dst"))
-        )
+        tree = build(cells, block)
+        sure, close = _tree_neighbours(tree, min_cos)
+        core = materialize(_with_degree(cells, _tree_degrees(tree, sure, close, min_cos), min_pts), "core")
+        links = materialize(_tree_links(tree, core, sure, close, min_cos), "links")
         comps = connected_components(links).withColumnRenamed("node", "rep")
     rooted = core.select("part", "rep", "w").join(comps, "rep", "left").select(
         "part", "rep", "w", F.coalesce("root", "rep").alias("root")

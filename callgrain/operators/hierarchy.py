@@ -22,15 +22,13 @@ part of a window.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrain.operators.metric_tree import Tree, build, distances, near_leaves, parent
+from callgrain.operators.metric_tree import Tree, against_blocks, build, distances, near_leaves, parent
 from callgrain.plans.components import connected_components
 from callgrain.plans.ids import with_ids
 from callgrain.session import materialize
@@ -38,8 +36,6 @@ from callgrain.session import materialize
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NOISE = -1
-# Blocks one task compares with one other block.
-BLOCKS_PER_TASK = 32
 # Edges of one window that one task merges.
 WINDOW_EDGES = 1_000_000
 # Distances below this are as dense as can be.
@@ -47,17 +43,6 @@ NEAREST = 1e-6
 KEYS = ["part", "node"]
 
 
-def against_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """``run`` on block a and some of the blocks b that (part, a, b) pairs name; a task gets at most
-    about BLOCKS_PER_TASK of them, so a block with many partners is many tasks."""
-    shares = pairs.groupBy("part", "a").agg(F.ceil(F.count(F.lit(1)) / BLOCKS_PER_TASK).cast("int").alias("shares"))
-    dealt = pairs.select("part", "a", "b").join(shares, ["part", "a"]).withColumn("share", F.pmod(F.xxhash64("b"), "shares").cast("int"))
-    heads = dealt.select("part", F.col("a").alias("node"), "share").distinct().join(left, KEYS)
-    others = dealt.select("part", F.col("a").alias("a"), "share", F.col("b").alias("node")).join(right, KEYS)
-    others = others.select(*[F.col(c).alias(f"b_{c}") for c in others.columns])
-    return heads.groupBy(*KEYS, "share").cogroup(others.groupBy("b_part", "b_a", "b_share")).applyInArrow(run, schema)
-
-
 def _f8(values) -> pa.Array:
     return pa.array([np.asarray(values).astype("<f8").tobytes()])
 

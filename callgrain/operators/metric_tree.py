@@ -16,6 +16,7 @@ A node's number has its parent's in front (base ``FANOUT``), so every table is k
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from callgrain.session import materialize
@@ -35,6 +36,9 @@ FANOUT, FANOUT_BITS = 16, 4
 MAX_LEVEL = 10
 # Points of one node that one task gives to their pivots.
 GROUP_ROWS = 20_000
+# Blocks one task compares with one other block.
+BLOCKS_PER_TASK = 32
+KEYS = ["part", "node"]
 # Guards the bounds, not the distances themselves, against rounding.
 SLACK = 1e-9
 
@@ -218,3 +222,20 @@ def _bounded(pairs: DataFrame, looking: DataFrame, place: DataFrame) -> DataFram
 
 def unpack(row_ids, row_weights, row_vecs, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row_ids, "<i8"), np.frombuffer(row_weights, "<i8"), np.frombuffer(row_vecs, "<f8").reshape(-1, dim)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def unpacked_ids(ids: pa.Array) -> pa.Array:
+    """The points of packed leaves."""
+    return pa.array([np.frombuffer(x.as_py(), "<i8") for x in ids], pa.list_(pa.int64()))
+
+
+def against_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` on block a and some of the blocks b that (part, a, b) pairs name; a task gets at most
+    about BLOCKS_PER_TASK of them, so a block with many partners is many tasks."""
+    shares = pairs.groupBy("part", "a").agg(F.ceil(F.count(F.lit(1)) / BLOCKS_PER_TASK).cast("int").alias("shares"))
+    dealt = pairs.select("part", "a", "b").join(shares, ["part", "a"]).withColumn("share", F.pmod(F.xxhash64("b"), "shares").cast("int"))
+    heads = dealt.select("part", F.col("a").alias("node"), "share").distinct().join(left, KEYS)
+    others = dealt.select("part", F.col("a").alias("a"), "share", F.col("b").alias("node")).join(right, KEYS)
+    others = others.select(*[F.col(c).alias(f"b_{c}") for c in others.columns])
+    return heads.groupBy(*KEYS, "share").cogroup(others.groupBy("b_part", "b_a", "b_share")).applyInArrow(run, schema)
