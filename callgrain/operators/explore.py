@@ -147,11 +147,15 @@ def longest_answers(
 
 def group_samples(
     df: DataFrame, group: str, key: list[str], n: int = 25, width: int | None = None,
-    text_col: str = "QueryText", answer_col: str = "KccAns",
+    text_col: str = "QueryText", answer_col: str = "KccAns", norm_col: str | None = None,
 ) -> DataFrame:
-    """Calls of one normalised question, at most n in key order; width shortens both texts."""
+    """Calls of one normalised question, at most n in key order; width shortens both texts.
+
+    ``norm_col`` names a stored normalised text; without one, every text is normalised again.
+    """
+    norm = F.col(norm_col) if norm_col else norm_query(F.col(text_col))
     rows = (
-        df.where(F.col(text_col).isNotNull() & (norm_query(F.col(text_col)) == F.lit(group)))
+        df.where(F.col(text_col).isNotNull() & (norm == F.lit(group)))
         .orderBy(*key)
         .limit(n)
     )

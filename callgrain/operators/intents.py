@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.functions.similarity import cosine
 from callgrain.functions.text import norm_text, preview
 from callgrain.operators.cluster import NOISE, centroids, density_cluster
 from callgrain.operators.embedding import Embedder, embed
+from callgrain.operators.hierarchy import density_hierarchy
 from callgrain.operators.scoring import score_answer, score_specificity, token_stats
 from callgrain.plans.ids import with_ids
 from callgrain.plans.skew import skew_join
@@ -26,11 +27,37 @@ _SUMMARIES = (
 
 @dataclass(frozen=True)
 class Clustering:
-    """Settings of one clustering: similarity of neighbours and the smallest cluster."""
+    """Settings of one clustering: similarity of neighbours and the smallest cluster.
+
+    ``dim`` is that of the default text vectors, ``chunk`` the texts that an embedder gets at once.
+    """
 
     min_cos: float
     min_pts: int
     dim: int = 256
+    chunk: int = 256
+
+    def label(self, vectors: DataFrame, id_col: str, label_col: str, partition_col: str | None = None) -> DataFrame:
+        return density_cluster(
+            vectors, id_col, "embedding", self.min_cos, self.min_pts, partition_col=partition_col, label_col=label_col
+        )
+
+
+@dataclass(frozen=True)
+class Hierarchical:
+    """Settings of a clustering of variable density: the smallest cluster, and the neighbours that
+    make a point's density (as many, if not given)."""
+
+    min_pts: int
+    neighbours: int | None = None
+    dim: int = 256
+    chunk: int = 256
+    min_cos: float | None = None  # no single density
+
+    def label(self, vectors: DataFrame, id_col: str, label_col: str, partition_col: str | None = None) -> DataFrame:
+        return density_hierarchy(
+            vectors, id_col, "embedding", self.min_pts, self.neighbours, partition_col=partition_col, label_col=label_col
+        )
 
 
 @dataclass(frozen=True)
@@ -77,13 +104,11 @@ def distinct_questions(rows: DataFrame, key: list[str], extra: tuple[str, ...] =
 
 
 def cluster_questions(
-    questions: DataFrame, how: Clustering, embedder: Embedder | None = None
+    questions: DataFrame, how: Clustering | Hierarchical, embedder: Embedder | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(questions with question_cluster_id and embedding, embeddings by question_id)."""
-    vectors = materialize(embed(questions, "question_id", "q_clean", embedder, how.dim), "vectors")
-    labels = density_cluster(
-        vectors, "question_id", "embedding", how.min_cos, how.min_pts, label_col="question_cluster_id"
-    )
+    vectors = materialize(embed(questions, "question_id", "q_clean", embedder, how.dim, how.chunk), "vectors")
+    labels = how.label(vectors, "question_id", "question_cluster_id")
     out = questions.join(labels, "question_id").join(vectors, "question_id")
     # the scores read it several times
     return materialize(out, "clustered"), vectors
@@ -168,16 +193,13 @@ def score_answers(answers: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def cluster_answers(
-    rows: DataFrame, questions: DataFrame, key: list[str], how: Clustering, embedder: Embedder | None = None
+    rows: DataFrame, questions: DataFrame, key: list[str], how: Clustering | Hierarchical, embedder: Embedder | None = None
 ) -> DataFrame:
     """Distinct answers of every question cluster, grouped within their cluster and scored."""
     answers = distinct_answers(rows, questions, key)
-    vectors = materialize(embed(answers, "answer_id", "a_clean", embedder, how.dim), "vectors")
-    keyed = vectors.join(answers.select("answer_id", "question_cluster_id"), "answer_id")
-    labels = density_cluster(
-        keyed, "answer_id", "embedding", how.min_cos, how.min_pts,
-        partition_col="question_cluster_id", label_col="answer_cluster_id",
-    ).select("answer_id", "answer_cluster_id")
+    vectors = materialize(embed(answers, "answer_id", "a_clean", embedder, how.dim, how.chunk), "vectors")
+    keyed = materialize(vectors.join(answers.select("answer_id", "question_cluster_id"), "answer_id"), "keyed-vectors")
+    labels = how.label(keyed, "answer_id", "answer_cluster_id", "question_cluster_id").select("answer_id", "answer_cluster_id")
     return score_answers(materialize(answers.join(labels, "answer_id"), "clustered"), rows)
 
 
@@ -229,18 +251,28 @@ def answer_modes(table: DataFrame, width: int = 800) -> DataFrame:
 def build_intents(
     df: DataFrame,
     key: list[str],
-    question_clusters: Clustering,
-    answer_clusters: Clustering,
+    question_clusters: Clustering | Hierarchical,
+    answer_clusters: Clustering | Hierarchical,
     embedder: Embedder | None = None,
     text_col: str = "QueryText",
     answer_col: str = "KccAns",
+    limit: int | None = None,
+    source: str | None = None,
 ) -> IntentTables:
-    """All intent tables of a set of calls."""
-    rows = clean_rows(df, key, text_col, answer_col)
+    """All intent tables of a set of calls, or of the first ``limit`` ones by key.
+
+    ``source`` says in the settings where the calls came from.
+    """
+    calls = df.orderBy(*key).limit(limit) if limit else df
+    rows = clean_rows(calls, key, text_col, answer_col)
     found, vectors = cluster_questions(distinct_questions(rows, key), question_clusters, embedder)
     questions = materialize(score_questions(found).drop("embedding"), "questions")
     answers = materialize(cluster_answers(rows, questions, key, answer_clusters, embedder), "answers")
     settings = {
+        "input": source,
+        "limit": limit,
+        "embedder": getattr(embedder, "__name__", type(embedder).__name__) if embedder else "tf-idf",
+        "chunk": question_clusters.chunk,
         "min_cos": question_clusters.min_cos,
         "min_cluster_size": question_clusters.min_pts,
         "answer_min_cos": answer_clusters.min_cos,
@@ -250,12 +282,35 @@ def build_intents(
     return IntentTables(questions, answers, summaries(questions, answers), vectors, settings)
 
 
+_SETTINGS = (
+    "input string, limit long, embedder string, chunk long, min_cos double, min_cluster_size long, answer_min_cos double,"
+    " answer_min_cluster_size long, dim long, questions long, answers long, summaries long, embeddings long, question_clusters long"
+)
+
+
 def write_intents(tables: IntentTables, out: str) -> None:
-    """Questions, answers, summaries and embeddings as Parquet, the settings as JSON, in a new folder."""
+    """Questions, answers, summaries and embeddings as Parquet, the settings as JSON, in a new folder.
+
+    The settings also hold the rows of every table, counted by the pass that writes it.
+    """
+    facts = dict(tables.settings)
     for name in ("questions", "answers", "summaries", "embeddings"):
-        getattr(tables, name).write.mode("errorifexists").parquet(f"{out}/{name}")
+        seen, table = Observation(), getattr(tables, name)
+        counted = [F.count(F.lit(1)).alias("n")]
+        if name == "questions":
+            # numbered from 0, noise is -1
+            counted.append((F.coalesce(F.max("question_cluster_id"), F.lit(NOISE)) + 1).cast("long").alias("clusters"))
+        table.observe(seen, *counted).write.mode("errorifexists").parquet(f"{out}/{name}")
+        facts[name] = seen.get["n"]
+        facts["question_clusters"] = seen.get.get("clusters", facts.get("question_clusters"))
     spark = tables.questions.sparkSession
-    spark.createDataFrame([tuple(tables.settings.values())], list(tables.settings)).write.json(f"{out}/settings")
+    row = [facts.get(c.split()[0]) for c in _SETTINGS.split(", ")]
+    spark.createDataFrame([row], _SETTINGS).write.option("ignoreNullFields", False).json(f"{out}/settings")
+
+
+def read_settings(spark: SparkSession, out: str) -> DataFrame:
+    """The stored settings of a run, one row."""
+    return spark.read.schema(_SETTINGS).json(f"{out}/settings")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

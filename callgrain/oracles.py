@@ -282,7 +282,52 @@ INTENT_SUMMARIES = {
         FROM ({_best("question_cluster_id, answer_cluster_id", " WHERE answer_cluster_id >= 0")}) GROUP BY 1""",
 }
 
+# Prim's algorithm: the node with the cheapest link to the tree joins it, all others look again
+TREE_WEIGHTS = {
+    "u": """SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) WHERE list_dot_product(e, e) > 0""",
+    "d": "SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id",
+    "core": """SELECT a, max(d) AS c FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS k FROM d) WHERE k <= 5 GROUP BY a""",
+    "m": "SELECT d.a, d.b, greatest(d, x.c, y.c) AS w FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b",
+    "p(step, node, best, inside)": """SELECT 0, vec_id, CASE WHEN vec_id = (SELECT min(vec_id) FROM u) THEN 0.0::DOUBLE
+        ELSE 'infinity'::DOUBLE END, false FROM u
+        UNION ALL
+        SELECT step + 1, p.node, CASE WHEN p.inside OR p.node = t.node THEN p.best ELSE least(p.best, m.w) END, p.inside OR p.node = t.node
+        FROM p CROSS JOIN (SELECT arg_min(node, (best, node)) AS node FROM p WHERE NOT inside) t
+        LEFT JOIN m ON m.a = t.node AND m.b = p.node WHERE step < (SELECT count(*) FROM u)""",
+}
+
 ORACLES: dict[str, str] = {
+    "complete_lines": _sql(f"""SELECT * FROM ({CALLS_AS_TEXT}) WHERE CAST(row_id AS BIGINT) NOT IN (SELECT max(row_id) FROM calls_dim GROUP BY "Year")""", "calls_dim"),
+    "stored_calls": _sql("""SELECT * REPLACE (CAST("Month" AS BIGINT) AS "Month") FROM calls_dim WHERE "Year" <> 1997 OR "StateName" <> 'ASIA'""", "calls_dim"),
+    "stored_filter": _sql("""SELECT * REPLACE (CAST("Month" AS BIGINT) AS "Month") FROM calls_dim WHERE CAST("Month" AS BIGINT) = 3
+        AND "StateName" IN ('ASIA', 'EUROPE') AND ("Year" = 1995 OR ("Year" = 1997 AND "StateName" <> 'ASIA'))""", "calls_dim"),
+    "stored_group_samples": _sql(
+        f"""SELECT left(trim("QueryText", e' \\n\\t\\r'), 400) AS "QueryText", "DistrictName" AS "KccAns" FROM docs_text
+        WHERE {norm_query_sql('"QueryText"')} = (SELECT "QueryText" FROM grouped ORDER BY "count" DESC, "QueryText" LIMIT 1)
+        ORDER BY doc_id LIMIT 25""", "docs_text", grouped=GROUPED),
+    "page_stream": "SELECT *, event_id // 1000 * 1000 AS page_offset FROM events",
+    "stream_distinct": "SELECT * FROM events",
+    "name_match_grouped": f"""WITH t AS (SELECT DISTINCT p_brand AS brand, p_name AS target FROM part WHERE p_partkey % 2 = 1),
+        c AS (SELECT DISTINCT p_brand AS brand, p_name AS choice FROM part WHERE p_partkey % 2 = 0),
+        s AS (SELECT t.brand, target, choice, CAST(round(200.0 * {_lcs_sql("lower(target)", "lower(choice)")} / (length(target) + length(choice))) AS INTEGER) AS score
+            FROM t JOIN c ON t.brand = c.brand),
+        b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand, target ORDER BY score DESC, choice) AS rk FROM s) WHERE rk = 1 AND score >= 80)
+        SELECT brand, target, choice AS match, CAST(score AS DOUBLE) AS score, CASE WHEN choice IS NOT NULL THEN 'fuzzy' END AS via
+        FROM t LEFT JOIN b USING (brand, target)""",
+    "density_cluster_tree": _recursive(
+        "SELECT vec_id, coalesce(label, -1) AS cluster_id FROM v LEFT JOIN labels USING (vec_id)",
+        _dbscan(_embeddings_by("0"), 0.30, 8)),
+    "hierarchy_weights": _recursive(
+        """SELECT row_number() OVER (ORDER BY best) - 1 AS nth, round(best, 6) AS w FROM p
+        WHERE step = (SELECT count(*) FROM u) AND node <> (SELECT min(vec_id) FROM u)""", TREE_WEIGHTS).replace("d AS (", "d AS MATERIALIZED (")
+        .replace("core AS (", "core AS MATERIALIZED (").replace("m AS (", "m AS MATERIALIZED ("),
+    "intent_settings": _recursive(
+        """SELECT 'conversations' AS input, CAST(NULL AS BIGINT) AS "limit", 'letters' AS embedder, 256 AS chunk, 0.97::DOUBLE AS min_cos,
+        4 AS min_cluster_size, 0.98::DOUBLE AS answer_min_cos, 3 AS answer_min_cluster_size, 256 AS dim,
+        (SELECT count(*) FROM questions) AS questions, (SELECT count(*) FROM a) AS answers,
+        (SELECT count(DISTINCT question_cluster_id) FROM a) AS summaries, (SELECT count(*) FROM questions) AS embeddings,
+        (SELECT max(question_cluster_id) + 1 FROM clustered) AS question_clusters""", INTENT_ANSWERS),
     "scan_parquet": "SELECT * FROM orders",
     "scan_csv": _sql(CALLS_AS_TEXT + " WHERE row_id % 50 <> 0 AND row_id % 70 <> 0", "calls_dim"),
     "csv_header_names": _sql('SELECT CAST(row_id AS VARCHAR) AS row_id, "StateName" AS "State_Name", "Crop" FROM calls_dim', "calls_dim"),
@@ -444,3 +489,4 @@ ORACLES: dict[str, str] = {
         JOIN ranked d ON d.question_cluster_id = b.question_cluster_id AND d.by_desc = 1
         LEFT JOIN modes ON modes.question_cluster_id = b.question_cluster_id""", INTENT_SUMMARIES),
 }
+ORACLES["intent_summaries_stored"] = ORACLES["intent_summary_texts"]

@@ -12,11 +12,14 @@ from callgrain import bindings as B
 from callgrain.functions.text import (
     keep_directions, norm_name, norm_query, norm_text, repair_name,
 )
-from callgrain.operators import cluster, explore, geo, ingest, intents, names, profiles, scoring
+from callgrain.operators import cluster, explore, geo, hierarchy, ingest, intents, names, profiles, scoring
 from callgrain.operators.embedding import embed
+from callgrain.plans.ids import with_ids
 from callgrain.session import materialize, new_dir
+from callgrain.sources import call_store, page_api
 from callgrain.sources import geo as geo_source
 from callgrain.sources import transcripts as src
+from callgrain.streaming import distinct
 from callgrain.streaming import ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +90,84 @@ def quarantine_good_rows(spark, sf_dir):
     return good.select("row_id", "Month")
 
 
+@query
+def complete_lines(spark, sf_dir):
+    """Calls in one file per year; the break is in front of a line, so each file's last one has none."""
+    path = new_dir(spark, "cut")
+    calls = B.calls_dim(spark, sf_dir)
+    line = F.concat(F.lit("\n"), F.concat_ws(",", *CALL_NAMES))
+    calls.withColumn("y", F.col("Year")).repartition("y").sortWithinPartitions("y", "row_id").select("y", line.alias("value")).write.option(
+        "lineSep", ","
+    ).partitionBy("y").text(path)
+    # the comma in the place of the break makes one more, empty field
+    schema = StructType([*CALL_TEXT_SCHEMA.fields, StructField("rest", StringType())])
+    good, _ = src.read_complete(spark, path, schema, header=False)
+    return good.drop("rest")
+
+
+def _stored_calls(spark, sf_dir) -> str:
+    """All calls, and after that 1997 again without those of one state."""
+    path = new_dir(spark, "calls")
+    calls = B.calls_dim(spark, sf_dir)
+    call_store.write_calls(calls, path)
+    call_store.write_calls(calls.where("Year = 1997 AND StateName != 'ASIA'"), path)
+    return path
+
+
+@query
+def stored_calls(spark, sf_dir):
+    stored = call_store.read_calls(spark, _stored_calls(spark, sf_dir))
+    return stored.withColumn("Year", F.col("Year").cast("bigint"))
+
+
+@query
+def stored_filter(spark, sf_dir):
+    stored = call_store.read_calls(spark, _stored_calls(spark, sf_dir))
+    facets = {"Year": [1995, 1997], "StateName": ["ASIA", "EUROPE"]}
+    return explore.facet_filter(stored, facets, month=3).withColumn("Year", F.col("Year").cast("bigint"))
+
+
+@query
+def stored_group_samples(spark, sf_dir):
+    path = new_dir(spark, "calls")
+    docs = B.docs_text(spark, sf_dir).withColumns({"KccAns": F.col("DistrictName"), "Year": (F.col("doc_id") % 3).cast("string")})
+    call_store.write_calls(docs, path, "QueryText")
+    stored = call_store.read_calls(spark, path)
+    most = stored.where("QueryNorm != ''").groupBy("QueryNorm").count().orderBy(F.desc("count"), "QueryNorm").first()["QueryNorm"]
+    return explore.group_samples(stored, most, ["doc_id"], width=400, norm_col="QueryNorm")
+
+
+@query
+def page_stream(spark, sf_dir):
+    """The events from a paged source in two runs: the first ends at an error page, mended before the second."""
+    events, base = B.table(spark, sf_dir, "events"), new_dir(spark, "api")
+    broken = F.floor(F.col("event_id") / B.PAGE_ROWS) == 4
+    B.event_pages(events.where(~broken), f"{base}/pages")
+    B.error_pages(events.where(broken).select(_page_offset()).distinct(), f"{base}/pages", ['{"error":"limit, reached"}'])
+    names = B.EVENT_SCHEMA.fieldNames()
+    page_api.load_pages(spark, page_api.FolderApi(f"{base}/pages", B.PAGE_ROWS), names, f"{base}/out", f"{base}/checkpoint")
+    B.event_pages(events, f"{base}/mended")
+    page_api.load_pages(spark, page_api.FolderApi(f"{base}/mended", B.PAGE_ROWS), names, f"{base}/out", f"{base}/checkpoint")
+    return B.typed_events(page_api.loaded_pages(spark, f"{base}/out"))
+
+
+@query
+def stream_distinct(spark, sf_dir):
+    """The events in three deliveries, each with copies of rows of the one before."""
+    base = new_dir(spark, "distinct")
+    events = B.table(spark, sf_dir, "events").select(*[F.col(c).cast("string") for c in B.EVENT_TYPES])
+    events.write.parquet(f"{base}/raw")
+    events = spark.read.parquet(f"{base}/raw")
+    number = F.col("event_id").cast("bigint")
+    for part in range(3):
+        late = (number % 3 == (part + 2) % 3) & (number % 4 == 0) if part else F.lit(False)
+        events.where((number % 3 == part) | late).coalesce(2).write.mode("append").parquet(f"{base}/in")
+        distinct.distinct_stream(
+            spark, f"{base}/in", B.EVENT_SCHEMA, f"{base}/out", f"{base}/checkpoint", ["event_id", "ts"], "ts", "2 days"
+        )
+    return distinct.distinct_rows(spark, f"{base}/out", B.EVENT_SCHEMA).withColumns({c: F.col(c).cast(k) for c, k in B.EVENT_TYPES.items()})
+
+
 @query
 def pages_union(spark, sf_dir):
     return B.typed_events(src.read_pages(spark, B.fresh_pages(spark, sf_dir), B.EVENT_SCHEMA))
@@ -469,6 +550,16 @@ def name_match(spark, sf_dir):
     return _matches(spark, sf_dir).withColumn("score", F.col("score").cast("double"))
 
 
+@query
+def name_match_grouped(spark, sf_dir):
+    """Part names within their brand: the same name may be a choice of several brands."""
+    part = B.table(spark, sf_dir, "part")
+    choices = part.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("choice"))
+    targets = part.where("p_partkey % 2 = 1").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("target"))
+    found = names.match_names(targets, choices, threshold=80, group_col="brand")
+    return found.withColumn("score", F.col("score").cast("double"))
+
+
 @query
 def name_unmatched(spark, sf_dir):
     return names.unmatched(_matches(spark, sf_dir))
@@ -558,6 +649,25 @@ def density_cluster_parts(spark, sf_dir):
     )
 
 
+@query
+def density_cluster_tree(spark, sf_dir):
+    # many small blocks: the metric tree decides which ones meet
+    return cluster.density_cluster(B.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.30, 8, block=64)
+
+
+@query
+def hierarchy_weights(spark, sf_dir):
+    """The spanning tree's weights in order, copies of a vector included."""
+    edges, points = hierarchy.hierarchy_edges(B.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5, leaf=64)
+    copies = points.where("w > 1").select(F.explode(F.array_repeat("core", (F.col("w") - 1).cast("int"))).alias("w"))
+    return with_ids(edges.select("w").unionAll(copies), "nth", ["w"]).select("nth", *rounded("w"))
+
+
+@query
+def density_hierarchy(spark, sf_dir):
+    return hierarchy.density_hierarchy(B.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, 5, leaf=256)
+
+
 @query
 def cluster_centroid(spark, sf_dir):
     means = cluster.centroids(B.table(spark, sf_dir, "embeddings"), "label", "embedding")
@@ -705,6 +815,25 @@ def intent_tables(spark, sf_dir):
     )
 
 
+@query
+def intent_settings(spark, sf_dir):
+    out = new_dir(spark, "intents")
+    tables = intents.build_intents(
+        B.calls_text(spark, sf_dir), CALL_KEY, LETTER_QUESTIONS, LETTER_ANSWERS, B.letter_model(), source="conversations"
+    )
+    intents.write_intents(tables, out)
+    return intents.read_settings(spark, out)
+
+
+@query
+def intent_summaries_stored(spark, sf_dir):
+    # a folder with summaries, and one that has none yet
+    out = new_dir(spark, "intents")
+    _given_summaries(spark, sf_dir).write.parquet(f"{out}/summaries")
+    found = intents.read_summaries(spark, f"{out}/summaries").unionByName(intents.read_summaries(spark, f"{out}/none"))
+    return found.drop("best_answer_per_answer_cluster")
+
+
 @query
 def intent_embeddings(spark, sf_dir):
     stored = spark.read.parquet(f"{_written_intents(spark, sf_dir)}/embeddings")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from callgrain.session import materialize
+
 BAD_RECORD = "_malformed"
 
 
@@ -70,6 +72,43 @@ def split_malformed(
     return good, bad
 
 
+def read_complete(
+    spark: SparkSession, path: str, schema: StructType, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected lines with their file) of CSV files with one record per line.
+
+    A last line that does not end in a line break was cut by a broken transfer. It is rejected even
+    if it still has all its fields, as its last field may be cut. No file is read whole: the lines of
+    a file and its size in bytes tell whether the last line break is there, and only the ends of
+    files, two rows per file, are looked up again.
+    """
+    meta = F.col("_metadata")
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path)
+    # the order of lines: splits by their start, rows within a task by their number; fixed once written
+    placed = F.struct(meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"))
+    lines = materialize(text.select(meta["file_path"].alias("file"), meta["file_size"].alias("size"), placed.alias("place"), "value"), "lines")
+    files = lines.groupBy("file").agg(
+        F.max("place").alias("last"), F.min("place").alias("first"),
+        (F.sum(F.octet_length("value") + 1) - F.max("size")).alias("over"),
+    )
+    # one byte more than the file has, or three less for the mark at the start that readers skip
+    cut = F.col("over").isin(1, -2)
+    ends = files.where(cut).select(F.col("last.at").alias("at"), F.lit(True).alias("cut"))
+    if header:
+        heads = files.where(~cut | (F.col("first") != F.col("last"))).select(F.col("first.at").alias("at"), F.lit(False).alias("cut"))
+        ends = ends.unionByName(heads)
+    marked = lines.withColumn("at", F.col("place.at")).join(ends, "at", "left").where("value != '' AND (cut IS NULL OR cut)")
+    flagged = StructType([*schema.fields, StructField(BAD_RECORD, StringType(), True)])
+    line = F.regexp_replace("value", r"\r\z", "")
+    parsed = F.from_csv(line, flagged.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD, "escape": '"',
+    })
+    rows = marked.select("file", "cut", line.alias("line"), parsed.alias("r"))
+    bad = F.col("cut").isNotNull() | F.col(f"r.{BAD_RECORD}").isNotNull()
+    good = rows.where(~bad).select(*[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()])
+    return good, rows.where(bad).select(F.col("line").alias("record"), "file", F.col("cut").isNotNull().alias("unterminated"))
+
+
 def page_offset(file_path: Column) -> Column:
     """Offset in a page's name: ``offset_0005000.csv``, or ``offset=5000/`` as Spark writes it."""
     return F.regexp_extract(file_path, r"offset[_=](\d+)", 1).try_cast("bigint")

@@ -72,3 +72,44 @@ def test_no_cross_join(spark):
 def test_suggest(spark):
     df = spark.createDataFrame([("Agra",), ("Nagra",), ("Delhi",)], "d string")
     assert [r[0] for r in N.suggest(df, "d", "GRA", 5).collect()] == ["Agra", "Nagra"]
+
+
+@pytest.mark.parametrize("threshold", [30, 60, 80, 90])
+def test_heavy_keys_are_cut_on_both_sides(spark, threshold, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS_PER_TASK", 40)
+    monkeypatch.setattr(N, "SIDE", 5)
+    rng = random.Random(threshold)
+    # short names, and long ones that share a segment
+    targets = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(40)} | {f"pur{rng.choice('xyz') * 2}{i % 7}pur" for i in range(60)}
+    choices = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(30)} | {f"pur{rng.choice('xyz') * 2}{i % 5}pur" for i in range(40)}
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    c = spark.createDataFrame([(x,) for x in choices], "choice string")
+    got = {r["target"]: r["match"] for r in N.match_names(t, c, threshold=threshold).collect()}
+    assert got == brute(targets, choices, threshold)
+
+
+def test_no_task_gets_a_heavy_key_whole(spark, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS_PER_TASK", 10_000)
+    monkeypatch.setattr(N, "SIDE", 100)
+    keys = "g string, a_len int, b_len int, key struct<seg int, text string>"
+    t = spark.createDataFrame([("", 4, 4, (-1, "a"), f"t{i}") for i in range(3000)] + [("", 5, 5, (0, "x"), "u")], keys + ", a string")
+    c = spark.createDataFrame([("", 4, 4, (-1, "a"), f"c{i}") for i in range(300)] + [("", 5, 5, (0, "x"), "v")], keys + ", b string")
+    seen = {}
+    real = N.skew_join
+
+    def spy(left, right, on, by, how):
+        seen[by[0]] = right.collect()
+        return real(left, right, on, by, how)
+
+    monkeypatch.setattr(N, "skew_join", spy)
+    pairs = N._met(t, c, 901_000)
+    assert pairs.count() == 900_001 == pairs.select("a", "b").distinct().count()
+    assert [(r["t_parts"], r["c_parts"]) for r in seen["a"]] == [(30, 3)]
+
+
+def test_groups_are_apart(spark):
+    t = spark.createDataFrame([("S1", "hisar"), ("S2", "hisar"), ("S3", "hisar"), (" s1 ", "hissar"), (None, "hisar")], "state string, target string")
+    c = spark.createDataFrame([("S1", "Hisar"), ("s2", "hisaar"), ("S4", "hisar")], "state string, choice string")
+    o = spark.createDataFrame([("S2", "hisar", "fixed")], "state string, raw string, official string")
+    got = {(r["state"], r["target"]): r["match"] for r in N.match_names(t, c, o, group_col="state").collect()}
+    assert got == {("S1", "hisar"): "Hisar", ("S2", "hisar"): "fixed", ("S3", "hisar"): None, (" s1 ", "hissar"): "Hisar", (None, "hisar"): None}

@@ -145,3 +145,31 @@ def test_overrides_and_measure(spark, tmp_path):
     assert sorted(map(tuple, G.read_overrides(spark, str(tmp_path / "t"), "parquet").collect())) == [("hissar", "hisar"), ("x", "y")]
     (tmp_path / "m.csv").write_text("any title,spend\nAgra,1.5\n")
     assert G.read_measure(spark, str(tmp_path / "m.csv")).first().asDict() == {"District": "Agra", "value": 1.5}
+
+
+def test_unterminated_last_line(spark, tmp_path):
+    schema = StructType([StructField("a", StringType()), StructField("b", StringType())])
+    files = {
+        "whole.csv": "a,b\n1,x\n2,y\n", "cut.csv": "a,b\n3,x\n4,yy", "cut_field.csv": "a,b\r\n5,x\r\n6", "head_only.csv": "a,b\n",
+        "cut_head.csv": "a,", "empty.csv": "", "mark.csv": "﻿a,b\n7,x\n8,é", "mark_whole.csv": "﻿a,b\n9,é\n", "odd.csv": 'a,b\n10,"x, y"\n11\n12,p,q\n',
+        "long.csv": "a,b\n" + "".join(f"{i},z\n" for i in range(1000, 3000)) + "9999,z",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    good, bad = S.read_complete(spark, str(tmp_path), schema)
+    got = {(r["a"], r["b"]) for r in good.collect()}
+    assert got == {("1", "x"), ("2", "y"), ("3", "x"), ("5", "x"), ("7", "x"), ("9", "é"), ("10", "x, y")} | {(str(i), "z") for i in range(1000, 3000)}
+    rejected = {(r["record"], r["unterminated"]) for r in bad.collect()}
+    assert rejected == {("4,yy", True), ("6", True), ("a,", True), ("8,é", True), ("11", False), ("12,p,q", False), ("9999,z", True)}
+
+
+def test_unterminated_line_of_a_split_file(spark, tmp_path):
+    schema = StructType([StructField("a", StringType()), StructField("b", StringType())])
+    (tmp_path / "one.csv").write_text("a,b\n" + "".join(f"{i},z{i}\n" for i in range(5000)) + "x,y")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        good, bad = S.read_complete(spark, str(tmp_path), schema)
+        assert good.count() == 5000 and [r["record"] for r in bad.collect()] == ["x,y"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
