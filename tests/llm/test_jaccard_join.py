@@ -5,14 +5,14 @@ import numpy as np
 from callgrain.llm import jaccard_join as op
 
 
-def shingles(text):
+def shingles(text, words=4):
     t = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
-    return {tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    return {tuple(w)} if 0 < len(w) < words else {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t in rows if i is not None}
+def brute(rows, words=4, percent=85):
+    sets = {i: shingles(t, words) for i, t in rows if i is not None}
     root = {i: i for i in sets}
 
     def find(i):
@@ -24,10 +24,10 @@ def brute(rows):
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             common = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * common >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * common >= percent * len(sets[a] | sets[b]):
                 r, s = sorted((find(a), find(b)))
                 root[s] = r
-    return sorted(((i, len(shingles(t)), None if i is None else find(i)) for i, t in rows), key=str)
+    return sorted(((i, len(shingles(t, words)), None if i is None else find(i)) for i, t in rows), key=str)
 
 
 def corpus(seed, n=60):

@@ -31,7 +31,7 @@ def test_stages(spark, made):
     assert len(bad & left) < 0.1 * len(bad) and len({r["doc_id"] for r in a} - bad - left) <= 3
     want = test_line_dedup.brute([(r["doc_id"], r["text"]) for r in b])
     assert sorted(((r["doc_id"], r["text"] or "") for r in c), key=str) == sorted(((w[0], w[1]) for w in want), key=str)
-    roots = {x[0]: x[2] for x in test_jaccard_join.brute([(r["doc_id"], r["text"]) for r in c])}
+    roots = {x[0]: x[2] for x in test_jaccard_join.brute([(r["doc_id"], r["text"]) for r in c], 5, 80)}
     kept = [r["doc_id"] for r in c if r["doc_id"] is None or roots[r["doc_id"]] == r["doc_id"]]
     assert sorted(kept, key=str) == sorted((r["doc_id"] for r in d), key=str)
     assert sorted((str(r["doc_id"]), str(r["text"] and pii.replace(r["text"], b"corpus")[0])) for r in d) == sorted((str(r["doc_id"]), str(r["text"])) for r in e)
