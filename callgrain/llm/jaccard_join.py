@@ -13,12 +13,12 @@ A document's set holds 64-bit hashes of its distinct shingles of ``words`` words
    the first one of its run, runs cut by a partition border are stitched, lone keys vanish. No key
    gathers in one task.
 3. Pairs survive if the summed coordinate minima of their points, which bound the common members,
-   suffice, first of GROUPS coordinates and then of as many as half their members; survivors are
-   verified on their sets. Links make components.
+   suffice; survivors are verified on their sets. Links make components. Coordinates stop at 255, and
+   what lies above is bounded by its sum, so a point is GROUPS bytes whatever the size of the set.
 4. Keys that still hold several components are joined again in R-trees over their points, boxes
    against boxes and then points against points, only across components. A key with more than
-   ``TILE_ROWS`` members is dealt out in tiles. Survivors are verified, and all links make the
-   final components. So every linked pair is either verified or already inside one component.
+   ``TILE_ROWS`` members is dealt out in tiles, and a tile gives its survivors out piece by piece.
+   Survivors are verified, and all links make the final components. So every linked pair is either verified or already inside one component.
 """
 
 from __future__ import annotations
@@ -34,10 +34,11 @@ from pyspark.sql.types import BooleanType
 
 from callgrain.llm.common import SPACE_CHARS, grouped, keyed_text, parts_for, stored, text_slices
 from callgrain.plans.components import connected_components
+from callgrain.plans.skew import skew_join
 
 WORDS = 4  # of a shingle, unless the caller says otherwise
 PERCENT = 85  # similarity from which sets link, likewise
-GROUPS = 64
+GROUPS = 256
 LEAF, FAN = 16, 16
 TILE_ROWS = 4096
 SAMPLE_SHARE = 64  # one document in so many tells which members are frequent
@@ -45,6 +46,7 @@ SAMPLE_LEAST = 3
 FREQUENT = 1 << 16  # frequent members kept: 512 KB sent to the tasks
 KEYS_PER_PART = 1_000_000
 BATCH_BYTES = 1 << 20
+PAIRS_OUT = 1 << 18  # survivors of a tile held before they are given out
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[ord(c) for c in SPACE_CHARS]] = True
@@ -99,14 +101,22 @@ def _batched(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def count_vector(members: np.ndarray) -> np.ndarray:
-    return np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Members per group, at most 255 of each."""
+    counts = np.bincount((members >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
-def fine_vector(members: np.ndarray) -> bytes:
-    """Counts of so many groups that two or fewer members share one; empty where one exceeds a byte."""
-    bits = max(6, (max(1, len(members) // 2) - 1).bit_length())
-    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+def _points(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
+def _common(p: np.ndarray, q: np.ndarray, over_p: np.ndarray, over_q: np.ndarray) -> np.ndarray:
+    """The most members that sets of these points can share; ``over`` is what lies above the points."""
+    return np.minimum(p, q).sum(axis=-1, dtype=np.int64) + np.minimum(over_p, over_q)
+
+
+def _over(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return sizes - points.sum(axis=1, dtype=np.int64)
 
 
 def keys(members: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -124,7 +134,7 @@ def keys(members: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
 def _profiles(frequent: np.ndarray, words: int, percent: int):
     schema = pa.schema(
         [("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-         ("point", pa.list_(pa.int32())), ("fine", pa.binary()), ("keys", pa.list_(pa.int64()))]
+         ("point", pa.binary()), ("keys", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +143,7 @@ def _profiles(frequent: np.ndarray, words: int, percent: int):
             with np.errstate(over="ignore"):
                 for m in _batched(batch.column(1), words):
                     digest = (int(m.sum()), int(_mix(m + np.uint64(7)).sum())) if len(m) else (0, 0)
-                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m), fine_vector(m), keys(m, frequent, percent).view(np.int64)))
+                    rows.append((len(m), *np.array(digest, np.uint64).view(np.int64).tolist(), count_vector(m).tobytes(), keys(m, frequent, percent).view(np.int64)))
             cols = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))] if rows else None
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
@@ -217,37 +227,45 @@ class RTree:
         self.percent = percent
         self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # from the leaves up: upper corners, least sizes
-        high, least, width = self.points, self.sizes, LEAF
+        self.over = _over(self.points, self.sizes)
+        self.levels = []  # from the leaves up: upper corners, least sizes, largest rest
+        high, least, over, width = self.points, self.sizes, self.over, LEAF
         while True:
             begin = np.arange(0, len(high), width)
-            high, least = np.maximum.reduceat(high, begin), np.minimum.reduceat(least, begin)
-            self.levels.append((high, least))
+            high, least, over = np.maximum.reduceat(high, begin), np.minimum.reduceat(least, begin), np.maximum.reduceat(over, begin)
+            self.levels.append((high, least, over))
             if len(high) == 1:
                 return
             width = FAN
 
     def join(self, other: RTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (self, other) of points whose summed minima suffice, leaf pair by leaf pair."""
+        """Index pairs (self, other) of points whose summed minima suffice, leaf pair by leaf pair;
+        of a tree with itself each pair once, and none of a point with itself."""
+        alone = self is other
         top = max(len(self.levels), len(other.levels))
         level = lambda t, i: t.levels[min(i, len(t.levels) - 1)]
         u, v = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for i in range(top - 1, -1, -1):
-            (hu, nu), (hv, nv) = level(self, i), level(other, i)
-            keep = [
-                _enough(np.minimum(hu[u[s : s + 4096]], hv[v[s : s + 4096]]).sum(axis=1), nu[u[s : s + 4096]], nv[v[s : s + 4096]], self.percent)
-                for s in range(0, len(u), 4096)
-            ]
+            (hu, nu, ou), (hv, nv, ov) = level(self, i), level(other, i)
+            keep = []
+            for s in range(0, len(u), 4096):
+                a, b = u[s : s + 4096], v[s : s + 4096]
+                keep.append(_enough(_common(hu[a], hv[b], ou[a], ov[b]), nu[a], nv[b], self.percent))
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
             u, v = u[keep], v[keep]
             if i:
                 u, v = self._children(u, v, self, other, i)
+                if alone:
+                    u, v = u[u <= v], v[u <= v]
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            p, q = self.points[a * LEAF : (a + 1) * LEAF], other.points[b * LEAF : (b + 1) * LEAF]
-            common = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2)
-            x, y = np.nonzero(_enough(common, self.sizes[a * LEAF : (a + 1) * LEAF][:, None], other.sizes[b * LEAF : (b + 1) * LEAF][None, :], self.percent))
-            if len(x):
-                yield self.order[a * LEAF + x], other.order[b * LEAF + y]
+            x, y = slice(a * LEAF, (a + 1) * LEAF), slice(b * LEAF, (b + 1) * LEAF)
+            common = _common(self.points[x, None, :], other.points[None, y, :], self.over[x, None], other.over[None, y])
+            fits = _enough(common, self.sizes[x, None], other.sizes[None, y], self.percent)
+            if alone and a == b:
+                fits &= np.tri(*fits.shape, -1, dtype=bool).T
+            i, j = np.nonzero(fits)
+            if len(i):
+                yield self.order[a * LEAF + i], other.order[b * LEAF + j]
 
     @staticmethod
     def _children(u: np.ndarray, v: np.ndarray, left: RTree, right: RTree, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,17 +283,24 @@ class RTree:
 _PAIRS = "a long, b long"
 
 
-def _tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, chunks: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Surviving index pairs of one tile of more than a leaf, across components."""
+def _tree_pairs(
+    sizes: np.ndarray, points: np.ndarray, roots: np.ndarray, chunks: np.ndarray, percent: int
+) -> Iterator[np.ndarray]:
+    """Surviving index pairs of one tile of more than a leaf, across components, some at a time."""
     sides = [np.flatnonzero(chunks == c) for c in np.unique(chunks)]
     trees = [RTree(points[s], sizes[s], percent) for s in sides]
-    found = []
+    found, held = [], 0
     for x, y in trees[0].join(trees[-1]):
         x, y = sides[0][x], sides[-1][y]
         apart = roots[x] != roots[y]
         if apart.any():
             found.append(np.stack([x[apart], y[apart]]))
-    return found
+            held += int(apart.sum())
+        if held >= PAIRS_OUT:
+            yield np.concatenate(found, axis=1)
+            found, held = [], 0
+    if found:
+        yield np.concatenate(found, axis=1)
 
 
 def _survivors(percent: int):
@@ -283,9 +308,14 @@ def _survivors(percent: int):
     batch are compared together, a pair that meets under several keys once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(t: pa.Table) -> pa.RecordBatch:
+        def named(ids: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+            names = np.unique(np.sort(ids[pairs], axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1])], names=["a", "b"])
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key, x, y, ids, roots, chunks, sizes = (t.column(i).to_numpy() for i in range(7))
-            points = t.column(7).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+            points = _points(t.column(7))
+            over = _over(points, sizes)
             new = np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
             begin = np.append(np.flatnonzero(new), len(key))
             tile = np.cumsum(new)
@@ -298,15 +328,14 @@ def _survivors(percent: int):
             names = np.sort(ids[pairs], axis=0)
             pairs = pairs[:, np.unique(names, axis=1, return_index=True)[1]]
             keep = [
-                _enough(np.minimum(points[u], points[v]).sum(axis=1), sizes[u], sizes[v], percent)
+                _enough(_common(points[u], points[v], over[u], over[v]), sizes[u], sizes[v], percent)
                 for u, v in (pairs[:, s : s + 8192] for s in range(0, pairs.shape[1], 8192))
             ]
-            found = [pairs[:, np.concatenate(keep)] if keep else pairs]
+            yield named(ids, pairs[:, np.concatenate(keep)] if keep else pairs)
             for i in np.flatnonzero(np.diff(begin) > LEAF).tolist():
                 s = slice(begin[i], begin[i + 1])
-                found += [begin[i] + f for f in _tree_pairs(ids[s], sizes[s], points[s], roots[s], chunks[s], percent)]
-            names = np.unique(np.sort(ids[np.concatenate(found, axis=1)], axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1])], names=["a", "b"])
+                for f in _tree_pairs(sizes[s], points[s], roots[s], chunks[s], percent):
+                    yield named(ids, begin[i] + f)
 
         held: list[pa.RecordBatch] = []  # the last tile so far may go on in the next batch
         for batch in batches:
@@ -315,45 +344,32 @@ def _survivors(percent: int):
             last = [t.column(i).to_numpy() for i in range(3)]
             cut = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in last]))) if len(t) else 0
             if cut:
-                yield compare(t.slice(0, cut))
+                yield from compare(t.slice(0, cut))
                 held = t.slice(cut).combine_chunks().to_batches()
         t = pa.Table.from_batches(held) if held else None
         if t is not None and len(t):
-            yield compare(t)
+            yield from compare(t)
 
     return run
 
 
-def _bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed coordinate minima suffice."""
-    side = lambda c: profiles.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    common = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    enough = (100 + percent) * common.cast("long") >= percent * (F.col("n_a") + F.col("n_b"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
-
-
 def _may_link(percent: int):
-    @F.pandas_udf(BooleanType())
-    def may(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        """The same bound on the fine vectors; groups are leading hash bits, so the longer vector folds."""
-        common = np.zeros(len(a), np.int64)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            if not x or not y:
-                common[i] = min(n_a.iat[i], n_b.iat[i])
-                continue
-            p, q = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
-            if len(q) > len(p):
-                q = q.reshape(len(p), -1).sum(axis=1)
-            common[i] = np.minimum(p, q).sum(dtype=np.int64)
-        return pd.Series(_enough(common, n_a.to_numpy(), n_b.to_numpy(), percent))
+    @F.arrow_udf(BooleanType())
+    def may(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
+        out = [np.zeros(0, bool)]
+        for s in range(0, len(a), 4096):
+            p, q = _points(a.slice(s, 4096)), _points(b.slice(s, 4096))
+            n, m = n_a.slice(s, 4096).to_numpy(), n_b.slice(s, 4096).to_numpy()
+            out.append(_enough(_common(p, q, _over(p, n), _over(q, m)), n, m, percent))
+        return pa.array(np.concatenate(out))
 
     return may
 
 
-def _finer(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the fine vectors leave."""
-    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"f_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)("f_a", "f_b", "n_a", "n_b")).select("a", "b")
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose summed coordinate minima suffice."""
+    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)("p_a", "p_b", "n_a", "n_b")).select("a", "b")
 
 
 def _linked(percent: int):
@@ -400,14 +416,13 @@ def components(
     some = texts.where("id is not null")
     frequent = _frequent_members(some, words)
     profiles = stored(
-        texts.mapInArrow(_profiles(frequent, words, percent), "id long, n long, s1 long, s2 long, point array<int>, fine binary, keys array<long>"), "profiles"
+        texts.mapInArrow(_profiles(frequent, words, percent), "id long, n long, s1 long, s2 long, point binary, keys array<long>"), "profiles"
     )
     used = profiles.where("id is not null and n > 0")
     classes = used.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    # equal sets hang under their smallest id; a hot class is a few partial minima
-    copies = stored(
-        used.select("id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).where("id != rep").select("id", "rep").distinct(), "copies"
-    )
+    # equal sets hang under their smallest id; a hot class is a few partial minima, and its rows many tasks
+    named = skew_join(used.select("id", "s1", "s2", "n"), classes, ["s1", "s2", "n"], ["id"], "inner", rows=used.count())
+    copies = stored(named.where("id != rep").select("id", "rep").distinct(), "copies")
     reps = used.join(copies, "id", "left_anti")
     by_key = reps.select(F.explode("keys").alias("key"), "id")
     total = reps.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -421,8 +436,8 @@ def components(
     borders = blocks.where("edge").groupBy("key").agg(F.min("head").alias("least"), F.collect_set("head").alias("heads"))
     stitched = borders.select("least", F.explode("heads").alias("head"))
     stars = blocks.select(F.col("head").alias("a"), F.col("id").alias("b")).union(stitched).where("a != b").distinct()
-    points = reps.select("id", "n", "point", "fine").dropDuplicates(["id"])
-    first = stored(_verified(stored(_finer(stored(_bounded(stars, points, percent), "star-bounds"), points, percent), "star-pairs"), some, words, percent), "links")
+    points = reps.select("id", "n", "point").dropDuplicates(["id"])
+    first = stored(_verified(stored(_bounded(stars, points, percent), "star-pairs"), some, words, percent), "links")
     labelled, _ = _labelled(points.select("id"), first)
 
     labelled = stored(labelled, "labelled")
@@ -434,12 +449,12 @@ def components(
     tiles = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "root", "chunk"
     )
-    held = tiles.join(points.drop("fine"), "id").select("key", "x", "y", "id", "root", "chunk", "n", "point")
+    held = tiles.join(points, "id").select("key", "x", "y", "id", "root", "chunk", "n", "point")
     survivors = (
         held.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
         .mapInArrow(_survivors(percent), _PAIRS).where("a != b").distinct()
     )
-    second = _verified(stored(_finer(stored(survivors, "tree-bounds"), points, percent), "tree-pairs"), some, words, percent)
+    second = _verified(stored(survivors, "tree-pairs"), some, words, percent)
     links = first.union(second).union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     _, roots = _labelled(points.select("id"), stored(links, "links"))
     return profiles.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left").select(

@@ -86,10 +86,33 @@ def test_empty(spark):
 def test_tree_join_is_complete():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 6, (40, op.GROUPS))
-    points = np.concatenate([np.maximum(0, base[rng.integers(0, 40, 600)] + rng.integers(-1, 2, (600, op.GROUPS)))])
-    sizes = points.sum(axis=1)
-    for other in (slice(None), slice(0, 7)):
-        a, b = op.RTree(points, sizes), op.RTree(points[other], sizes[other])
-        found = {(x, y) for xs, ys in a.join(b) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)}
-        common = np.minimum(points[:, None], points[other][None]).sum(axis=2)
-        assert found == set(zip(*(x.tolist() for x in np.nonzero(op._enough(common, sizes[:, None], sizes[other][None]))), strict=True))
+    points = np.maximum(0, base[rng.integers(0, 40, 600)] + rng.integers(-1, 2, (600, op.GROUPS))).astype(np.uint8)
+    sizes = points.sum(axis=1, dtype=np.int64)
+    sizes[::7] += rng.integers(0, 90, len(sizes[::7]))  # members above the points
+    over = op._over(points, sizes)
+    a, b = op.RTree(points, sizes), op.RTree(points[:7], sizes[:7])
+    common = np.minimum(points[:, None], points[None]).sum(axis=2, dtype=np.int64) + np.minimum(over[:, None], over[None])
+    fits = op._enough(common, sizes[:, None], sizes[None])
+    found = [(x, y) for xs, ys in a.join(b) for x, y in zip(xs.tolist(), ys.tolist(), strict=True)]
+    assert sorted(found) == [(x, y) for x in range(600) for y in range(7) if fits[x, y]]
+    found = [tuple(sorted(p)) for xs, ys in a.join(a) for p in zip(xs.tolist(), ys.tolist(), strict=True)]
+    assert sorted(found) == [(x, y) for x in range(600) for y in range(x + 1, 600) if fits[x, y]]
+
+
+def test_points_bound_the_common_members():
+    rng = np.random.default_rng(8)
+    for n in (3, 300, 200_000):  # the last one has groups of more than 255 members
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)]))
+        p, q = op.count_vector(a)[None], op.count_vector(b)[None]
+        bound = op._common(p, q, op._over(p, np.array([len(a)])), op._over(q, np.array([len(b)])))
+        assert bound[0] >= len(np.intersect1d(a, b)) and bound[0] <= min(len(a), len(b))
+
+
+def test_large_tile_gives_out_pieces(monkeypatch):
+    monkeypatch.setattr(op, "PAIRS_OUT", 1000)
+    points = np.full((300, op.GROUPS), 2, np.uint8)
+    sizes, roots = points.sum(axis=1, dtype=np.int64), np.arange(300) // 2
+    pieces = list(op._tree_pairs(sizes, points, roots, np.zeros(300, np.int64), 85))
+    assert max(p.shape[1] for p in pieces) < 2000
+    assert {tuple(sorted(x)) for p in pieces for x in p.T.tolist()} == {(i, j) for i in range(300) for j in range(i + 1, 300) if i // 2 != j // 2}
