@@ -5,19 +5,21 @@ skipped letter and spanning ``SPAN`` letters at most; a mark for the beginning o
 like a letter. Insults with letters inserted, left out or appended stay close to each other. Letters
 are compared after dropping everything else inside a token, and letters standing apart are joined.
 
-Labels belong to documents, so training picks the guilty word of each toxic document (the one that
-scores highest so far) and fits again, a few times. Kernel values against landmark words, whitened by
+Labels belong to documents, so training picks the guilty words of each toxic document (its worst one
+so far, and those above what clean documents reach) and fits again, a few times; a word counts as
+often as documents have it, and clean words once found near the margin stay among the samples. Kernel values against landmark words, whitened by
 the landmarks' own kernel (Nyström), make the features of a linear machine. Since those features are
 linear in the subsequence weights, the fitted machine is one weight per subsequence: scoring a word is a
-short sum, remembered per distinct token. A text scores as its worst word, through a fitted sigmoid.
+short sum, remembered per distinct token. A text is judged by its WORST worst words together, through
+a fitted sigmoid.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 from callgrain.llm.common import fresh_name, grouped, text_slices
 
 DECAY, SPAN = 0.5, 7
+FULL = 4  # letters from which a word's length is its own
 LANDMARKS = 256
-ROUNDS = 4
-# The bounded sample the machine is fitted on: documents by label, and words of each, at most.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 1000, 3000, 2000
+ROUNDS = 3
+WORST = 3  # words that a text is judged by
+GUILTY = 0.98  # a word is guilty above the worst words of so many clean documents
+# The bounded sample of labelled documents that the machine is fitted on, unless the caller says otherwise.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 3000
 COMMON = 4000  # random words of clean documents in each fit
 _CHUNK = 10_000
 BATCH_CHARS = 1 << 20
@@ -75,14 +80,16 @@ def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _norms(owner: np.ndarray, words: int) -> np.ndarray:
-    """Root of the summed squared weights of a word's subsequences: a matter of its length."""
-    n = np.bincount(owner, minlength=words)[:, None]
+    """Root of the summed squared weights of a word's subsequences: a matter of its length. A word of
+    fewer than ``FULL`` letters is measured like one of so many, so that the one subsequence of a
+    short word does not weigh as much as all those of an insult."""
+    n = np.maximum(np.bincount(owner, minlength=words), FULL + 1)[:, None]
     ends = np.array([c for _, _, c, _ in _STEPS])
     return np.sqrt((np.maximum(0, n - ends) * np.array([w for *_, w in _STEPS]) ** 2).sum(axis=1))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, subsequence, weight) triples; the squared weights of a word sum to 1."""
+    """(word, subsequence, weight) triples; the squared weights of a word of FULL letters or more sum to 1."""
     flat, owner = _letters(words)
     parts: list[tuple] = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
     for a, b, c, weight in _STEPS:
@@ -95,11 +102,11 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    """One weight per subsequence, an intercept, and the sigmoid of a text's worst word."""
+    """One weight per subsequence, an intercept, and the sigmoid of a text's WORST worst words."""
 
     weights: np.ndarray
     intercept: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -115,38 +122,55 @@ class Machine:
         return np.bincount(owner, sums, minlength=len(words)) / np.maximum(norms, 1e-9) + self.intercept
 
     def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
-
-
-def _hinge(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with balanced classes by averaged subgradient descent."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
-    sum_w, sum_b = np.zeros_like(w), 0.0
-    for t in range(1, steps + 1):
-        inside = (y * (x @ w + b) < 1) * share * y
-        rate = 1 / (penalty * (t + 50)) / 10
-        w = (1 - rate * penalty) * w + rate * (inside @ x)
-        b += rate * 0.1 * inside.sum()
-        sum_w, sum_b = sum_w + t * w, sum_b + t * b
-    total = steps * (steps + 1) / 2
-    return sum_w / total, sum_b / total
-
-
-def _sigmoid(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's fit of P(toxic) to the worst words, by Newton steps with smoothed targets."""
+        """Of texts, each a row of its worst words' values."""
+        return 1 / (1 + np.exp(-np.clip(worst @ self.slopes + self.shift, -30, 30)))
+
+
+def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, penalty: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with balanced classes and squared hinge, to convergence;
+    ``times`` says how often a sample counts in its class.
+
+    Newton steps on the primal: given which samples violate the margin the problem is a ridge
+    regression; it is solved when that set no longer changes.
+    """
+    x = np.hstack([x, np.ones((len(x), 1))])
+    share = times * np.where(y > 0, 0.5 / times[y > 0].sum(), 0.5 / times[y < 0].sum())
+    ridge = penalty * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-9  # the intercept is free
+
+    def loss(w: np.ndarray) -> float:
+        return float(w @ ridge @ w + (share * np.maximum(0, 1 - y * (x @ w)) ** 2).sum())
+
+    w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    for _ in range(steps):
+        part, weight = x[inside], share[inside]
+        step = np.linalg.solve(ridge + (part * weight[:, None]).T @ part, part.T @ (weight * y[inside])) - w
+        rate = 1.0
+        while rate > 1e-6 and loss(w + rate * step) > loss(w) + 1e-15:
+            rate /= 2
+        w = w + rate * step
+        now = y * (x @ w) < 1
+        if rate == 1.0 and np.array_equal(now, inside):
+            break
+        inside = now
+    return w[:-1], float(w[-1])
+
+
+def _sigmoid(worst: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Platt's fit of P(toxic) to the worst words' values, by Newton steps with smoothed targets."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
+    x = np.hstack([worst, np.ones((len(worst), 1))])
+    w = np.append(np.full(worst.shape[1], 1.0 / worst.shape[1]), np.log((pos + 1) / (neg + 1)))
+    ridge = np.append(np.full(worst.shape[1], 1e-2), 1e-3)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * worst + b, -30, 30)))
-        d, s = goal - p, p * (1 - p) + 1e-9
-        h = np.array([[(s * worst**2).sum() + 1e-3, (s * worst).sum()], [(s * worst).sum(), s.sum() + 1e-3]])
-        step = np.linalg.solve(h, [(d * worst).sum() - 1e-3 * a, d.sum()])
-        a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        s = p * (1 - p) + 1e-9
+        step = np.linalg.solve((x * s[:, None]).T @ x + np.diag(ridge), x.T @ (goal - p) - ridge * np.append(w[:-1], 0.0))
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return float(a), float(b)
+    return w[:-1], float(w[-1])
 
 
 def _chunks(vocabulary: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -168,10 +192,13 @@ def _first_scores(vocabulary: list[str], seen: np.ndarray, odds: float) -> np.nd
     for s, words in _chunks(vocabulary):
         word, subsequence, weight = features(words)
         score[s : s + len(words)] = np.bincount(word, weight**2 * excess[subsequence], minlength=len(words))
+    # the same for whole words
+    expected = (seen[0] + 0.5) / odds
+    score += (seen[1] - expected) / np.sqrt(expected + 3.0)
     return score - 100.0 * (seen[0] > 2 + 3 * seen[1] * odds)
 
 
-def _machine(marks: list[str], words: list[str], target: np.ndarray) -> Machine:
+def _machine(marks: list[str], words: list[str], target: np.ndarray, times: np.ndarray) -> Machine:
     """The support vector machine of ``words`` on Nyström features of the landmarks ``marks``."""
     word, subsequence, weight = features(marks)
     used, place = np.unique(subsequence, return_inverse=True)
@@ -188,10 +215,18 @@ def _machine(marks: list[str], words: list[str], target: np.ndarray) -> Machine:
     place, weight = place[hit][order], weight[hit][order]
     for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
         kernel[i] = land[:, place[a:b]] @ weight[a:b]
-    w, b = _hinge(kernel @ root, target)
+    w, b = _svm(kernel @ root, target, times)
     weights = np.zeros(1 << 20, np.float32)
     weights[used] = land.T @ (root @ w)
-    return Machine(weights, b, 1.0, 0.0)
+    return Machine(weights, b, np.zeros(WORST), 0.0)
+
+
+def _best(words: np.ndarray, score: np.ndarray, nothing: float) -> np.ndarray:
+    """The values of a document's worst words, ``nothing`` in the place of missing ones."""
+    out = np.full(WORST, nothing)
+    values = np.sort(score[words])[::-1][:WORST]
+    out[: len(values)] = values
+    return out
 
 
 def fit(vocabulary: list[str], owned: list[np.ndarray], toxic: list[bool]) -> Machine:
@@ -199,35 +234,47 @@ def fit(vocabulary: list[str], owned: list[np.ndarray], toxic: list[bool]) -> Ma
     Without both labels every text scores the base rate."""
     y = np.where(np.array(toxic, bool), 1.0, -1.0)
     n_bad, n_good = int((y > 0).sum()), int((y < 0).sum())
-    blank = Machine(np.zeros(1 << 20, np.float32), 0.0, 0.0, float(np.log((n_bad + 1) / (n_good + 1))))
+    blank = Machine(np.zeros(1 << 20, np.float32), 0.0, np.zeros(WORST), float(np.log((n_bad + 1) / (n_good + 1))))
     if not vocabulary or not n_bad or not n_good:
         return blank
     seen = np.zeros((2, len(vocabulary)))
     for words, t in zip(owned, y > 0, strict=True):
         seen[int(t), words] += 1
-    score = _first_scores(vocabulary, seen, n_good / n_bad)
     rng, machine = np.random.default_rng(0), blank
-    for _ in range(ROUNDS):
+    clean = np.flatnonzero(seen[0] > 0)
+    hard = clean[rng.permutation(len(clean))[:COMMON]]
+    score = _first_scores(vocabulary, seen, n_good / n_bad)
+    for turn in range(ROUNDS):
         worst = np.array([w[np.argmax(score[w])] if len(w) else -1 for w in owned])
-        guilty, hard = worst[(y > 0) & (worst >= 0)], worst[(y < 0) & (worst >= 0)]
-        common = rng.choice(len(vocabulary), min(len(vocabulary), COMMON), replace=False)
-        common = common[seen[0][common] > 0]
-        # a toxic document of which every word also looks clean teaches nothing
+        innocent = worst[(y < 0) & (worst >= 0)]
+        least, sure = np.quantile(score[innocent], (0.9, GUILTY)) if len(innocent) else (0.0, 0.0)
+        # the worst word of a toxic document, and every one above what clean documents reach; one in
+        # which every word looks clean teaches nothing
+        guilty = [w[score[w] > sure] for w, t in zip(owned, y, strict=True) if t > 0] + [worst[(y > 0) & (worst >= 0)]]
+        guilty = np.concatenate(guilty)
+        guilty = guilty[score[guilty] > least]
+        # a word counts as often as it is among the worst of a document
+        times = np.ones(len(vocabulary))
+        np.add.at(times, guilty, 1.0)
+        np.add.at(times, innocent, 1.0)
         positive = np.unique(guilty)
-        positive = positive[score[positive] > (np.quantile(score[hard], 0.9) if len(hard) else 0.0)]
-        negative = np.setdiff1d(np.unique(np.concatenate([hard, common])), positive)
+        # clean words once found inside the margin stay
+        near = clean[score[clean] > -1.0] if turn else np.zeros(0, np.int64)
+        near = near[np.argsort(-score[near], kind="stable")][:COMMON]
+        hard = np.unique(np.concatenate([hard, innocent, near]))
+        negative = np.setdiff1d(hard, positive)
         if not len(positive) or not len(negative):
             return blank
-        some = lambda x: rng.choice(x, min(len(x), LANDMARKS // 2), replace=False)
+        # landmarks: the words that explain most toxic documents, and the clean ones closest to them
+        first = lambda x, by: x[np.argsort(-by[x], kind="stable")][: LANDMARKS // 2]
         named = lambda x: [vocabulary[i] for i in x.tolist()]
-        marks = np.concatenate([some(positive), some(negative)])
+        marks = np.concatenate([first(positive, times), first(negative, score)])
         target = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        machine = _machine(named(marks), named(positive) + named(negative), target)
+        machine = _machine(named(marks), named(positive) + named(negative), target, times[np.concatenate([positive, negative])])
         for s, words in _chunks(vocabulary):
             score[s : s + len(words)] = machine.words(words)
-    top = np.array([score[w].max() if len(w) else machine.intercept for w in owned])
-    slope, shift = _sigmoid(top, y)
-    return Machine(machine.weights, machine.intercept, slope, shift)
+    slopes, shift = _sigmoid(np.array([_best(w, score, machine.intercept) for w in owned]), y)
+    return Machine(machine.weights, machine.intercept, slopes, shift)
 
 
 def fit_texts(texts: list[str], toxic: list[bool]) -> Machine:
@@ -242,29 +289,35 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fit on the labelled rows that are not held out: at most SAMPLE_TOXIC and SAMPLE_CLEAN documents,
-    those with the smallest hash of their id, and at most SAMPLE_WORDS distinct words of each."""
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN,
+) -> Machine:
+    """Fit on the labelled rows that are not held out, whole texts of at most ``sample_toxic`` and
+    ``sample_clean`` documents, those with the smallest hash of their id. Of rows that repeat an id
+    the words of all count."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))
     ).groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = None
-    for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
+    for label, most in ((1, sample_toxic), (0, sample_clean)):
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            words = [sorted(tokens(t), key=lambda w: hash_of(w))[:SAMPLE_WORDS] for t in rows["text"]]
+            words = [sorted(tokens(t)) for t in rows["text"]]
             yield pd.DataFrame({"id": rows["id"], "toxic": rows["toxic"], "words": words})
 
     sample = texts.join(F.broadcast(chosen), "id").mapInPandas(cut, "id long, toxic int, words array<string>")
     # words become numbers as they arrive, so the driver holds each distinct word once
     index: dict[str, int] = {}
-    found = {}
+    found: dict = {}
     for r in sample.toLocalIterator():
-        found[r["id"]] = r["toxic"], np.array([index.setdefault(w, len(index)) for w in r["words"]], np.int64)
+        words = np.array([index.setdefault(w, len(index)) for w in r["words"]], np.int32)
+        before = found.get(r["id"])
+        found[r["id"]] = r["toxic"], np.union1d(before[1], words) if before else words
     vocabulary = sorted(index)
     place = np.zeros(len(index), np.int64)
     place[[index[w] for w in vocabulary]] = np.arange(len(vocabulary))
@@ -272,11 +325,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(vocabulary, [np.sort(place[words]) for _, words in rows], [bool(t) for t, _ in rows])
 
 
-def hash_of(word: str) -> int:
-    """A stable order of words that has nothing to do with spelling."""
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
-
-
 def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` and the name of an added column: the probability that a whole text is toxic.
 
@@ -289,8 +337,9 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[Da
     @F.arrow_udf("double")
     def worst(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
+        rest = [m.intercept] * WORST
         for texts in batches:
-            tops = [np.zeros(0)]
+            tops = [np.zeros((0, WORST))]
             for part in (g for some in text_slices(texts) for g in grouped(some, BATCH_CHARS)):
                 found = [tokens(t) for t in part]
                 if len(known) > MAX_TOKENS:
@@ -299,7 +348,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text") -> tuple[Da
                 for s in range(0, len(new), _CHUNK):
                     some = new[s : s + _CHUNK]
                     known.update(zip(some, m.words(some).tolist(), strict=True))
-                tops.append(np.array([max(map(known.__getitem__, f), default=m.intercept) for f in found]))
+                tops.append(np.array([(nlargest(WORST, map(known.__getitem__, f)) + rest)[:WORST] for f in found]))
             yield pa.array(m.probability(np.concatenate(tops)), pa.float64())
 
     return docs.withColumn(out, worst(F.coalesce(F.col(text_col), F.lit("")))), out
