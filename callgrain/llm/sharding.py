@@ -1,7 +1,7 @@
 """K-d tree sharding by bytes, in DataFrame operations only.
 
 A point is a group of equal texts with the metadata of its first document and the bytes of all, so
-that copies share a shard; a group above 1 / WHOLE_SHARE of a shard's target is one point per
+that copies share a shard; a group above WHOLE_SHARE of a shard's target is one point per
 document instead, else it would break the balance. A node that must give k shards is cut at the
 weighted quantile of its widest dimension (in units of the whole table's range) into k // 2 and the
 rest, until every leaf is one shard of the target size.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from callgrain.llm.common import stored
 from callgrain.plans.ids import with_ids
 
-WHOLE_SHARE = 256
+WHOLE_SHARE = 0.02
 SCALE_BITS, TIE_BITS = 30, 32
 _BITS = SCALE_BITS + TIE_BITS
 _STEP = 16
@@ -106,8 +106,8 @@ def shard_points(points: DataFrame, shards: int, dims: list[str]) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per row of ``docs``.
 
-    The law is ``bytes``: shard sizes are near equal, and copies of a text share a shard unless they
-    are too many for the balance. Dimensions are the id, the characters, and the language and source
+    The law is ``bytes``: shard sizes are near equal, and copies of a text share a shard unless all
+    of them together are more than WHOLE_SHARE of a shard's bytes; those are placed each by itself. Dimensions are the id, the characters, and the language and source
     by hash; a missing metadata column or null value counts as the lowest. The size of a null text is
     1. Slots are gapless from 0 in each shard, in the order of doc_id (nulls first) with repeated
     rows side by side.
@@ -124,9 +124,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     first = F.min_by(F.struct("doc_id", "chars", "lang", "source"), F.struct("doc_id", "source", "lang"))
     groups = rows.groupBy("h", "h2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), first.alias("m"))
     all_rows = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    # at most 2 * shards * WHOLE_SHARE groups hold more than that share of the bytes or of the rows
-    share = 1 / (shards * WHOLE_SHARE)
-    large = (F.col("n") > 1) & ((F.col("bytes") > (all_rows["bytes"] or 0) * share) | (F.col("n") > all_rows["n"] * share + 1))
+    # at most shards / WHOLE_SHARE groups hold more than that share of a shard's bytes
+    large = (F.col("n") > 1) & (F.col("bytes") > (all_rows["bytes"] or 0) * WHOLE_SHARE / shards)
     groups = stored(groups.withColumn("large", large), "shard-groups")
     large = F.broadcast(groups.where("large").select("h", "h2"))
     dims = ["doc_id", "chars", "lang", "source"]
