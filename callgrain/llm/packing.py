@@ -26,13 +26,58 @@ from callgrain.llm.common import Growing, grouped, text_slices
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 WINDOW_TOKENS = 1 << 20
-LOOK = 8  # sequences tried, cheapest first, before a piece is cut
 
 
 def cost(n: int) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
 
+class OpenSequences:
+    """Sequences with room, by what room they have left.
+
+    A heap per room holds (cost, sequence); a tree over the rooms holds the least of each range, so
+    the cheapest sequence with enough room is found in as many steps as the capacity has bits.
+    """
+
+    def __init__(self, capacity: int) -> None:
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+        self.size = 1 << capacity.bit_length()
+        self.least = [_NONE] * (2 * self.size)
+
+    def _refresh(self, room: int) -> None:
+        at = self.size + room
+        self.least[at] = self.heaps[room][0] if self.heaps[room] else _NONE
+        while at > 1:
+            at //= 2
+            self.least[at] = min(self.least[2 * at], self.least[2 * at + 1])
+
+    def add(self, room: int, spent: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (spent, sequence))
+        self._refresh(room)
+
+    def take(self, need: int) -> tuple[int, float, int]:
+        """(room, cost, sequence) of the cheapest one with room for ``need``, or of the roomiest one."""
+        # the subtrees that cover the rooms from need on; the rest of the tree is empty
+        at, best = self.size + need, self.size + need
+        while at > 1:
+            if at % 2 == 0 and self.least[at + 1] < self.least[best]:
+                best = at + 1
+            at //= 2
+        if self.least[best] == _NONE:
+            best = 1
+            while best < self.size:  # the highest room that any sequence has
+                best = 2 * best + (self.least[2 * best + 1] != _NONE)
+        while best < self.size:
+            best = 2 * best + (self.least[2 * best + 1] < self.least[2 * best])
+        room = best - self.size
+        spent, sequence = heapq.heappop(self.heaps[room])
+        self._refresh(room)
+        return room, spent, sequence
+
+
+_NONE = (float("inf"), 0)
+
+
 def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents of the given lengths."""
     pieces, rest, sequences = [], [], 0
@@ -44,24 +89,16 @@ def assign(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int,
         if n % capacity:
             rest.append((n % capacity, doc, full * capacity))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    open_ones = -(-sum(x[0] for x in rest) // capacity)
-    heap = [(0.0, sequences + i, 0) for i in range(open_ones)]  # cost, sequence, tokens used
+    ready = OpenSequences(capacity)
+    for i in range(-(-sum(x[0] for x in rest) // capacity)):
+        ready.add(capacity, 0.0, sequences + i)
     for n, doc, start in rest:
         while n:
-            tried = []
-            while heap and len(tried) < LOOK:
-                tried.append(heapq.heappop(heap))
-                if capacity - tried[-1][2] >= n:
-                    break
-            chosen = tried.pop() if capacity - tried[-1][2] >= n else max(tried, key=lambda x: (capacity - x[2], -x[1]))
-            for other in tried:
-                if other is not chosen:
-                    heapq.heappush(heap, other)
-            spent, sequence, used = chosen
-            part = min(n, capacity - used)
-            pieces.append((doc, start, part, sequence, used))
-            if used + part < capacity:
-                heapq.heappush(heap, (spent + cost(part), sequence, used + part))
+            room, spent, sequence = ready.take(n)
+            part = min(n, room)
+            pieces.append((doc, start, part, sequence, capacity - room))
+            if part < room:
+                ready.add(room - part, spent + cost(part), sequence)
             n, start = n - part, start + part
     return pieces
 
@@ -112,7 +149,9 @@ class WordIds:
         one of those that end a word."""
         found = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         lengths = np.diff(np.flatnonzero(self._ends_word[found]), prepend=-1)
-        assert len(lengths) == len(words), "a word was cut in two"
+        if len(lengths) != len(words):  # the library cuts one of them in two: each by itself
+            each = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            found, lengths = np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each])
         known = len(self._index)
         self._starts.extend(self._flat.size + np.cumsum(lengths) - lengths)
         self._lengths.extend(lengths)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from callgrain.llm import packing
 from callgrain.llm.packing import PLAIN, WordIds, assign, pack
 from tokenizers import Tokenizer
 
@@ -72,3 +73,36 @@ def test_ids_are_those_of_the_library():
     hard += ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(300)]
     for t, got in zip(hard, mine.ids(hard), strict=True):
         assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def brute_assign(lengths, capacity):
+    """The cheapest sequence with room found by looking at all of them."""
+    rest = sorted(((n % capacity, d, n // capacity * capacity) for d, n in enumerate(lengths) if n % capacity), key=lambda x: (-x[0], x[1]))
+    full = sum(n // capacity for n in lengths)
+    sequences = [[0.0, full + i, 0] for i in range(-(-sum(r[0] for r in rest) // capacity))]
+    out = []
+    for n, doc, start in rest:
+        while n:
+            fits = [s for s in sequences if capacity - s[2] >= n]
+            best = min(fits) if fits else max((s for s in sequences if s[2] < capacity), key=lambda s: (capacity - s[2], -s[0], -s[1]))
+            part = min(n, capacity - best[2])
+            out.append((doc, start, part, best[1], best[2]))
+            best[0], best[2] = best[0] + packing.cost(part), best[2] + part
+            n, start = n - part, start + part
+    return out
+
+
+def test_assign_against_brute_force():
+    rng = np.random.default_rng(9)
+    for capacity, lengths in (
+        (8, rng.integers(1, 30, 200)), (100, rng.integers(1, 60, 400)), (2048, np.maximum(1, rng.lognormal(5.5, 1.2, 600)).astype(int)), (7, [7] * 5 + [1] * 9), (1, [1, 2, 3]),
+    ):
+        lengths = [int(n) for n in lengths]
+        got = assign(lengths, capacity)
+        check_layout(got, lengths, capacity)
+        assert sorted(p for p in got if p[2] < capacity or p[4]) == sorted(p for p in brute_assign(lengths, capacity) if p[2] < capacity or p[4])
+
+
+def test_few_pieces_are_cut():
+    lengths = np.maximum(1, np.random.default_rng(1).lognormal(5.5, 1.2, 1700)).astype(int).tolist()
+    assert len(assign(lengths, 2048)) - sum(-(-n // 2048) for n in lengths) < 250
