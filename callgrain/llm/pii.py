@@ -17,7 +17,7 @@ from datetime import date, timedelta
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrain.llm.common import fresh_name
@@ -156,19 +156,21 @@ def _secret(value: str, key: bytes) -> str | None:
 Rule = tuple[str, re.Pattern, Callable[[str, bytes], str | None]]
 # A text is searched for rare marks first; each pattern is tried only where its mark stands.
 _NUMBERS: list[Rule] = [
-    ("date", re.compile(r"(?<![\w.])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w])(?!\.\d)"), _date),
-    ("address", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)(?!\.\d)"), _address),
-    ("social", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _social),
+    ("date", re.compile(r"(?<![\w.])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w])(?!\.[0-9])"), _date),
+    ("address", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w)(?!\.[0-9])"), _address),
+    ("social", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _social),
     # a look-ahead, so that each group of four is tried as the first one
-    ("card", re.compile(r"(?<!\w)(?=(?P<v>\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}(?!\w)|\d{4}([ -])\d{6}\3\d{5}(?!\w)))"), _card),
-    ("card", re.compile(r"(?<!\w)\d{13,19}(?!\w)"), _card),
+    ("card", re.compile(r"(?<!\w)(?=(?P<v>[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}(?!\w)|[0-9]{4}([ -])[0-9]{6}\3[0-9]{5}(?!\w)))"), _card),
+    ("card", re.compile(r"(?<!\w)[0-9]{13,19}(?!\w)"), _card),
     (
         "phone",
-        re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)"),
+        re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<!\w)\+[0-9]{8,15}(?!\w)"),
         _phone,
     ),
 ]
-_CLUSTER = re.compile(r"[+(0-9][0-9 ().+/-]{5,}[0-9]")
+# a whole run of digits and signs at once: it is never tried again from its middle
+_RUN = re.compile(r"[0-9 ().+/-]{7,}+")
+_RUN_START = re.compile(r"[+(0-9]")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _ACCOUNT_START = re.compile(r"(?s)[A-Z]{2}[0-9]{2}(?<![^\W_].{4})")
 _ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)")
@@ -202,6 +204,15 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
 Spans = Iterator[tuple[int, int]]
 
 
+def _clusters(text: str) -> Spans:
+    """Runs that may hold numbers, from their first sign of one to their last digit."""
+    for run in _RUN.finditer(text):
+        first = _RUN_START.search(text, run.start(), run.end())
+        end = run.start() + len(run[0].rstrip(" ().+/-"))
+        if first and end - first.start() >= 7:
+            yield first.start(), end
+
+
 def _emails(text: str) -> Spans:
     at, last = text.find("@"), 0
     while at >= 0:  # around each @, as far as addresses reach
@@ -224,7 +235,7 @@ def _accounts(text: str, starts: list[int], known: bool) -> Spans:
         if longest:
             ends = [longest.end(), *(i for i in range(longest.end() - 1, start, -1) if text[i] == " ")]
             plain = ((e, text[start:e].replace(" ", "")) for e in ends)
-            last = next((e for e, p in plain if _is_account(p) and (not known or len(p) == _ACCOUNT_SIZE.get(p[:2]))), last)
+            last = next((e for e, p in plain if (not known or len(p) == _ACCOUNT_SIZE.get(p[:2])) and _is_account(p)), last)
             if last > start:
                 yield start, last
 
@@ -265,8 +276,8 @@ def find(text: str, key: bytes) -> list[Found]:
     for known in (True, False) if starts else ():  # a shorter or longer text in front holds by chance at times
         left = _blanked(left, checked("account", _accounts(left, starts, known)))
     whole = left
-    for cluster in _CLUSTER.finditer(whole):
-        a, b = max(0, cluster.start() - 2), min(len(whole), cluster.end() + 2)
+    for start, end in _clusters(whole):
+        a, b = max(0, start - 2), min(len(whole), end + 2)
         left = whole[a:b]
         for kind, pattern, _ in _NUMBERS:
             value = "v" if "v" in pattern.groupindex else 0
@@ -282,11 +293,21 @@ def replace(text: str, key: bytes) -> tuple[str, list[Found]]:
     return ("".join([*out, text[at:]]), found) if found else (text, found)
 
 
-def pseudonymise(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> tuple[DataFrame, str]:
+# The setting that holds the key, and the key of sessions that do not set it: no secret, it only makes
+# runs on test data repeatable.
+KEY_SETTING, OPEN_KEY = "spark.callgrain.pii.key", "corpus"
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, OPEN_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with replaced texts, and the name of an added column of spans (start, end, kind).
 
     Spans count code points of the text as it was. A null text stays null and an empty one empty,
-    without spans. ``key`` is the secret; other columns pass through, whatever their names.
+    without spans. ``key`` is the secret: who has it can undo the pseudonyms. Only the digits 0-9
+    count; a number with others is left as it is. Other columns pass through, whatever their names.
     """
     spans, secret = fresh_name(docs, "pii_spans"), key.encode()
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])

@@ -101,7 +101,7 @@ def op7_kd_sharding(spark, sf_dir):
 
 @query
 def op3_pii(spark, sf_dir):
-    replaced, spans = pii.pseudonymise(keyed_text(read(spark, sf_dir, "documents")))
+    replaced, spans = pii.pseudonymise(keyed_text(read(spark, sf_dir, "documents")), pii.session_key(spark))
     return replaced.select("doc_id", "text", F.size(spans).cast("bigint").alias("n_pii"), F.col(spans).alias("spans"))
 
 

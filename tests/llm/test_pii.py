@@ -1,5 +1,9 @@
 import random
+import re
+import time
 
+import pytest
+from callgrain.llm import pii
 from callgrain.llm.pii import _luhn, find, permute, permute_chars, pseudonymise, replace
 
 KEY = b"k"
@@ -59,13 +63,13 @@ def test_random_texts_never_fail():
 def test_table(spark):
     rows = [(1, None, "p"), (2, "", "q"), (3, "me@x.org", "r"), (3, "me@x.org", "r"), (4, "w " * 100_000 + "9.8.7.6", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, PII_SPANS string")
-    out, spans = pseudonymise(df)
+    out, spans = pseudonymise(df, "corpus")
     assert out.columns == [*df.columns, spans] and spans.lower() != "pii_spans"
     got = sorted(out.collect(), key=str)
     assert len(got) == 5 and {r["PII_SPANS"] for r in got} == set("pqrs")
     by = {r["doc_id"]: r for r in got}
     assert by[1]["text"] is None and by[2]["text"] == "" and by[3]["text"] != "me@x.org" and len(by[4][spans]) == 1
-    assert pseudonymise(df.limit(0))[0].count() == 0
+    assert pseudonymise(df.limit(0), "corpus")[0].count() == 0
 
 
 def test_hundreds_of_values_in_one_text():
@@ -115,3 +119,30 @@ def test_mixed_values_in_a_row():
     out, found = replace(" ".join(values), KEY)
     assert len(found) == len(values) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
     assert not any(v in out for v in ("3704 0044", "0130 00 EUR", "a7@mail", "5698 7654", "4111 1111 1111 1111"))
+
+
+def test_runs_of_signs_take_linear_time():
+    for unit in ("+", "(", "-", ".", " ", "1", "12 ", "(+", "+1 ", "1.", "1-2/", "a@", "a.", "((1", "٣", "AA00 "):
+        # every account start is checked for itself, in time proportional to their number
+        text = unit * ((1_000_000 if unit != "AA00 " else 200_000) // len(unit))
+        start = time.time()
+        find(text, KEY)
+        assert time.time() - start < 8, unit  # seconds on a slow machine; the quadratic scan took hours
+
+
+def test_clusters_against_a_search_from_every_place():
+    slow = re.compile(r"[+(0-9][0-9 ().+/-]{5,}[0-9]")
+    rng = random.Random(4)
+    for _ in range(5000):
+        text = "".join(rng.choice("+(0123 ).-/ab") for _ in range(rng.randrange(0, 60)))
+        assert list(pii._clusters(text)) == [m.span() for m in slow.finditer(text)], text
+
+
+def test_only_the_digits_0_to_9_count():
+    assert kinds("call +1 (988) 555-24٨٥ or 1984-02-٢٩") == []
+    assert kinds("call +1 (988) 555-2485") != []
+
+
+def test_key_is_asked_for():
+    with pytest.raises(TypeError):
+        pseudonymise(None)
