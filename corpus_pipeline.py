@@ -43,7 +43,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with pseudonyms in place of its personal data."""
-    replaced, spans = pii.pseudonymise(docs)
+    replaced, spans = pii.pseudonymise(docs, pii.session_key(spark))
     return replaced.drop(spans)
 
 
