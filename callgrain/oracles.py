@@ -194,7 +194,7 @@ CENTROIDS = """SELECT label, list(value ORDER BY pos) AS c FROM (
     GROUP BY label"""
 
 CLEAN_DOCS = f'SELECT doc_id, NULL AS raw, {norm_text_sql("text")} AS q_clean FROM documents'
-ANSWERS = f"""SELECT conv_id * 100 + turn AS answer_id, conv_id, turn, "QueryText", "KccAns", "KccAns" AS raw,
+ANSWERS = f"""SELECT conv_id * 4294967296 + turn AS answer_id, conv_id, turn, "QueryText", "KccAns", "KccAns" AS raw,
     {norm_text_sql('"QueryText"')} AS q_clean, {norm_text_sql('"KccAns"')} AS a_clean FROM calls_text"""
 GIVEN = """SELECT *, CAST(conv_id % 9 - 1 AS INTEGER) AS question_cluster_id, CAST(turn // 2 - 1 AS INTEGER) AS answer_cluster_id
     FROM rows_ WHERE q_clean <> ''"""
@@ -490,3 +490,4 @@ ORACLES: dict[str, str] = {
         LEFT JOIN modes ON modes.question_cluster_id = b.question_cluster_id""", INTENT_SUMMARIES),
 }
 ORACLES["intent_summaries_stored"] = ORACLES["intent_summary_texts"]
+ORACLES["search_indexed"] = ORACLES["search_text"]

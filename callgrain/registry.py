@@ -16,7 +16,7 @@ from callgrain.operators import cluster, explore, geo, hierarchy, ingest, intent
 from callgrain.operators.embedding import embed
 from callgrain.plans.ids import with_ids
 from callgrain.session import materialize, new_dir
-from callgrain.sources import call_store, page_api
+from callgrain.sources import call_store, page_api, text_index
 from callgrain.sources import geo as geo_source
 from callgrain.sources import transcripts as src
 from callgrain.streaming import distinct
@@ -322,6 +322,15 @@ def search_text_literal(spark, sf_dir):
     return explore.facet_filter(B.calls_text(spark, sf_dir), search="Tion.", regex=False)
 
 
+@query
+def search_indexed(spark, sf_dir):
+    """The search of ``search_text`` over stored files, of which those without its trigrams are not read."""
+    base = new_dir(spark, "indexed")
+    B.calls_text(spark, sf_dir).repartitionByRange(8, "conv_id").write.parquet(f"{base}/calls")
+    text_index.build_index(spark, f"{base}/calls", f"{base}/grams", ("QueryText", "KccAns"))
+    return text_index.search(spark, f"{base}/calls", f"{base}/grams", "  ERING|auou[a-d] ", ("QueryText", "KccAns"))
+
+
 @query
 def facet_values(spark, sf_dir):
     return explore.facet_values(B.calls_dim(spark, sf_dir), "DistrictName")
@@ -608,10 +617,15 @@ def specificity(spark, sf_dir):
     return scored.select("doc_id", *rounded("spec_score"))
 
 
+def _answer_id() -> Column:
+    # the turn has 32 bits of its own
+    return F.col("conv_id") * (1 << 32) + F.col("turn")
+
+
 @query
 def answer_score(spark, sf_dir):
     calls = B.calls_text(spark, sf_dir).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "KccAns", norm_text(F.col("KccAns")).alias("a_clean")
+        _answer_id().alias("answer_id"), "KccAns", norm_text(F.col("KccAns")).alias("a_clean")
     )
     rows = materialize(calls, "answers")
     return intents.score_answers(rows, rows).select("answer_id", *rounded("desc_score"))
@@ -620,7 +634,7 @@ def answer_score(spark, sf_dir):
 @query
 def answer_score_raw(spark, sf_dir):
     calls = B.calls_text(spark, sf_dir).select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), "KccAns", norm_text(F.col("KccAns")).alias("a_clean")
+        _answer_id().alias("answer_id"), "KccAns", norm_text(F.col("KccAns")).alias("a_clean")
     )
     rows = materialize(calls, "answers")
     n_docs = rows.agg(F.count(F.lit(1))).scalar()
@@ -750,7 +764,7 @@ def intent_answers(spark, sf_dir):
 def _given_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Calls whose question and answer clusters are given by number: questions, scored answers."""
     rows = intents.clean_rows(B.calls_text(spark, sf_dir), CALL_KEY)
-    answer_id = F.col("conv_id") * 100 + F.col("turn")
+    answer_id = _answer_id()
     with_id = rows.select(
         answer_id.alias("answer_id"), answer_id.alias("question_id"), "QueryText", "q_clean", "KccAns", "a_clean",
         (F.col("conv_id") % 9 - 1).cast("int").alias("question_cluster_id"),
