@@ -15,7 +15,7 @@ A document's set holds 64-bit hashes of its distinct shingles of ``words`` words
 3. Pairs survive if the summed coordinate minima of their points, which bound the common members,
    suffice; survivors are verified on their sets. Links make components. Coordinates stop at 255, and
    what lies above is bounded by its sum, so a point is GROUPS bytes whatever the size of the set.
-4. Keys that still hold several components are joined again in R-trees over their points, boxes
+4. Keys that still hold several components, one of those with the same members, are joined again in R-trees over their points, boxes
    against boxes and then points against points, only across components. A key with more than
    ``TILE_ROWS`` members is dealt out in tiles, and a tile gives its survivors out piece by piece.
    Survivors are verified, and all links make the final components. So every linked pair is either verified or already inside one component.
@@ -442,9 +442,12 @@ def components(
 
     labelled = stored(labelled, "labelled")
     members = blocks.select("key", "id").join(labelled.select("id", "root"), "id")
+    # keys with the same members make the same pairs: one of them is enough
+    same = [F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("h2")]
     open_keys = members.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")
-    ).where("low < high").select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("chunks"))
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), *same
+    ).where("low < high").groupBy("m", "low", "high", "h1", "h2").agg(F.min("key").alias("key"))
+    open_keys = open_keys.select("key", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("chunks"))
     spread = members.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     tiles = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "id", "root", "chunk"
