@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 
 from callgrain.operators import cluster as C
+from callgrain.operators import metric_tree as T
+from pyspark.sql import functions as F
 
 
 def brute(x, min_cos, min_pts):
@@ -48,6 +50,26 @@ def test_equals_brute_force(spark, min_cos, min_pts, block):
     assert got.sort_values("id")["cluster_id"].tolist() == brute(x, min_cos, min_pts).tolist()
 
 
+@pytest.mark.parametrize("min_cos,min_pts,probes", [(0.85, 5, 64), (0.6, 4, 1)])
+def test_groups_that_search_each_other(spark, monkeypatch, min_cos, min_pts, probes):
+    """Points of a cluster in several groups: counted and linked across them, without a table of pairs of leaves."""
+    monkeypatch.setattr(T, "LEAST_POINTS", 1)
+    monkeypatch.setattr(T, "GROUPS", 4)
+    monkeypatch.setattr(C, "PROBES", probes)
+    sent, search = [], C.search
+
+    def counted(groups, seekers, *more):
+        sent.append((groups.of_leaf.select("part", "grp").distinct().count(), seekers.agg(F.sum("m")).first()[0] or 0))
+        return search(groups, seekers, *more)
+
+    monkeypatch.setattr(C, "search", counted)
+    x = blobs(5)
+    got = C.density_cluster(frame(spark, x), "id", "v", min_cos, min_pts, block=16).toPandas()
+    assert got.sort_values("id")["cluster_id"].tolist() == brute(x, min_cos, min_pts).tolist()
+    # what a group has settled by itself is not sent to the others
+    assert len(sent) == 3 and all(n > 1 and m < len(x) for n, m in sent)
+
+
 def test_partitions_are_separate(spark):
     x = blobs(4)
     part = ["a" if i % 3 else "b" for i in range(len(x))]

@@ -121,6 +121,22 @@ def test_tree_weights_of_2000_points(spark):
     np.testing.assert_allclose(got, prim(reachability(x, 6)), atol=1e-9)
 
 
+def test_groups_that_search_each_other(spark, monkeypatch):
+    """Neighbours and edges are found across groups of leaves; deep trees of few points need no passes over all."""
+    monkeypatch.setattr(T, "LEAST_POINTS", 1)
+    monkeypatch.setattr(T, "GROUPS", 3)
+    x = unit(blobs(6))
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    passes, store = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, label="table": (passes.append(label), store(df, label))[1])
+    edges, points = H.hierarchy_edges(frame(spark, x), "id", "v", 4, leaf=16)
+    copies = points.toPandas()
+    inner = [c for w, c in zip(copies["w"], copies["core"], strict=True) for _ in range(w - 1)]
+    got = sorted([r["w"] for r in edges.select("w").collect()] + inner)
+    np.testing.assert_allclose(got, prim(reachability(x, 4)), atol=1e-9)
+    assert "tree-level" not in passes and "node-pairs" not in passes
+
+
 def test_partitions_are_separate(spark):
     x = blobs(4)
     part = ["a" if i % 3 else "b" for i in range(len(x))]
