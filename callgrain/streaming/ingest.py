@@ -76,7 +76,8 @@ def ingest(
                 lo, hi = batch.agg(F.min(day), F.max(day)).first()
                 seen = seen.where(F.col("event_date").between(lo, hi) | F.col("event_date").isNull())
             new = new.join(seen.select("_digest"), "_digest", "left_anti")
-        new = new if event_time else new.drop("event_date")
+        # a day's rows come together, or each task would write a file for each day
+        new = new.hint("rebalance", "event_date") if event_time else new.drop("event_date")
         new.write.mode("overwrite").partitionBy(*days).parquet(f"{out}/rows/batch={number}")
         batch.unpersist()
 
