@@ -70,6 +70,49 @@ def test_groups_that_search_each_other(spark, monkeypatch, min_cos, min_pts, pro
     assert len(sent) == 3 and all(n > 1 and m < len(x) for n, m in sent)
 
 
+class Counted(np.ndarray):
+    """Vectors that count how many of them are compared."""
+
+    cells = 0
+
+    def __matmul__(self, other):
+        Counted.cells += len(self) * other.shape[1]
+        return np.asarray(self) @ np.asarray(other)
+
+
+def leaves_of(vecs, leaves):
+    starts = np.linspace(0, len(vecs), leaves + 1).astype(np.int64)
+    return T.Points(np.arange(leaves), np.zeros(leaves), None, None, starts, np.arange(len(vecs)), vecs)
+
+
+def test_a_group_compares_a_pair_once(monkeypatch):
+    """Two large components that are far apart meet once, not once in each direction."""
+    monkeypatch.setattr(T, "TILE_COLUMNS", 256)
+    rng, n = np.random.default_rng(1), 4000
+    side = np.where(np.arange(n) % 2, 1.0, -1.0)
+    vecs = np.column_stack([side, 0.01 * rng.normal(size=(n, 3))])
+    p = leaves_of((vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).view(Counted), 8)
+    Counted.cells, number = 0, np.arange(n)
+    label = C._linked(p, number, p, number, number, np.ones((8, 8), bool), 0.9)
+    assert label.tolist() == (number % 2).tolist()
+    assert Counted.cells < 0.5 * n * n
+
+
+@pytest.mark.parametrize("share", [0.1, 0.8, 1.0])
+def test_each_pair_once_covers_the_pairs(monkeypatch, share):
+    monkeypatch.setattr(T, "TILE_COLUMNS", 50)
+    monkeypatch.setattr(T, "TILE_CELLS", 700)
+    rng = np.random.default_rng(2)
+    p = leaves_of(np.zeros((310, 2)), 12)
+    may = rng.random((12, 12)) < share / 2
+    may = may | may.T | np.eye(12, dtype=bool)
+    seen = np.zeros((310, 310), bool)
+    for rows, cols in T.each_pair_once(p, may):
+        assert len(rows) * len(cols) <= 700
+        seen[np.ix_(rows, cols)] = True
+    assert (seen | seen.T)[may[np.ix_(p.leaf, p.leaf)]].all()
+
+
 def test_partitions_are_separate(spark):
     x = blobs(4)
     part = ["a" if i % 3 else "b" for i in range(len(x))]
