@@ -20,7 +20,8 @@ the text; A gets the space with the text. Both then cut the same bytes.
    document.
 
 Nothing is broadcast and no table of pairs is collected: blocks hold ``BLOCK_CHARS`` of text (or one
-longer text), and a frequent pair is one row per block.
+longer text) as compressed numbers, and a frequent pair is one row per block. A worker remembers
+units up to ``MEMORY_CHARS``, gets few texts at once, and gives its memory back before the last step.
 
 Null and empty texts have no tokens: all counts 0 and an empty digest; repeated rows are counted
 each; a null doc_id stays null; an empty table gives an empty result; other columns are not read.
@@ -30,22 +31,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callgrain.llm.common import Growing, keyed_text, stored, text_slices
 
-# Text of one block, text tokenized at once, and text of the units a worker remembers before it starts
-# anew (64 counted for each).
-BLOCK_CHARS, LEARN_CHARS, MEMORY_CHARS = 3_000_000, 200_000, 24_000_000
+# Text of one block, text tokenized at once, and text of the units a worker remembers before it keeps
+# the half met most often (64 counted for each).
+BLOCK_CHARS, LEARN_CHARS, MEMORY_CHARS = 2_000_000, 200_000, 20_000_000
+# Documents that a worker gets at once.
+BATCH_ROWS = 512
 # A pair of ids as one number: A's id above, B's id below.
 ID_BITS = 24
 SPACE_PIECE = "▁"
@@ -127,8 +132,23 @@ class Pair:
         self.good = Growing(bool)
         self.facts = [Growing(np.int32) for _ in range(3)]  # tokens of A, of B, groups
         self.links, self.starts, self.sizes = Growing(np.int64), Growing(np.int64), Growing(np.int32)
+        self.met = Growing(np.int32)  # documents with the unit, halved at each renewal
         self.held = 0
 
+    def renew(self, room: int) -> None:
+        """Forgets all units but those met more than once, the most frequent ones that fit ``room``;
+        the units' numbers change."""
+        names, met = list(self.index), self.met.values
+        sizes = 64 + np.fromiter(map(len, names), np.int64, len(names))
+        order = np.argsort(-met, kind="stable")
+        kept = np.sort(order[(met[order] > 1) & (np.cumsum(sizes[order]) <= room)])
+        links, counts = self.links_of(kept)
+        good, facts, met = self.good.values[kept], [f.values[kept] for f in self.facts], met[kept] // 2
+        names, groups = ([x[i] for i in kept.tolist()] for x in (names, self.groups))
+        self.forget()
+        self._remember(names, groups, good, facts, links, counts)
+        self.met.values[:] = met
+
     def cut(self, text: str) -> tuple[Side, Side, int]:
         """Both sides of `` text`` and its length in bytes."""
         whole = " " + text
@@ -187,7 +207,7 @@ class Pair:
         stops = length[last].tolist()
         return [text[s + 1 : t] for s, t in zip([0, *stops], stops)]
 
-    def _remember(self, units: list[str], groups: list[str], good: bool, facts: list, links: np.ndarray, sizes: np.ndarray) -> None:
+    def _remember(self, units: list[str], groups: list[str], good, facts: list, links: np.ndarray, sizes: np.ndarray) -> None:
         known = len(self.groups)
         self.index.update(zip(units, range(known, known + len(units)), strict=True))
         self.groups += groups
@@ -197,6 +217,7 @@ class Pair:
         self.starts.extend(self.links.size + np.cumsum(sizes) - sizes)
         self.sizes.extend(sizes)
         self.links.extend(links)
+        self.met.extend(np.zeros(len(units), np.int32))
         self.held += sum(map(len, units)) + 64 * len(units)
 
     def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +258,21 @@ def pair(a_path: str, b_path: str) -> Pair:
     return _PAIRS[key]
 
 
+def release() -> None:
+    """Gives back what this worker process learnt, before work that needs no tokenizer."""
+    _PAIRS.clear()
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers in few bytes: the first bytes of all, the second ones and so on, compressed."""
+    return zlib.compress(values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<i4").ravel().astype(np.int64)
+
+
 class Block:
     """Documents of one output row."""
 
@@ -264,6 +300,7 @@ class Block:
             self.doc_counts.append(numbers)
             return
         held, times = np.unique(numbers, return_counts=True)
+        m.met.values[held] += 1
         self.facts.append(tuple(int(times @ f.values[held]) for f in m.facts))
         groups = ";".join(map(m.groups.__getitem__, numbers.tolist()))
         self.digests.append(hashlib.sha256(groups.encode()).hexdigest())
@@ -282,7 +319,7 @@ class Block:
         doc_sizes = np.array([len(x) for x in self.doc_units], np.int64)
         return [
             self.ids, *map(list, zip(*self.facts, strict=True)), self.digests, self.shown, codes, n,
-            *(x.astype("<i4").tobytes() for x in (doc_sizes, local, counts, sizes, at)),
+            *map(_packed, (doc_sizes, local, counts, sizes, at)),
         ]
 
 
@@ -311,7 +348,7 @@ def _blocks(a_path: str, b_path: str, with_groups: bool, id_type: pa.DataType):
                 if machine.held > MEMORY_CHARS:  # blocks name units by number
                     if block.ids:
                         yield row(block)
-                    machine.forget()
+                    machine.renew(MEMORY_CHARS // 2)
                     block = Block(machine)
                 machine.know(cut)
                 for t, units in zip(texts, cut, strict=True):
@@ -334,11 +371,12 @@ def _sums(id_type: pa.DataType):
     )
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         codes, totals, best = (right.column(c).to_numpy() for c in ("code", "total", "best"))
         order = np.argsort(codes)
         codes, totals, best = codes[order], totals[order], best[order].astype(np.int64)
         one = {c: left.column(c)[0] for c in left.column_names}
-        doc_sizes, units, counts, unit_sizes, links = (np.frombuffer(one[c].as_py(), "<i4").astype(np.int64) for c in _BLOBS)
+        doc_sizes, units, counts, unit_sizes, links = (_unpacked(one[c].as_py()) for c in _BLOBS)
         # the block's own codes are ascending, and all of them came back
         assert np.array_equal(codes, one["codes"].values.to_numpy())
 
@@ -362,6 +400,20 @@ def _add_up(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written inside gives workers batches of ``rows`` at most: whole texts of 10,000 rows are
+    held by the executor and by the worker at the same time, twice while a new batch comes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(
     docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -378,7 +430,8 @@ def align(
     )
     made = rows.mapInArrow(_blocks(a_path, b_path, with_groups, id_type), schema)
     # the number is fixed by being written
-    blocks = stored(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    with _batches_of(docs.sparkSession, BATCH_ROWS):
+        blocks = stored(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
     met = blocks.select("block", F.explode(F.arrays_zip("codes", "counts")).alias("p")).select("block", "p.codes", "p.counts")
     met = met.withColumnsRenamed({"codes": "code", "counts": "n"})
     sums = stored(met.groupBy("code").agg(F.sum("n").alias("total")).withColumn("b_id", F.col("code").bitwiseAND((1 << ID_BITS) - 1)), "pairs")

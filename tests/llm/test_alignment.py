@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from callgrain.llm import alignment as op
@@ -146,3 +148,94 @@ def test_query(spark, libraries, tmp_path):
     rows = corpus(4, 80) + ODD
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert got(queries.QUERIES["op12_token_alignment"](spark, str(tmp_path))) == brute(libraries, rows)
+
+
+def batches(texts, rows=64):
+    for at in range(0, len(texts), rows):
+        some = texts[at : at + rows]
+        yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], ["doc_id", "text"])
+
+
+def test_frequent_units_stay_in_a_bounded_memory(monkeypatch):
+    monkeypatch.setattr(op, "MEMORY_CHARS", 40_000)
+    monkeypatch.setattr(op, "_PAIRS", {})
+    learnt, held, learn = Counter(), [], op.Pair.learn
+
+    def noted(self, units):
+        learnt.update(units)
+        held.append(self.held)
+        learn(self, units)
+
+    monkeypatch.setattr(op.Pair, "learn", noted)
+    texts = [f"harvest of wheat n{i} n{i}a" for i in range(1_500)]
+    blocks = list(op._blocks(A, B, False, pa.int64())(batches(texts)))
+    assert [i for b in blocks for i in b.column("ids")[0].as_py()] == list(range(1_500))
+    assert {learnt[u] for u in ("harvest", "of", "wheat")} == {1}
+    # what the limit allows, and the units of 64 documents
+    assert max(held) < 40_000 + 64 * 3 * 80
+
+
+def test_renewed_units_keep_their_alignment(monkeypatch):
+    monkeypatch.setattr(op, "_PAIRS", {})
+    texts = [t for _, t in corpus(5, 200)]
+    plain = list(op._blocks(A, B, True, pa.int64())(batches(texts)))
+    machine = op.pair(A, B)
+    machine.renew(op.MEMORY_CHARS)
+    assert 0 < len(machine.index) == len(machine.groups) == machine.met.size
+    again = list(op._blocks(A, B, True, pa.int64())(batches(texts)))
+    for column in ("ids", "n_a", "n_b", "n_groups", "digests", "shown", "codes", "counts"):
+        assert [b.column(column)[0].as_py() for b in plain] == [b.column(column)[0].as_py() for b in again]
+
+
+def test_rows_of_blocks_are_small(monkeypatch):
+    monkeypatch.setattr(op, "_PAIRS", {})
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdefgh')}{i}" for i in range(2_000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(400)]
+    (block,) = op._blocks(A, B, False, pa.int64())(batches(texts))
+    entries = sum(len(set(t.split())) for t in texts)
+    # once four bytes for a unit's number and four for its count
+    assert sum(len(block.column(c)[0].as_py()) for c in op._BLOBS) < 4 * entries
+
+
+def test_sums_of_a_block_need_no_tokenizer(monkeypatch):
+    monkeypatch.setattr(op, "_PAIRS", {})
+    texts = ["a field of rice", "", "rice", "naïve 日本語 rice"]
+    (block,) = op._blocks(A, B, False, pa.int64())(batches(texts))
+    codes, counts = (block.column(c)[0].values for c in ("codes", "counts"))
+    right = pa.table({"code": codes, "total": counts, "best": pa.array([True] * len(codes))})
+    assert op._PAIRS
+    out = op._sums(pa.int64())(pa.Table.from_batches([block]), right)
+    assert not op._PAIRS
+    links = out.column("n_links").to_pylist()
+    assert sum(links) == sum(counts.to_pylist()) and links[1] == 0 and links == out.column("n_best").to_pylist()
+
+
+def test_packed_numbers():
+    for values in ([], [0], [1, 255, 256, 65_536, 2**31 - 1, 0]):
+        found = op._unpacked(op._packed(np.array(values, np.int64)))
+        assert found.tolist() == values and found.dtype == np.int64
+
+
+def test_workers_get_small_batches(spark, tmp_path, monkeypatch):
+    plain, seen, name = op._blocks, str(tmp_path / "rows"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def noting(*args):
+        run = plain(*args)
+
+        def noted(given):
+            def each():
+                for batch in given:
+                    with open(seen, "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            return run(each())
+
+        return noted
+
+    monkeypatch.setattr(op, "_blocks", noting)
+    before = spark.conf.get(name)
+    rows = [(i, f"row {i % 7}") for i in range(2_000)]
+    assert op.align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B)[0].count() == 2_000
+    assert max(map(int, open(seen))) <= op.BATCH_ROWS < 2_000 and spark.conf.get(name) == before
